@@ -135,7 +135,7 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | No
     # shares are among the sources that have tokens: the whole is what they can make together
     total = 0.0 if row["t"] is None else (float(total_tokens) / row["w"] if total_tokens is not None else row["t"])
     wanted = able.select("src", (F.col("w") * F.lit(total)).alias("want"), "cap")
-    plan = ws.save(cells.join(wanted, ["src"]).groupBy("src").applyInPandas(_plan, "src string, rate double, steps array<double>"), "plan")
+    plan = ws.save(lookup_join(cells, wanted, ["src"]).groupBy("src").applyInPandas(_plan, "src string, rate double, steps array<double>"), "plan")
     copies = lookup_join(docs, plan.select("src", "steps"), ["src"]).withColumn("n_copies", _use()).filter("n_copies > 0")
     copies = copies.select(F.col("src").alias("source"), "doc_id", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy_no"), "n_copies", "text")
     copies = copies.withColumn("shuffle_key", F.xxhash64("doc_id", "copy_no", F.when(F.col("doc_id").isNull(), F.col("text")), F.lit(seed + 1)))
