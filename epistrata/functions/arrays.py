@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -114,76 +113,120 @@ def subtract_dims(v: Column, base: Column, which: Sequence[int], n: int) -> Colu
 # --- rotations: quaternions are (x, y, z, w), matrices are rows of length 3 ---
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x bound once: composed rotations would otherwise repeat their arguments exponentially."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def quat_to_axis_angle(q: Column) -> Column:
     """Axis times angle; zero if the rotation is (nearly) none."""
-    w = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), at(q, 3)))
-    den = F.sqrt(F.greatest(F.lit(0.0), 1.0 - w * w))
-    k = F.when(den > 1e-10, 2.0 * F.acos(w) / F.when(den > 1e-10, den))
-    return F.array(*[F.coalesce(at(q, i) * k, F.lit(0.0)) for i in range(3)])
+
+    def run(q: Column) -> Column:
+        w = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), at(q, 3)))
+        den = F.sqrt(F.greatest(F.lit(0.0), 1.0 - w * w))
+        k = F.when(den > 1e-10, 2.0 * F.acos(w) / F.when(den > 1e-10, den))
+        return F.array(*[F.coalesce(at(q, i) * k, F.lit(0.0)) for i in range(3)])
+
+    return let(q, run)
 
 
-def rotvec_to_quat(r: Column) -> Column:
+def rotvec_to_quat(v: Column) -> Column:
     """Quaternion of a rotation vector; for tiny angles by the series of sin(a/2)/a."""
-    a = norm(r, range(3))
-    s = F.when(a < 1e-8, 0.5 - a * a / 48.0).otherwise(F.sin(a / 2.0) / F.when(a >= 1e-8, a))
-    return F.array(*[at(r, i) * s for i in range(3)], F.cos(a / 2.0))
+
+    def run(v: Column) -> Column:
+        a = norm(v, range(3))
+        s = F.when(a < 1e-8, 0.5 - a * a / 48.0).otherwise(F.sin(a / 2.0) / F.when(a >= 1e-8, a))
+        return F.array(*[at(v, i) * s for i in range(3)], F.cos(a / 2.0))
+
+    return let(v, run)
 
 
 def quat_to_rotvec(q: Column) -> Column:
     """Rotation vector of a quaternion, angle in [0, pi]."""
-    flip = F.when(at(q, 3) < 0, -1.0).otherwise(1.0)
-    s = norm(q, range(3))
-    a = 2.0 * F.atan2(s, at(q, 3) * flip)
-    k = F.when(s < 1e-8, 2.0).otherwise(a / F.when(s >= 1e-8, s))
-    return F.array(*[at(q, i) * flip * k for i in range(3)])
+
+    def run(q: Column) -> Column:
+        flip = F.when(at(q, 3) < 0, -1.0).otherwise(1.0)
+        s = norm(q, range(3))
+        k = F.when(s < 1e-8, 2.0).otherwise(2.0 * F.atan2(s, at(q, 3) * flip) / F.when(s >= 1e-8, s))
+        return F.array(*[at(q, i) * flip * k for i in range(3)])
+
+    return let(q, run)
 
 
 def quat_multiply(p: Column, q: Column) -> Column:
     """Rotation q first, then p."""
-    (a, b, c_, d), (e, f, g, h) = dims(p, 4), dims(q, 4)
-    return F.array(d * e + a * h + b * g - c_ * f, d * f - a * g + b * h + c_ * e, d * g + a * f - b * e + c_ * h, d * h - a * e - b * f - c_ * g)
+
+    def run(p: Column, q: Column) -> Column:
+        (a, b, c_, d), (e, f, g, h) = dims(p, 4), dims(q, 4)
+        return F.array(d * e + a * h + b * g - c_ * f, d * f - a * g + b * h + c_ * e, d * g + a * f - b * e + c_ * h, d * h - a * e - b * f - c_ * g)
+
+    return let(p, lambda p: let(q, lambda q: run(p, q)))
 
 
 def quat_inverse(q: Column) -> Column:
-    return F.array(-at(q, 0), -at(q, 1), -at(q, 2), at(q, 3))
+    return F.transform(q, lambda x, i: F.when(i < 3, -x).otherwise(x))
 
 
 def quat_to_matrix(q: Column) -> Column:
     """Nine elements, row by row."""
-    x, y, z, w = dims(q, 4)
-    return F.array(1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w), 2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w), 2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y))
+
+    def run(q: Column) -> Column:
+        x, y, z, w = dims(q, 4)
+        return F.array(1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w), 2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w), 2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y))
+
+    return let(q, run)
 
 
 def quat_apply(q: Column, v: Column) -> Column:
     """The vector turned by the quaternion."""
-    m = quat_to_matrix(q)
-    return F.array(*[at(m, 3 * i) * at(v, 0) + at(m, 3 * i + 1) * at(v, 1) + at(m, 3 * i + 2) * at(v, 2) for i in range(3)])
+    turn = lambda m, v: F.array(*[at(m, 3 * i) * at(v, 0) + at(m, 3 * i + 1) * at(v, 1) + at(m, 3 * i + 2) * at(v, 2) for i in range(3)])
+    return let(quat_to_matrix(q), lambda m: let(v, lambda v: turn(m, v)))
 
 
 def matrix_to_quat(m: Column) -> Column:
     """Quaternion of a matrix of nine, by the largest of the four diagonal sums."""
-    d = dims(m, 9)
-    sums = [d[0] - d[4] - d[8], d[4] - d[0] - d[8], d[8] - d[0] - d[4], d[0] + d[4] + d[8]]
-    top = F.greatest(*sums)
-    s = 2.0 * F.sqrt(1.0 + top)
-    x = F.array(s / 4, (d[1] + d[3]) / s, (d[2] + d[6]) / s, (d[7] - d[5]) / s)
-    y = F.array((d[1] + d[3]) / s, s / 4, (d[5] + d[7]) / s, (d[2] - d[6]) / s)
-    z = F.array((d[2] + d[6]) / s, (d[5] + d[7]) / s, s / 4, (d[3] - d[1]) / s)
-    w = F.array((d[7] - d[5]) / s, (d[2] - d[6]) / s, (d[3] - d[1]) / s, s / 4)
-    return F.when(top == sums[3], w).when(top == sums[0], x).when(top == sums[1], y).otherwise(z)
+
+    def run(m: Column) -> Column:
+        d = dims(m, 9)
+        sums = F.array(d[0] - d[4] - d[8], d[4] - d[0] - d[8], d[8] - d[0] - d[4], d[0] + d[4] + d[8])
+
+        def by(sums: Column) -> Column:
+            top = F.array_max(sums)
+
+            def case(s: Column) -> Column:
+                x = F.array(s / 4, (d[1] + d[3]) / s, (d[2] + d[6]) / s, (d[7] - d[5]) / s)
+                y = F.array((d[1] + d[3]) / s, s / 4, (d[5] + d[7]) / s, (d[2] - d[6]) / s)
+                z = F.array((d[2] + d[6]) / s, (d[5] + d[7]) / s, s / 4, (d[3] - d[1]) / s)
+                w = F.array((d[7] - d[5]) / s, (d[2] - d[6]) / s, (d[3] - d[1]) / s, s / 4)
+                return F.when(top == at(sums, 3), w).when(top == at(sums, 0), x).when(top == at(sums, 1), y).otherwise(z)
+
+            return let(2.0 * F.sqrt(1.0 + top), case)
+
+        return let(sums, by)
+
+    return let(m, run)
+
+
+def _unit(v: Column) -> Column:
+    return let(v, lambda v: let(norm(v, range(3)), lambda n: F.array(*[at(v, i) / n for i in range(3)])))
 
 
 def six_d_to_axis_angle(v: Column) -> Column:
     """The first two columns of a rotation matrix, made orthonormal by Gram-Schmidt, as axis times angle."""
-    a, b = dims(v, 6)[:3], dims(v, 6)[3:]
-    na = F.sqrt(sum((x * x for x in a), F.lit(0.0)))
-    x = [k / na for k in a]
-    dot = sum((p * q for p, q in zip(x, b)), F.lit(0.0))
-    r = [q - dot * p for p, q in zip(x, b)]
-    nb = F.sqrt(sum((k * k for k in r), F.lit(0.0)))
-    y = [k / nb for k in r]
-    z = [x[1] * y[2] - x[2] * y[1], x[2] * y[0] - x[0] * y[2], x[0] * y[1] - x[1] * y[0]]
-    return quat_to_rotvec(matrix_to_quat(F.array(x[0], y[0], z[0], x[1], y[1], z[1], x[2], y[2], z[2])))
+    dot = lambda a, b: sum((at(a, i) * at(b, i) for i in range(3)), F.lit(0.0))
+    cross = lambda a, b: F.array(at(a, 1) * at(b, 2) - at(a, 2) * at(b, 1), at(a, 2) * at(b, 0) - at(a, 0) * at(b, 2), at(a, 0) * at(b, 1) - at(a, 1) * at(b, 0))
+    rows = lambda x, y, z: F.array(*[at(k, i) for i in range(3) for k in (x, y, z)])
+
+    def run(v: Column) -> Column:
+        b = F.slice(v, 4, 3)
+
+        def with_x(x: Column) -> Column:
+            rest = let(dot(x, b), lambda d: F.array(*[at(b, i) - d * at(x, i) for i in range(3)]))
+            return let(_unit(rest), lambda y: let(cross(x, y), lambda z: rows(x, y, z)))
+
+        return let(_unit(F.slice(v, 1, 3)), with_x)
+
+    return quat_to_rotvec(matrix_to_quat(let(v, run)))
 
 
 # --- control steps ---
@@ -238,5 +281,3 @@ def crop(pixels: Column, height: int, width: int, channels: int, top: int, left:
     rows = [F.slice(pixels, (y * width + left) * channels + 1, max(0, right - left) * channels) for y in range(top, bottom)]
     return F.concat(*rows)
 
-
-PI = math.pi

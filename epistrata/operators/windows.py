@@ -201,7 +201,7 @@ def first_cycle(df: DataFrame, buffer: int) -> DataFrame:
     edges = df.select("episode_index", pos.alias("pos"), (prev & ~F.col("on")).alias("close"), (~prev & F.col("on")).alias("release"))
     first = edges.withColumn("first_close", F.min(F.when(F.col("close"), F.col("pos"))).over(Window.partitionBy("episode_index")))
     out = first.groupBy("episode_index").agg(F.count(F.lit(1)).alias("length"), F.count_if("close").alias("closes"), F.count_if("release").alias("releases"), F.first("first_close").alias("first_close"), F.min(F.when(F.col("release") & (F.col("pos") > F.col("first_close")), F.col("pos"))).alias("first_release"))
-    return out.withColumn("split", F.least(F.col("length"), F.col("first_release") + buffer))
+    return out.withColumn("split", F.when(F.col("first_release").isNotNull(), F.least(F.col("length"), F.col("first_release") + buffer)))
 
 
 def cut_segments(df: DataFrame, splits: DataFrame, fps: float) -> DataFrame:
