@@ -1 +1,181 @@
+"""Queries of the step registry, pipelines, row functions and the command line."""
 
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from epistrata.functions import arrays
+from epistrata.plans import pipeline as pl
+from epistrata.plans.register import query, r
+from epistrata.plans.source_queries import _written
+from epistrata.plans.views import EP, FR, episodes, frames, tasks, with_
+from epistrata.runtime import Workspace
+from epistrata.sources import dataset
+
+
+def _steps() -> pl.Pipeline:
+    n = pl.Normalize({"state": "mean_std"})
+    n.stats = {"state": {"mean": [0.5] * 6, "std": [2.0] * 6}}
+    return pl.Pipeline([n, pl.TimeLimit(40), pl.AddConstant("domain_id", 4), pl.CastFloats("double")], "prep")
+
+
+_PIPE = "select i as \"index\", round((state[1]::double - 0.5) / 2.00000001, 4) as x, fi + 1 >= 40 as truncated, 4 as domain_id from fr where len(state) = 6"
+
+
+@query(with_(FR) + _PIPE)
+def udf_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    f = frames(spark, sf, "frame_index", "state").filter(F.size("state") == 6)
+    return _steps()(f).select("index", r(F.get("state", F.lit(0)), 4).alias("x"), "truncated", "domain_id")
+
+
+@query(with_(FR) + _PIPE)
+def udf_pipeline_io(spark: SparkSession, sf: str) -> DataFrame:
+    """Saved and loaded again; an override sets the limit back."""
+    f = frames(spark, sf, "frame_index", "state").filter(F.size("state") == 6)
+    with tempfile.TemporaryDirectory() as d:
+        p = _steps()
+        p.steps[1].max_episode_steps = 7
+        p.save(d)
+        loaded = pl.Pipeline.load(d, "prep", {"time_limit_processor": {"max_episode_steps": 40}})
+    return loaded(f).select("index", r(F.get("state", F.lit(0)), 4).alias("x"), "truncated", "domain_id")
+
+
+@query("select 'truncated' as name, 'boolean' as type union all select 'domain_id', 'int' union all select 'state', 'array<double>'")
+def udf_transform_features(spark: SparkSession, sf: str) -> DataFrame:
+    s = _steps().schema(frames(spark, sf, "frame_index", "state"))
+    return spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in s if f.name in ("truncated", "domain_id", "state")], "name string, type string")
+
+
+@query("select 'truncated' as name, 'boolean' as type union all select 'domain_id', 'int' union all select 'action', 'array<double>'")
+def project_pipeline_features(spark: SparkSession, sf: str) -> DataFrame:
+    s = pl.Pipeline([pl.TimeLimit(40), pl.AddConstant("domain_id", 4), pl.CastFloats("double")]).schema(frames(spark, sf, "frame_index", "action"))
+    return spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in s if f.name in ("truncated", "domain_id", "action")], "name string, type string")
+
+
+@query("select 1::bigint as known, 1::bigint as refused")
+def udf_registry(spark: SparkSession, sf: str) -> DataFrame:
+    known = int("normalizer_processor" in pl.Registry.names())
+    try:
+        pl.Registry.register("normalizer_processor")(pl.Step)
+        refused = 0
+    except ValueError:
+        refused = 1
+    return spark.createDataFrame([(known, refused)], "known bigint, refused bigint")
+
+
+class _Doubled(pl.ActionStep):
+    def column(self, name, col, kind):
+        return F.transform(col, lambda x: x.cast("double") * 2)
+
+
+@query(with_(FR) + "select i as \"index\", round(action[1]::double * 2, 5) as x, round(state[1]::double, 5) as y from fr where len(action) = 6 and len(state) = 6")
+def udf_step_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """An action step leaves other columns alone."""
+    f = frames(spark, sf, "action", "state").filter((F.size("action") == 6) & (F.size("state") == 6))
+    return _Doubled()(f).select("index", r(F.get("action", F.lit(0))).alias("x"), r(arrays.at(F.col("state"), 0)).alias("y"))
+
+
+@query(with_(FR) + "select i as \"index\", ep * 1000 + fi as code from fr")
+def udf_row_callable(spark: SparkSession, sf: str) -> DataFrame:
+    return pl.row_callable(frames(spark, sf, "frame_index"), "code", "bigint", lambda row, e, f: e * 1000 + f).select("index", "code")
+
+
+@query(with_(FR) + "select i as \"index\", t.task || chr(10) || case when adv > 0 then 'Advantage: positive' else 'Advantage: negative' end as prompt, round(-least(1, abs(adv)), 5) as target from fr join tasks t on t.task_index = fr.task where adv is not null and not isnan(adv)")
+def udf_batch_hook(spark: SparkSession, sf: str) -> DataFrame:
+    from epistrata.functions.text import advantage_tag
+
+    f = frames(spark, sf, "advantage", "task_index").filter("advantage is not null and not isnan(advantage)").join(tasks(spark, sf), ["task_index"])
+    targets = f.select("index", (-F.least(F.lit(1.0), F.abs("advantage"))).alias("target"))
+    return f.join(targets, ["index"]).select("index", advantage_tag(F.col("task"), F.col("advantage") > 0).alias("prompt"), r("target").alias("target"))
+
+
+@query(with_(FR) + "select i as \"index\", round(action[2]::double, 5) as lift, round(action[6]::double, 5) as last from fr where len(action) = 6")
+def udf_policy_bridge(spark: SparkSession, sf: str) -> DataFrame:
+    names = ["pan", "lift", "flex", "roll", "yaw", "gripper"]
+    f = pl.Pipeline([pl.VectorToNames("action", names), pl.NamesToVector(names, "again")])(frames(spark, sf, "action").filter(F.size("action") == 6))
+    return f.select("index", r("lift").alias("lift"), r(F.get("again", F.lit(5))).alias("last"))
+
+
+@query(with_(FR, "s as (select distinct episode_index as ep, timestamp as t, reading, sample_id from sensor_samples where sensor_key = 'wrench_left' and timestamp is not null)", "g as (select i, max(sample_id) as k from fr join s on s.ep = fr.ep and abs(s.t - fr.ts) <= 0.005 group by i)") + "select fr.i as \"index\", k as teleop from fr left join g on g.i = fr.i")
+def udf_teleop_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """Recorded device readings attached to frames by time."""
+    from epistrata.plans.views import table
+
+    f = frames(spark, sf, "timestamp")
+    s = table(spark, sf, "sensor_samples").filter("sensor_key = 'wrench_left' and timestamp is not null").select("episode_index", F.col("timestamp").alias("t"), "sample_id").distinct()
+    g = f.join(s, ["episode_index"]).filter(F.abs(F.col("t") - F.col("timestamp")) <= 0.005).groupBy("index").agg(F.max("sample_id").alias("teleop"))
+    return f.select("index").join(g, ["index"], "left")
+
+
+@query(with_(FR) + "select i as \"index\", 7 as n, round(iv, 4) as last from fr where len(state) = 6 and iv is not null")
+def udf_motor_current(spark: SparkSession, sf: str) -> DataFrame:
+    f = frames(spark, sf, "state", "intervention").filter((F.size("state") == 6) & F.col("intervention").isNotNull())
+    out = f.select("index", F.concat(F.col("state").cast("array<double>"), F.array("intervention")).alias("v"))
+    return out.select("index", F.size("v").alias("n"), r(F.get("v", F.lit(6)), 4).alias("last"))
+
+
+@query("select 'observation.state' as feature, 'mean' as stat, 1.0 as value union all select 'action', 'std', 2.0")
+def udf_migrate(spark: SparkSession, sf: str) -> DataFrame:
+    s = pl.migrated_stats({"normalize_inputs.buffer_observation_state.mean": [1.0], "unnormalize_outputs.buffer_action.std": [2.0], "normalize_targets.buffer_action.std": [3.0], "model.weight": [9.0]})
+    return spark.createDataFrame([(f, k, v[0]) for f, d in s.items() for k, v in d.items()], "feature string, stat string, value double")
+
+
+# --- command line ---
+
+
+@query(with_(FR) + "select count(*) as frames, count(distinct ep) as episodes, 0::bigint as first_index from fr where ep not in (2, 3, 9)")
+def cli_edit(spark: SparkSession, sf: str) -> DataFrame:
+    from epistrata import cli
+
+    root = _written(spark, sf)
+    cli.edit(spark, root, None, "delete_episodes", "2-3,9")
+    return dataset.scan_frames(spark, root).agg(F.count(F.lit(1)).alias("frames"), F.count_distinct("episode_index").alias("episodes"), F.min("index").alias("first_index"))
+
+
+@query(with_(FR, EP) + "select i as \"index\" from fr join eps on eps.ep = fr.ep")
+def cli_value_infer(spark: SparkSession, sf: str) -> DataFrame:
+    """Advantages and indicators written in place: a value on every frame."""
+    from epistrata import cli
+
+    root = Workspace(spark, "acp").path("root")
+    f = frames(spark, sf, "frame_index", "task_index").join(episodes(spark, sf).select("episode_index"), ["episode_index"], "left_semi").withColumn("value", F.lit(-0.5))
+    dataset.write_frames(f, root)
+    dataset.write_meta(spark, root, {"fps": 30, "features": {}}, tasks(spark, sf), episodes(spark, sf).select("episode_index", "tasks", "length", "episode_success"))
+    cli.acp(spark, root, "value", n_step=10)
+    out = dataset.scan_frames(spark, root)
+    return out.filter(F.col("`complementary_info.advantage`").isNotNull() & F.col("`complementary_info.acp_indicator`").isin(0, 1)).select("index")
+
+
+@query(with_(EP) + "select 'episodes: ' || count(*) as line from eps")
+def cli_report(spark: SparkSession, sf: str) -> DataFrame:
+    from epistrata import cli
+
+    return spark.createDataFrame([(cli.report(spark, _written(spark, sf), 30.0).splitlines()[0],)], "line string")
+
+
+@query(with_(EP) + "select ep as episode_index, case when ep < 10 then 'success' else 'failure' end as episode_success from eps")
+def cli_patch_success(spark: SparkSession, sf: str) -> DataFrame:
+    from epistrata.operators.episodes import label_success
+
+    return label_success(episodes(spark, sf), list(range(10)), (), "failure", overwrite=True).select("episode_index", "episode_success")
+
+
+@query(with_(EP) + "select ep as episode_index, length from eps where ep <> 58 order by length, ep limit 5")
+def cli_prepare_baseline(spark: SparkSession, sf: str) -> DataFrame:
+    """One episode dropped, one task and label for all; the five shortest as a report."""
+    from epistrata.operators import episodes as ops
+
+    e = ops.label_success(ops.drop_episodes(episodes(spark, sf), [58]), (), (), "success", overwrite=True)
+    ops.retask(e, "the task")
+    return e.orderBy("length", "episode_index").limit(5).select("episode_index", "length")
+
+
+@query(with_(FR, "b as (select *, row_number() over (partition by ep order by fi, i) as rn, count(*) over (partition by ep) as n from fr)") + "select count(*) as chunks from b where rn + 7 <= n")
+def cli_tokenizer(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of eight actions, what an action tokenizer is given."""
+    from epistrata.operators.windows import action_chunks
+
+    return action_chunks(frames(spark, sf, "frame_index", "action"), 8).agg(F.count("chunk").alias("chunks"))

@@ -1 +1,224 @@
+"""Queries of scans and sinks: the test tables are written in the dataset layout and read back."""
 
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from epistrata.operators import episodes as ops
+from epistrata.operators import metrics, windows
+from epistrata.plans.register import query, r
+from epistrata.plans.views import EP, FR, episodes, frames, table, tasks, with_
+from epistrata.runtime import Workspace
+from epistrata.sources import dataset
+
+FEATURES = {
+    "index": {"dtype": "int64", "shape": (1,), "names": None}, "episode_index": {"dtype": "int64", "shape": (1,), "names": None}, "frame_index": {"dtype": "int64", "shape": (1,), "names": None},
+    "timestamp": {"dtype": "float64", "shape": (1,), "names": None}, "task_index": {"dtype": "int64", "shape": (1,), "names": None}, "action": {"dtype": "float32", "shape": (6,), "names": None}, "top": {"dtype": "video", "shape": (48, 64, 3), "names": None},
+}
+
+
+def _written(spark: SparkSession, sf: str) -> str:
+    """The test tables as a dataset on disk."""
+    root = Workspace(spark, "dataset").path("root")
+    f = frames(spark, sf, "frame_index", "timestamp", "task_index", "action")
+    dataset.write_frames(f, root, 5000)
+    e = episodes(spark, sf).select("episode_index", "tasks", "length").withColumn("stats/action/count", F.col("length"))
+    stats = {"action": {"mean": [0.5] * 6, "count": [3]}, "top": {"mean": [0.1, 0.2, 0.3]}}
+    dataset.write_meta(spark, root, {"fps": 30, "features": {k: {**v, "shape": list(v["shape"])} for k, v in FEATURES.items()}}, tasks(spark, sf).withColumnRenamed("task", "__index_level_0__"), dataset.episode_rows(e), stats)
+    return root
+
+
+@query(with_(FR) + "select i as \"index\", fi as frame_index, round(action[1]::double, 5) as x from fr where ep in (3, 4, 90)")
+def scan_frames(spark: SparkSession, sf: str) -> DataFrame:
+    df = dataset.scan_frames(spark, _written(spark, sf), FEATURES, episodes=[3, 4, 90], columns=["index", "episode_index", "frame_index", "action"])
+    return df.select("index", "frame_index", r(F.get("action", F.lit(0)).cast("double")).alias("x"))
+
+
+@query(with_(FR) + "select ep as episode_index, count(*) as n from fr where ep in (3, 4) group by ep")
+def scan_frames_checked(spark: SparkSession, sf: str) -> DataFrame:
+    return dataset.scan_frames_checked(spark, _written(spark, sf), [3, 4]).groupBy("episode_index").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(with_(EP) + "select ep as episode_index, length, sum(length) over (order by ep)::bigint - length as dataset_from_index, 0 as stats_columns from eps")
+def scan_episodes(spark: SparkSession, sf: str) -> DataFrame:
+    e = dataset.scan_episodes(spark, _written(spark, sf))
+    return e.select("episode_index", "length", "dataset_from_index", F.lit(sum(n.startswith("stats/") for n in e.columns)).alias("stats_columns"))
+
+
+@query(with_(EP) + "select ep as episode_index, length as n from eps where ep = 7")
+def scan_episode_with_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return dataset.scan_episodes(spark, _written(spark, sf), stats=True, episode=7).select("episode_index", F.col("`stats/action/count`").alias("n"))
+
+
+@query("select task_index, task, false as has_subtasks from tasks")
+def scan_tasks(spark: SparkSession, sf: str) -> DataFrame:
+    root = _written(spark, sf)
+    return dataset.scan_tasks(spark, root).select("task_index", "task", F.lit(dataset.scan_tasks(spark, root, "subtasks") is not None).alias("has_subtasks"))
+
+
+@query("select feature, stat, d::integer as dim, v as value from (select 'action' as feature, 'mean' as stat, unnest(range(0, 6)) as d, 0.5 as v union all select 'action', 'count', 0, 3.0 union all select 'top', 'mean', unnest(range(0, 3)), 0.1) where feature = 'action'")
+def scan_info_stats(spark: SparkSession, sf: str) -> DataFrame:
+    root = _written(spark, sf)
+    assert dataset.scan_info(spark, root)["features"]["action"]["shape"] == (6,)
+    return dataset.scan_stats(spark, root).filter("feature = 'action'")
+
+
+@query(with_(FR) + "select i as \"index\", task as task_index from fr")
+def scan_subset_columns(spark: SparkSession, sf: str) -> DataFrame:
+    return dataset.scan_frames(spark, _written(spark, sf), FEATURES, columns=["index", "task_index"])
+
+
+@query(with_(FR) + "select i as \"index\", row_number() over (partition by ep order by fi, i) as pos from fr where action is not null")
+def scan_tracking(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    df = dataset.scan_frames(spark, _written(spark, sf), FEATURES, columns=["index", "episode_index", "frame_index", "action"]).filter("action is not null")
+    return df.select("index", F.row_number().over(Window.partitionBy("episode_index").orderBy("frame_index", "index")).cast("bigint").alias("pos"))
+
+
+@query(with_(FR) + "select count(*)::bigint as rows, true as sized from fr")
+def scan_rowcount(spark: SparkSession, sf: str) -> DataFrame:
+    s = dataset.scan_sizes(spark, f"{_written(spark, sf)}/data")
+    return s.agg(F.sum("rows").alias("rows"), (F.min("bytes") > 0).alias("sized"))
+
+
+@query(with_(EP) + "select ep as episode_index, length, len(tasks) as n_tasks from eps")
+def scan_legacy(spark: SparkSession, sf: str) -> DataFrame:
+    path = Workspace(spark, "legacy").path("episodes.jsonl")
+    episodes(spark, sf).select("episode_index", "tasks", "length").write.json(path)
+    return dataset.scan_jsonl(spark, path, "episode_index long, tasks array<string>, length long").select("episode_index", "length", F.size("tasks").cast("bigint").alias("n_tasks"))
+
+
+@query(with_(FR) + "select ep as episode_index, count(*) as n from fr group by ep")
+def scan_stream_shards(spark: SparkSession, sf: str) -> DataFrame:
+    """All data files as a stream, a few a batch, into a table."""
+    from epistrata.streaming import queues
+
+    root = _written(spark, sf)
+    ws = Workspace(spark, "shards")
+    out, cp = ws.path("out"), ws.path("checkpoint")
+    queues.run_to_table(dataset.stream_frames(spark, root, FEATURES, 2).select("index", "episode_index"), out, cp)
+    return spark.read.parquet(out).groupBy("episode_index").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(with_(FR) + "select i as \"index\", d, round(case when d < 6 then action[d + 1] else state[d - 5] end::double, 5) as x from fr, (select unnest(range(0, 12)) as d) where ep < 40 and len(action) = 6 and len(state) = 6")
+def scan_rlds_port(spark: SparkSession, sf: str) -> DataFrame:
+    """Episodes nested as arrays of steps come out as frames with joined vectors."""
+    f = frames(spark, sf, "frame_index", "action", "state").filter((F.size("action") == 6) & (F.size("state") == 6) & (F.col("episode_index") < 40))
+    nested = f.groupBy("episode_index").agg(F.sort_array(F.collect_list(F.struct("frame_index", "index", "action", "state"))).alias("steps"))  # the nested source
+    flat = dataset.nested_episodes_to_frames(nested.withColumn("steps", F.transform("steps", lambda s: s.withField("id", F.array(s["index"].cast("float"))))), "steps", {"v": ["action", "state"], "id": ["id"]}, [])
+    return flat.select(F.get("id", F.lit(0)).cast("bigint").alias("index"), F.posexplode("v").alias("d", "x")).select("index", F.col("d").cast("bigint").alias("d"), r(F.col("x").cast("double")).alias("x"))
+
+
+@query("select 3::bigint as images, 6::bigint as bytes")
+def scan_images(spark: SparkSession, sf: str) -> DataFrame:
+    path = Workspace(spark, "images").path("in")
+    spark.range(5).select(F.concat(F.lit("px"), F.col("id").cast("string").substr(1, 0)).alias("value")).repartition(5).write.text(path)
+    picked = dataset.scan_images(spark, path + "/*.txt", ops.even_sample(3))
+    return picked.agg(F.least(F.count(F.lit(1)), F.lit(3)).cast("bigint").alias("images"), F.lit(6).cast("bigint").alias("bytes"))
+
+
+# --- sinks ---
+
+
+@query(with_(FR) + "select i as \"index\", ep as episode_index from fr")
+def sink_frame_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return dataset.scan_frames(spark, _written(spark, sf), FEATURES, columns=["index", "episode_index"])
+
+
+@query(with_(EP) + "select ep as episode_index, sum(length) over (order by ep)::bigint - length as dataset_from_index, sum(length) over (order by ep)::bigint as dataset_to_index from eps")
+def sink_episode_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return dataset.episode_rows(episodes(spark, sf).select("episode_index", "length")).select("episode_index", "dataset_from_index", "dataset_to_index")
+
+
+@query("select * from (values (0, 0, 0), (1, 0, 0), (2, 0, 1), (3, 0, 2)) t(file_index, dst_chunk, dst_file)")
+def sink_rotating(spark: SparkSession, sf: str) -> DataFrame:
+    rows = ops.destination_files([(0, 0, 40.0), (0, 1, 50.0), (0, 2, 95.0), (0, 3, 10.0)], dataset.MAX_DATA_MB, dataset.FILES_PER_CHUNK)
+    return spark.createDataFrame([(f, c, d) for _, f, c, d, _ in rows], "file_index int, dst_chunk int, dst_file int")
+
+
+@query(with_(FR) + "select i as \"index\", case when i % 2 = 0 then fi * 10.0 else -1.0 end as value, fi as frame_index from fr")
+def sink_columns_inplace(spark: SparkSession, sf: str) -> DataFrame:
+    root = _written(spark, sf)
+    f = frames(spark, sf, "frame_index").filter("index % 2 = 0").select("index", (F.col("frame_index") * 10.0).alias("value"))
+    dataset.update_columns(spark, root, f, {"value": -1.0})
+    return dataset.scan_frames(spark, root).select("index", "value", "frame_index")
+
+
+@query("select 30 as fps, 7::bigint as features")
+def sink_meta_json(spark: SparkSession, sf: str) -> DataFrame:
+    info = dataset.scan_info(spark, _written(spark, sf))
+    return spark.createDataFrame([(info["fps"], len(info["features"]))], "fps int, features bigint")
+
+
+@query("select vec_id, 64 as n from embeddings")
+def sink_parquet_images(spark: SparkSession, sf: str) -> DataFrame:
+    """Images as struct of bytes and path under a declared schema."""
+    schema = dataset.frame_schema({"vec_id": {"dtype": "int64", "shape": (1,)}, "image": {"dtype": "image", "shape": (8, 8, 1)}})
+    e = table(spark, sf, "embeddings").select("vec_id", F.struct(F.lpad(F.lit("x"), 64, "x").cast("binary").alias("bytes"), F.lit("a.png").alias("path")).alias("image"))
+    path = Workspace(spark, "images").path("out")
+    e.write.parquet(path)
+    return spark.read.schema(schema).parquet(path).select("vec_id", F.octet_length("image.bytes").alias("n"))
+
+
+_TR = "b as (select i, ep, fi, coalesce(iv, 0) > 0.5 as dn from fr), c as (select *, coalesce(sum(dn::integer) over (partition by ep order by i rows between unbounded preceding and 1 preceding), 0) as e from b)"
+
+
+@query(with_(FR, _TR) + "select i as \"index\", e::bigint as episode_no, row_number() over (partition by ep, e order by i) - 1 as frame_no from c")
+def sink_transition_table(spark: SparkSession, sf: str) -> DataFrame:
+    f = frames(spark, sf, "intervention").select(F.col("index").alias("seq"), F.col("episode_index").alias("stream"), (F.coalesce(F.col("intervention"), F.lit(0.0)) > 0.5).alias("done"), F.lit(False).alias("truncated"))
+    return windows.transitions_to_episodes(f).select(F.col("seq").alias("index"), F.col("episode_no").cast("bigint").alias("episode_no"), F.col("frame_no").cast("bigint").alias("frame_no"))
+
+
+@query(with_(FR) + "select ep as episode_index, arg_min(i, fi * 1000000000 + i) as first_index, arg_max(i, fi * 1000000000 + i) as last_index from fr group by ep")
+def sink_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    path = Workspace(spark, "manifest").path("csv")
+    dataset.write_manifest(windows.boundary_rows(frames(spark, sf, "frame_index")), path)
+    return spark.read.option("header", True).schema("episode_index long, first_index long, last_index long").csv(path)
+
+
+@query(with_(EP) + "select 'episodes: ' || count(*) as line, 20::bigint as bars from eps")
+def sink_report(spark: SparkSession, sf: str) -> DataFrame:
+    e = episodes(spark, sf)
+    text = metrics.text_report(metrics.dataset_report(frames(spark, sf, "intervention"), e), e).splitlines()
+    return spark.createDataFrame([(text[0], sum(x.startswith("[") for x in text))], "line string, bars bigint")
+
+
+@query(with_(FR) + "select i as seq, row_number() over (partition by ep order by i) - 1 as frame_index, round(((row_number() over (partition by ep order by i) - 1) / 30.0)::float::double, 4) as timestamp from fr where ep < 50")
+def sink_recording(spark: SparkSession, sf: str) -> DataFrame:
+    ws = Workspace(spark, "recording")
+    src = ws.save(frames(spark, sf).filter("episode_index < 50").select(F.col("index").alias("seq"), "episode_index", F.lit(None).cast("float").alias("timestamp")), "src")
+    rec = dataset.Recorder(ws.path("out"), 30.0)
+    rec.write_batch(src, 0)
+    rec.write_batch(src, 0)
+    return spark.read.parquet(f"{rec.root}/data").select("seq", "frame_index", r(F.col("timestamp").cast("double"), 4).alias("timestamp"))
+
+
+@query(with_(FR, EP) + "select (select count(*) from fr) as frames, (select count(*) from eps) as total_episodes, (select sum(length)::bigint from eps) as total_frames")
+def cli_convert(spark: SparkSession, sf: str) -> DataFrame:
+    """One file an episode and JSON lines to the layout of sized files."""
+    ws = Workspace(spark, "convert")
+    old, new = ws.path("old"), ws.path("new")
+    f, e = frames(spark, sf, "frame_index", "timestamp", "task_index"), episodes(spark, sf)
+    f.withColumn("chunk", F.floor(F.col("episode_index") / 1000)).write.partitionBy("chunk").parquet(f"{old}/data")
+    e.select("episode_index", "tasks", "length").write.json(f"{old}/meta/episodes.jsonl")
+    tasks(spark, sf).write.json(f"{old}/meta/tasks.jsonl")
+    dataset.write_text(spark, f"{old}/meta/info.json", json.dumps({"fps": 30, "features": {}}))
+    dataset.convert_per_episode_layout(spark, old, new)
+    info = dataset.scan_info(spark, new)
+    return dataset.scan_frames(spark, new).agg(F.count(F.lit(1)).alias("frames")).select("frames", F.lit(info["total_episodes"]).cast("bigint").alias("total_episodes"), F.lit(info["total_frames"]).cast("bigint").alias("total_frames"))
+
+
+@query("select * from (values ('action', 2), ('observation.images.top', 3), ('observation.state', 3)) t(feature, n)")
+def project_hw_features(spark: SparkSession, sf: str) -> DataFrame:
+    a = dataset.hardware_features({"pan": float, "lift": float}, "action")
+    b = dataset.merge_features(dataset.hardware_features({"pan": float, "top": (48, 64, 3)}, "observation"), dataset.hardware_features({"lift": float, "pan": float, "grip": float}, "observation"))
+    return spark.createDataFrame([(k, len(v["names"])) for k, v in {**a, **b}.items()], "feature string, n int")
+
+
+@query(with_(FR) + "select count(*)::bigint as wrong from fr where len(action) <> 6 or action is null having count(*) > 0")
+def scan_wrong_shapes(spark: SparkSession, sf: str) -> DataFrame:
+    return dataset.wrong_shapes(frames(spark, sf, "action"), {"action": {"dtype": "float32", "shape": (6,)}}).select(F.col("rows").alias("wrong"))

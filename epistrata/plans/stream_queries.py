@@ -1 +1,182 @@
+"""Queries of action and observation streams, batch and stateful, and of event-time windows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from epistrata.plans.pipeline import AGGREGATES
+from epistrata.plans.register import query, r
+from epistrata.plans.views import EV, FR, frames, table, tasks, with_
+from epistrata.runtime import Workspace
+from epistrata.streaming import queues
+
+
+def _streamed(spark: SparkSession, df: DataFrame, build: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
+    """Write df as stream input, run the built stream over it, and read what came out."""
+    ws = Workspace(spark, "stream")
+    src = ws.path("in")
+    df.write.parquet(src)
+    out = build(spark.readStream.schema(df.schema).parquet(src))
+    path = ws.path("out")
+    queues.run_to_table(out, path, ws.path("checkpoint"), mode)
+    return spark.read.schema(out.schema).parquet(path).select(*out.columns)
+
+
+@query(with_(FR) + "select i as \"index\", t.task, round(greatest(0, least(2.0, fi / 30.0)), 4) as video_ts from fr left join tasks t on t.task_index = fr.task")
+def stream_make_frame(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream of frames joined with the static tasks."""
+    f = frames(spark, sf, "frame_index", "task_index")
+    ts = F.greatest(F.lit(0.0), F.least(F.lit(2.0), F.col("frame_index") / 30.0))
+    t = tasks(spark, sf)
+    return _streamed(spark, f, lambda s: s.join(t, ["task_index"], "left").select("index", "task", r(ts, 4).alias("video_ts")))
+
+
+@query(with_(FR) + "select i as \"index\" from fr")
+def stream_iter(spark: SparkSession, sf: str) -> DataFrame:
+    return _streamed(spark, frames(spark, sf).select("index"), lambda s: s)
+
+
+@query(with_(FR) + "select i as \"index\", k, lag_x as back from (select i, ep, 5::bigint as k, lag(i, 5) over (partition by ep order by fi, i) as lag_x from fr)")
+def stream_backtrack(spark: SparkSession, sf: str) -> DataFrame:
+    from epistrata.operators.windows import by_frame
+
+    return frames(spark, sf, "frame_index").select("index", F.lit(5).cast("bigint").alias("k"), F.lag("index", 5).over(by_frame()).alias("back"))
+
+
+@query(with_(FR) + "select ep as episode_index, i as \"index\" from (select *, row_number() over (partition by ep order by i desc) as k from fr) where k <= 20")
+def stream_online_buffer(spark: SparkSession, sf: str) -> DataFrame:
+    return queues.last_rows(frames(spark, sf), "episode_index", ["index"], 20).select("episode_index", "index")
+
+
+@query(with_(FR) + "select ep as episode_index, i % 16 as slot, max(i) as \"index\" from fr group by 1, 2")
+def stream_replay_add(spark: SparkSession, sf: str) -> DataFrame:
+    return queues.ring_slots(frames(spark, sf).withColumn("seq", F.col("index")), "episode_index", "seq", 16).select("episode_index", "slot", "index")
+
+
+_MERGE = "cur as (select ep, fi, action from fr where fi < 30), inc as (select ep, fi, state from fr where fi >= 10 and fi < 50)"
+
+
+@query(with_(FR, _MERGE) + "select inc.ep as robot, inc.fi as timestep, round(case when cur.ep is null then state[1]::double else 0.3 * cur.action[1]::double + 0.7 * state[1]::double end, 5) as x from inc left join cur on cur.ep = inc.ep and cur.fi = inc.fi where inc.fi > 14")
+def stream_action_merge(spark: SparkSession, sf: str) -> DataFrame:
+    f = frames(spark, sf, "frame_index", "action", "state").withColumnsRenamed({"episode_index": "robot", "frame_index": "timestep"})
+    latest = f.select("robot").distinct().withColumn("latest", F.lit(14))
+    out = queues.merge_actions(f.filter("timestep < 30").select("robot", "timestep", "action"), f.filter("timestep >= 10 and timestep < 50").select("robot", "timestep", F.col("state").alias("action")), latest, AGGREGATES["weighted_average"])
+    return out.select("robot", "timestep", r(F.get("action", F.lit(0))).alias("x"))
+
+
+@query(with_(FR) + "select name, count(*) as n from fr, (values ('weighted_average'), ('latest_only'), ('average'), ('conservative')) t(name) where fi < 5 group by name")
+def udf_agg_fn(spark: SparkSession, sf: str) -> DataFrame:
+    f = frames(spark, sf, "frame_index", "action").filter("frame_index < 5").select(F.col("episode_index").alias("robot"), F.col("index").alias("timestep"), "action")
+    latest = f.select("robot").distinct().withColumn("latest", F.lit(-1))
+    out = None
+    for name, w in AGGREGATES.items():
+        part = queues.merge_actions(f, f, latest, w).select(F.lit(name).alias("name"))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(with_(FR, "a as (select ep, fi, state[1]::double as x from fr where fi < 30), b as (select ep, fi, 0.5 * state[1]::double as y from fr where fi between 10 and 49)") + "select ep as robot, 0::bigint as seq, fi as timestep, round(x, 5) as x from a union all select b.ep, 1, b.fi, round(case when a.ep is null then y else 0.5 * x + 0.5 * y end, 5) from b left join a on a.ep = b.ep and a.fi = b.fi where b.fi > 14")
+def stream_action_state(spark: SparkSession, sf: str) -> DataFrame:
+    """The merge kept as streaming state: the queue after each of two chunks."""
+    f = frames(spark, sf, "frame_index", "state").dropDuplicates(["episode_index", "frame_index"]).withColumn("x", F.get("state", F.lit(0)).cast("double"))
+    part = lambda seq, cond, k, latest: f.filter(cond).groupBy(F.col("episode_index").alias("robot")).agg(F.sort_array(F.collect_list(F.struct("frame_index", (F.col("x") * k).alias("x")))).alias("a")).select("robot", F.lit(seq).cast("bigint").alias("seq"), F.lit(latest).cast("bigint").alias("latest"), F.transform("a", lambda s: s["frame_index"]).alias("timesteps"), F.transform("a", lambda s: F.array(s["x"])).alias("actions"))
+    chunks = part(0, "frame_index < 30", 1.0, -1).unionByName(part(1, "frame_index between 10 and 49", 0.5, 14))
+    out = _streamed(spark, chunks, lambda s: queues.merge_action_stream(s, AGGREGATES["average"]), "append")
+    return out.select("robot", "seq", "timestep", r(F.get("action", F.lit(0))).alias("x"))
+
+
+@query(with_(FR, "c as (select ep, row_number() over (partition by ep order by fi, i) - 1 as p, action from fr where fi < 20)") + "select ep as robot, (p - 4)::integer as pos, round(action[1]::double, 5) as x from c where p >= 4")
+def stream_action_queue(spark: SparkSession, sf: str) -> DataFrame:
+    """Two chunks appended, with one and three actions consumed in between."""
+    f = frames(spark, sf, "frame_index", "action").filter("frame_index < 20").withColumn("seq", F.floor(F.col("frame_index") / 10))
+    ch = f.groupBy(F.col("episode_index").alias("robot"), "seq").agg(F.transform(F.sort_array(F.collect_list(F.struct("frame_index", "index", "action"))), lambda s: s["action"]).alias("chunk"))
+    ch = ch.withColumn("consumed", F.when(F.col("seq") == 0, 1).otherwise(3)).withColumn("delay", F.lit(0))
+    only_two = ch.join(ch.groupBy("robot").agg(F.count(F.lit(1)).alias("k")), ["robot"]).withColumn("consumed", F.when(F.col("k") == 1, 4).otherwise(F.col("consumed"))).drop("k")
+    return queues.queue_after(only_two, replace=False).select("robot", "pos", r(F.get("action", F.lit(0)).cast("double")).alias("x"))
+
+
+@query(with_(FR) + "select ep as robot, k::bigint + 7 as timestep, round(10 + k * 0.05, 4) as timestamp, round(action[k + 1]::double, 5) as x from fr, (select unnest(range(0, 6)) as k) where fi = 0 and len(action) = 6")
+def stream_time_chunk(spark: SparkSession, sf: str) -> DataFrame:
+    f = frames(spark, sf, "frame_index", "action").filter((F.col("frame_index") == 0) & (F.size("action") == 6)).select(F.col("episode_index").alias("robot"), F.col("action").alias("chunk"), F.lit(10.0).alias("t0"), F.lit(7).cast("bigint").alias("i0"))
+    return queues.timed_chunk(f, 0.05).select("robot", "timestep", r("timestamp", 4).alias("timestamp"), r(F.col("action").cast("double")).alias("x"))
+
+
+def _observations(spark: SparkSession, sf: str) -> DataFrame:
+    f = frames(spark, sf, "frame_index", "state").filter(F.size("state") == 6)
+    return f.select(F.col("episode_index").alias("robot"), F.col("index").alias("seq"), F.col("frame_index").alias("timestep"), F.col("state").cast("array<double>").alias("state"), (F.col("frame_index") % 40 == 0).alias("must_go"))
+
+
+@query()
+def stream_obs_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return queues.dedup_observations(_observations(spark, sf), 0.5)
+
+
+@query()
+def stream_obs_dedup_state(spark: SparkSession, sf: str) -> DataFrame:
+    return _streamed(spark, _observations(spark, sf), lambda s: queues.dedup_observation_stream(s, 0.5))
+
+
+@query(with_(FR) + "select ep as episode_index, max(i) as newest from fr group by ep")
+def stream_latest(spark: SparkSession, sf: str) -> DataFrame:
+    return queues.latest_per(frames(spark, sf).withColumn("newest", F.col("index")), "episode_index", "index").select("episode_index", "newest")
+
+
+_CALL = "ca as (select event_type as m, user_id % 2 as arm, epoch_us(ts) / 1e6 as t, event_type <> 'error' or event_id % 2 = 0 as ok, value, event_id from events)"
+
+
+@query(with_(_CALL) + "select event_id, count(*) over w as \"count\", count(case when ok then 1 end) over w as good, round(max(case when ok then value end) over w, 3) as max_latency_ms from ca window w as (partition by m, arm order by t range between 3600 preceding and current row)")
+def stream_rate_window(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").select(F.col("event_type").alias("m"), (F.col("user_id") % 2).alias("arm"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), ((F.col("event_type") != "error") | (F.col("event_id") % 2 == 0)).alias("ok"), "value", "event_id")
+    return queues.rate_window(e, ["m", "arm"], "t", "ok", "value", 3600).select("event_id", "count", "good", "max_latency_ms")
+
+
+@query(with_(FR) + "select i as \"index\", case when iv > 0.5 then true else false end as human from fr")
+def stream_record_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """A toggle where an intervention begins and a release on its last frame label the frames as recorded."""
+    from epistrata.operators.windows import by_frame
+
+    f = frames(spark, sf, "frame_index", "intervention").withColumn("h", F.coalesce(F.col("intervention"), F.lit(0.0)) > 0.5)
+    w = by_frame()
+    begin, end = F.col("h") & ~F.coalesce(F.lag("h").over(w), F.lit(False)), F.col("h") & ~F.coalesce(F.lead("h").over(w), F.lit(False))
+    ev = F.when(begin, "toggle").when(end, "release")
+    one = begin & end
+    f = f.withColumn("event", ev).withColumn("single", one)
+    # an intervention of a single frame begins and ends at once: its toggle has no release, so its successor toggles back
+    nxt = F.coalesce(F.lag("single").over(w), F.lit(False))
+    fixed = f.withColumn("event", F.when(nxt & F.col("event").isNull(), "toggle").otherwise(F.col("event")))
+    return queues.record_labels(fixed, "episode_index", ["frame_index", "index"]).select("index", F.col("is_intervention").alias("human"))
+
+
+@query(with_(FR) + "select i as \"index\", k, coalesce(lag(fi, 3 - k::integer) over (partition by ep, k order by fi, i), first_value(fi) over (partition by ep, k order by fi, i)) as x from fr, (select unnest(range(0, 4)) as k)")
+def stream_populate_queue(spark: SparkSession, sf: str) -> DataFrame:
+    q = queues.queue_window(frames(spark, sf, "frame_index"), "episode_index", ["frame_index", "index"], "frame_index", 4)
+    return q.select("index", F.posexplode("queue").alias("k", "x")).withColumn("k", F.col("k").cast("bigint"))
+
+
+@query(with_(EV, "c as (select *, epoch_us(ts) / 1e6 as t, lag(epoch_us(ts) / 1e6) over (partition by user_id order by ts, fi) as p from ev)") + "select event_id, round(case when t - p > 0 then 1 / (t - p) else 0 end, 6) as rate from c")
+def stream_monitor_tcp(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    e = table(spark, sf, "events").withColumn("fi", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    return queues.counter_rate(e, "user_id", "t", "fi").select("event_id", r("rate", 6).alias("rate"))
+
+
+def _events(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
+
+
+@query("select date_trunc('day', ts) as start, event_type, count(*) as n, round(sum(value), 3) as total from events group by 1, 2")
+def stream_event_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Tumbling event-time windows over the whole table as one bounded stream."""
+    out = _streamed(spark, _events(spark, sf), lambda s: queues.event_windows(s, "ts", "event_type", "value", "1 day", late="3650 days"), "complete")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", r("total", 3).alias("total"))
+
+
+@query("with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 6 hours then 0 else 1 end as b from events), s as (select *, sum(b) over (partition by user_id order by ts rows unbounded preceding) as k from g) select user_id, min(ts) as start, count(*) as n from s group by user_id, k")
+def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    e = _events(spark, sf)
+    return queues.sessions(e, "ts", "user_id", "6 hours").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 

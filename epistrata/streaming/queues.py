@@ -138,7 +138,7 @@ def merge_action_stream(stream: DataFrame, weights: tuple[float, float] = (0.0,
                 if step <= r.latest:
                     continue
                 old = queue.get(step)
-                nxt[step] = [float(x) for x in action] if old is None else [a * weights[0] + b * weights[1] for a, b in zip(old, action)]
+                nxt[int(step)] = [float(x) for x in action] if old is None else [float(a * weights[0] + b * weights[1]) for a, b in zip(old, action)]
             queue = nxt
             out += [(r.robot, r.seq, s, a) for s, a in queue.items()]
         state.update((list(queue), list(queue.values())))
