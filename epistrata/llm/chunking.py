@@ -181,7 +181,8 @@ def split_oversized(documents: DataFrame, limits: DataFrame, vocabulary: str = D
     Null texts, and sources that are null or have no limit, are not cut. Sources match without case and outer blanks. An
     overlap of null or below 0 counts as 0, one not below the limit as the limit less one; where it leaves no
     room for the next boundary, the piece starts at the cut. A limit null or below 1 is none; of several rows for a source the smallest limit and
-    largest overlap hold. A character of more tokens than the limit is a piece by itself. Repeated rows are cut each.
+    largest overlap hold. A character (with a blank that its first token holds) of more tokens than the limit is a piece by itself. An overlap
+    above half the limit may start a piece before the one before it. Repeated rows are cut each.
     """
     lim = limits.select(normal_source(F.col("source")).alias("src"), F.col("max_tokens").cast("int").alias("max_tokens"), F.greatest(F.coalesce(F.col("overlap_tokens").cast("int"), F.lit(0)), F.lit(0)).alias("ov")).filter("max_tokens >= 1 and src is not null")
     lim = lim.groupBy("src").agg(F.min("max_tokens").alias("lim"), F.max("ov").alias("ov"))
