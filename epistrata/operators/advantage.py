@@ -6,17 +6,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from epistrata.runtime import lookup_join
+from epistrata.operators.quantiles import exact_quantiles
+from epistrata.runtime import Workspace, lookup_join
+
+
+#: Frames of an episode that are one window's work; longer episodes are split.
+PART_FRAMES = 8192
+
+
+def in_parts(df: DataFrame, ahead: int, size: int = PART_FRAMES) -> DataFrame:
+    """Frames partitioned by episode and stretch of ``size`` frames, each stretch with the ``ahead`` frames after it as ``halo``.
+
+    Windows that look at most that far ahead then work on stretches, so an episode of any length is many tasks' work; episodes within one
+    stretch gain no rows. Repeated rows of an index go, as this is the one shuffle. Rows without frame_index are a stretch by themselves.
+    """
+    p = F.floor(F.col("frame_index") / size)
+    rows = df.withColumn("part", F.explode(F.when((p > 0) & (F.pmod(F.col("frame_index"), F.lit(size)) < ahead), F.array(p, p - 1)).otherwise(F.array(p))))
+    rows = rows.withColumn("halo", F.coalesce(F.col("part") != p, F.lit(False)))
+    return rows.repartition("episode_index", "part").dropDuplicates(["episode_index", "part", "index"])
+
+
+def _keys(df: DataFrame) -> list[str]:
+    return ["episode_index", "part"] if "part" in df.columns else ["episode_index"]
 
 
 def runs(df: DataFrame) -> DataFrame:
-    """Adds ``run``: equal for rows of an episode with consecutive frame_index."""
-    w = Window.partitionBy("episode_index").orderBy("frame_index", "index")
+    """Adds ``run``: equal for rows of an episode (or stretch) with consecutive frame_index."""
+    w = Window.partitionBy(*_keys(df)).orderBy("frame_index", "index")
     return df.withColumn("run", F.col("frame_index") - F.row_number().over(w))
 
 
-def _by_run() -> Window:
-    return Window.partitionBy("episode_index", "run").orderBy("frame_index", "index")
+def _by_run(df: DataFrame) -> Window:
+    return Window.partitionBy(*_keys(df), "run").orderBy("frame_index", "index")
 
 
 def task_max_length(episodes: DataFrame) -> DataFrame:
@@ -43,18 +64,18 @@ def value_targets(frames: DataFrame, episodes: DataFrame, c_fail: float = 1.0) -
 
 def dense_rewards(df: DataFrame, target: str = "target") -> DataFrame:
     """Adds ``reward``: the target less that of the next frame of the run, the target itself at a run's end."""
-    return df.withColumn("reward", F.col(target) - F.coalesce(F.lead(target).over(_by_run()), F.lit(0.0)))
+    return df.withColumn("reward", F.col(target) - F.coalesce(F.lead(target).over(_by_run(df)), F.lit(0.0)))
 
 
 def n_step_advantages(df: DataFrame, n: int = 50, value: str = "value", reward: str = "reward") -> DataFrame:
     """Adds ``advantage``: undiscounted sum of the next n rewards of the run, plus the value n steps on if the run reaches there, less the value."""
-    w = _by_run()
+    w = _by_run(df)
     return df.withColumn("advantage", F.sum(reward).over(w.rowsBetween(0, n - 1)) + F.coalesce(F.lead(value, n).over(w), F.lit(0.0)) - F.col(value))
 
 
 def task_thresholds(df: DataFrame, positive_ratio: float = 0.3, advantage: str = "advantage") -> DataFrame:
-    """(task_index, threshold): the interpolated quantile at 1 - positive_ratio."""
-    return df.filter(F.col(advantage).isNotNull() & ~F.isnan(advantage)).groupBy("task_index").agg(F.percentile(advantage, 1.0 - positive_ratio).alias("threshold"))
+    """(task_index, threshold): the interpolated quantile at 1 - positive_ratio, exact for tasks of any size."""
+    return exact_quantiles(df, ["task_index"], advantage, [1.0 - positive_ratio]).select("task_index", F.get("q", F.lit(0)).alias("threshold"))
 
 
 def indicators(df: DataFrame, thresholds: DataFrame, force: bool = True, advantage: str = "advantage", intervention: str = "intervention") -> DataFrame:
@@ -64,9 +85,16 @@ def indicators(df: DataFrame, thresholds: DataFrame, force: bool = True, advanta
     return out.withColumn("indicator", F.when(F.lit(force) & (F.coalesce(F.col(intervention), F.lit(0.0)) > 0.5), 1).otherwise(above)).drop("threshold")
 
 
+def advantages(frames: DataFrame, episodes: DataFrame, n_step: int = 50, c_fail: float = 1.0) -> DataFrame:
+    """target, reward and advantage of frames with a ``value`` column, long episodes in stretches."""
+    rows = value_targets(in_parts(frames, n_step + 1), episodes, c_fail)
+    out = n_step_advantages(dense_rewards(runs(rows)), n_step)
+    return out.filter(~F.col("halo")).drop("run", "part", "halo")
+
+
 def annotate(frames: DataFrame, episodes: DataFrame, n_step: int = 50, positive_ratio: float = 0.3, c_fail: float = 1.0, force: bool = True) -> DataFrame:
-    """The whole chain over frames with a ``value`` column: target, reward, advantage, indicator."""
-    df = n_step_advantages(dense_rewards(runs(value_targets(frames, episodes, c_fail))), n_step)
+    """The whole chain over frames with a ``value`` column: target, reward, advantage, indicator. Advantages are written once and read for thresholds and indicators."""
+    df = Workspace(frames.sparkSession, "annotate").save(advantages(frames, episodes, n_step, c_fail), "advantages")
     return indicators(df, task_thresholds(df, positive_ratio), force)
 
 

@@ -9,16 +9,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from epistrata.functions import arrays, text
+from epistrata.operators.quantiles import exact_quantiles
 from epistrata.operators.stats import length_histogram
 from epistrata.runtime import c
 
 
+def _with_quantiles(out: DataFrame, rows: DataFrame, keys: Sequence[str], wanted: dict[str, dict[str, float]]) -> DataFrame:
+    """Adds exact quantiles of columns of rows by name; a group without values has null."""
+    for column, names in wanted.items():
+        q = exact_quantiles(rows, keys, column, list(names.values())).withColumnRenamed("q", "__q")
+        near = out.join(q, list(keys), "left") if keys else out.join(F.broadcast(q), F.lit(True), "left")  # one row each
+        out = near.select(*[c(n) for n in out.columns], *[F.get("__q", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    return out
+
+
 def action_error(df: DataFrame, pred: str, target: str, which: Sequence[int]) -> DataFrame:
     """One row: frames, mae, rmse, L2 mean, median and p90, target L2, relative L2 over some dimensions."""
     d = [arrays.at(c(pred), i) - arrays.at(c(target), i) for i in which]
     rows = df.select((sum((F.abs(x) for x in d), F.lit(0.0)) / len(d)).alias("a"), (sum((x * x for x in d), F.lit(0.0)) / len(d)).alias("s"), arrays.norm(c(target), which).alias("t"))
-    l2 = F.sqrt(F.col("s") * len(d))
-    return rows.agg(F.count("s").alias("frames"), F.avg("a").alias("mae"), F.sqrt(F.avg("s")).alias("rmse"), F.avg(l2).alias("l2_mean"), F.percentile(l2, 0.5).alias("l2_median"), F.percentile(l2, 0.9).alias("l2_p90"), F.avg("t").alias("target_l2"), (F.avg(l2) / (F.avg("t") + 1e-8)).alias("relative_l2"))
+    rows = rows.withColumn("l2", F.sqrt(F.col("s") * len(d)))
+    out = rows.agg(F.count("s").alias("frames"), F.avg("a").alias("mae"), F.sqrt(F.avg("s")).alias("rmse"), F.avg("l2").alias("l2_mean"), F.avg("t").alias("target_l2"), (F.avg("l2") / (F.avg("t") + 1e-8)).alias("relative_l2"))
+    return _with_quantiles(out, rows, [], {"l2": {"l2_median": 0.5, "l2_p90": 0.9}})
 
 
 def per_dim_error(df: DataFrame, pred: str, target: str, which: Sequence[int]) -> DataFrame:
@@ -33,7 +44,8 @@ def arm_usage(df: DataFrame, left: Sequence[int], right: Sequence[int], threshol
     rows = df.filter(c(action).isNotNull()).select(a.alias("a"), b.alias("b"))
     share = lambda cond: F.avg(cond.cast("double"))
     x, y = F.col("a"), F.col("b")
-    return rows.agg(F.avg(x).alias("left_mean"), F.percentile("a", 0.9).alias("left_p90"), F.avg(y).alias("right_mean"), F.percentile("b", 0.9).alias("right_p90"), F.avg(y / (x + 1e-8)).alias("wrong_over_correct"), share(x > y).alias("left_dominant"), share(y > x).alias("right_dominant"), share(x > threshold).alias("left_active"), share(y > threshold).alias("right_active"))
+    out = rows.agg(F.avg(x).alias("left_mean"), F.avg(y).alias("right_mean"), F.avg(y / (x + 1e-8)).alias("wrong_over_correct"), share(x > y).alias("left_dominant"), share(y > x).alias("right_dominant"), share(x > threshold).alias("left_active"), share(y > threshold).alias("right_active"))
+    return _with_quantiles(out, rows, [], {"a": {"left_p90": 0.9}, "b": {"right_p90": 0.9}})
 
 
 def rollout_summary(df: DataFrame) -> DataFrame:
@@ -56,7 +68,8 @@ def latency_summary(df: DataFrame, key: str, start: str, latency: str) -> DataFr
     w = Window.partitionBy(key).orderBy(start, latency)
     rows = df.withColumn("__gap", c(start) - F.lag(c(start)).over(w))
     span = F.max(start) - F.min(start)
-    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("calls"), F.when(span > 1e-6, (F.count(F.lit(1)) - 1) / F.when(span > 1e-6, span)).otherwise(0.0).alias("hz"), F.avg(latency).alias("mean"), F.percentile(latency, 0.5).alias("p50"), F.percentile(latency, 0.95).alias("p95"), F.max(latency).alias("max"), F.avg("__gap").alias("gap_mean"), F.percentile("__gap", 0.95).alias("gap_p95"))
+    out = rows.groupBy(key).agg(F.count(F.lit(1)).alias("calls"), F.when(span > 1e-6, (F.count(F.lit(1)) - 1) / F.when(span > 1e-6, span)).otherwise(0.0).alias("hz"), F.avg(latency).alias("mean"), F.max(latency).alias("max"), F.avg("__gap").alias("gap_mean"))
+    return _with_quantiles(out, rows, [key], {latency: {"p50": 0.5, "p95": 0.95}, "__gap": {"gap_p95": 0.95}})
 
 
 def latency_tracker(df: DataFrame, key: str, order: Sequence[str], latency: str, last: int = 100, q: float = 0.95) -> DataFrame:

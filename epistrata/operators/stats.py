@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from epistrata.operators.quantiles import exact_quantiles
 from epistrata.runtime import c
 
 QUANTILES = (0.01, 0.10, 0.50, 0.90, 0.99)
@@ -30,11 +31,19 @@ def long_form(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ())
 def feature_stats(df: DataFrame, features: Sequence[str], by: Sequence[str] = (), exact: bool = True) -> DataFrame:
     """min, max, mean, std (population), count and quantiles per feature and dimension; with fewer than two values the quantiles are the mean.
 
-    Exact quantiles keep a count per distinct value; ``exact=False`` uses Spark's mergeable sketch instead, for continuous values at scale.
+    Exact quantiles hold at most a bounded number of values in a task (see quantiles.py); ``exact=False`` uses Spark's mergeable sketch in
+    the same pass as the moments.
     """
-    q = F.percentile("x", F.array(*[F.lit(p) for p in QUANTILES])) if exact else F.percentile_approx("x", [*QUANTILES], 10_000)
     keys = [*by, "feature", "dim"]
-    s = long_form(df, features, by).groupBy(*[c(k) for k in keys]).agg(F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.count("x").alias("count"), q.alias("q"))
+    x = long_form(df, features, by)
+    moments = [F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.count("x").alias("count")]
+    if exact:
+        if not by:  # few groups: two passes over the columns
+            s = x.groupBy("feature", "dim").agg(*moments).join(exact_quantiles(x, ["feature", "dim"], "x", QUANTILES), ["feature", "dim"])
+        else:  # groups as small as episodes
+            s = x.groupBy(*[c(k) for k in keys]).agg(*moments, F.percentile("x", F.array(*[F.lit(p) for p in QUANTILES])).alias("q"))
+    else:
+        s = x.groupBy(*[c(k) for k in keys]).agg(*moments, F.percentile_approx("x", [*QUANTILES], 10_000).alias("q"))
     return s.select(*[c(k) for k in keys], "min", "max", "mean", "std", "count", *[F.when(F.col("count") < 2, F.col("mean")).otherwise(F.get("q", F.lit(i))).alias(n) for i, n in enumerate(NAMES)])
 
 

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from epistrata.functions import arrays
-from epistrata.runtime import c
+from epistrata.operators.quantiles import exact_quantiles
+from epistrata.runtime import Workspace, c
 
 
 def by_frame() -> Window:
@@ -120,40 +121,40 @@ def joint_velocity(df: DataFrame, dt: float, dims: int, column: str = "state") -
 # --- tracking ---
 
 
-def tracking_errors(df: DataFrame, lag: int, arms: dict[str, tuple[Sequence[int], Sequence[int]]], command: str = "action", state: str = "state", least: float = 0.0, cumulative: bool = False) -> DataFrame:
-    """(episode_index, frame_index, arm, lag, norms): what the arm moved over ``lag`` frames against what was commanded.
+def tracking_errors(df: DataFrame, lags: Sequence[int], arms: dict[str, tuple[Sequence[int], Sequence[int]]], command: str = "action", state: str = "state", least: float = 0.0, cumulative: bool = False) -> DataFrame:
+    """(episode_index, frame_index, arm, lag, norms): what the arm moved over each number of frames against what was commanded.
 
     arms: name -> (state dimensions, action dimensions), the first three positions. ``cumulative`` sums the commands of the frames in between.
+    All lags come from one sort of each episode.
     """
     w = by_frame()
-    later = F.lead(c(state), lag).over(w)
-    rows = df.select("episode_index", "frame_index", "index", c(command).alias("__a"), c(state).alias("__s"), later.alias("__n"))
-    if cumulative:
-        size = max(max(a) for _, a in arms.values()) + 1
+    size = max(max(a) for _, a in arms.values()) + 1
+
+    def asked(lag: int) -> Column:
+        if not cumulative:
+            return c(command).cast("array<double>")
         span = w.rowsBetween(0, lag - 1)
-        rows = df.select("episode_index", "frame_index", "index", F.array(*[F.sum(arrays.at(c(command), i)).over(span) for i in range(size)]).alias("__a"), c(state).alias("__s"), later.alias("__n"))
-    rows = rows.filter("__n is not null")
+        return F.array(*[F.sum(arrays.at(c(command), i)).over(span) for i in range(size)])
+
+    rows = df.select("episode_index", "frame_index", "index", c(state).alias("__s"), F.array(*[F.struct(F.lit(lag).alias("lag"), asked(lag).alias("a"), F.lead(c(state), lag).over(w).alias("n")) for lag in lags]).alias("__l"))
+    rows = rows.select("episode_index", "frame_index", "__s", F.explode("__l").alias("l")).filter("l.n is not null")
+    norm = lambda xs: F.sqrt(sum((x * x for x in xs), F.lit(0.0)))
     out = []
     for arm, (s_dims, a_dims) in arms.items():
-        moved = [arrays.at(F.col("__n"), i) - arrays.at(F.col("__s"), i) for i in s_dims]
-        asked = [arrays.at(F.col("__a"), i) for i in a_dims]
-        err = [m - a for m, a in zip(moved, asked)]
-        size = lambda xs: F.sqrt(sum((x * x for x in xs), F.lit(0.0)))
-        out.append(F.struct(F.lit(arm).alias("arm"), size(asked[:3]).alias("command_norm_xyz"), size(moved[:3]).alias("actual_norm_xyz"), size(err[:3]).alias("error_norm_xyz"), size(err[3:]).alias("error_norm_rot")))
-    flat = rows.select("episode_index", "frame_index", F.lit(lag).alias("lag"), F.explode(F.array(*out)).alias("e")).select("episode_index", "frame_index", "lag", "e.*")
+        moved = [arrays.at(F.col("l.n"), i) - arrays.at(F.col("__s"), i) for i in s_dims]
+        told = [arrays.at(F.col("l.a"), i) for i in a_dims]
+        err = [m - a for m, a in zip(moved, told)]
+        out.append(F.struct(F.lit(arm).alias("arm"), norm(told[:3]).alias("command_norm_xyz"), norm(moved[:3]).alias("actual_norm_xyz"), norm(err[:3]).alias("error_norm_xyz"), norm(err[3:]).alias("error_norm_rot")))
+    flat = rows.select("episode_index", "frame_index", "l.lag", F.explode(F.array(*out)).alias("e")).select("episode_index", "frame_index", "lag", "e.*")
     return flat.filter(F.col("command_norm_xyz") >= least)
 
 
 def tracking_sweep(df: DataFrame, lags: Sequence[int], arms: dict[str, tuple[Sequence[int], Sequence[int]]], least: float = 0.0, cumulative: bool = False) -> DataFrame:
     """Error statistics per arm and lag (or window of summed commands)."""
-    every = None
-    for lag in lags:
-        rows = tracking_errors(df, lag, arms, least=least, cumulative=cumulative)
-        every = rows if every is None else every.unionByName(rows)
-    return every.groupBy("arm", "lag").agg(
-        F.count(F.lit(1)).alias("steps"), F.avg("command_norm_xyz").alias("command_mean"), F.avg("actual_norm_xyz").alias("actual_mean"), F.avg("error_norm_xyz").alias("error_mean"),
-        F.percentile("error_norm_xyz", 0.5).alias("error_median"), F.percentile("error_norm_xyz", 0.95).alias("error_p95"), F.avg("error_norm_rot").alias("rotation_mean"),
-    )
+    rows = Workspace(df.sparkSession, "tracking").save(tracking_errors(df, lags, arms, least=least, cumulative=cumulative).drop("episode_index", "frame_index"), "errors")
+    means = rows.groupBy("arm", "lag").agg(F.count(F.lit(1)).alias("steps"), F.avg("command_norm_xyz").alias("command_mean"), F.avg("actual_norm_xyz").alias("actual_mean"), F.avg("error_norm_xyz").alias("error_mean"), F.avg("error_norm_rot").alias("rotation_mean"))
+    q = exact_quantiles(rows, ["arm", "lag"], "error_norm_xyz", [0.5, 0.95])
+    return means.join(q, ["arm", "lag"]).withColumn("error_median", F.get("q", F.lit(0))).withColumn("error_p95", F.get("q", F.lit(1))).drop("q")
 
 
 # --- binary signals ---

@@ -12,15 +12,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def frames(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
-    """Frames without repeats: the one shuffle is by episode, so windows by episode need no other.
-
-    Columns: index, episode_index, frame_index, timestamp (double), task_index, action, state, advantage, intervention, collector; only those asked for are read.
-    """
+def raw_frames(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """Frames with their repeats. Columns: index, episode_index, and those asked for (all if none) of frame_index, timestamp (double), task_index, action, state, advantage, intervention, collector."""
     names = {"timestamp": F.col("timestamp").cast("double"), "state": c("observation.state"), "advantage": c("complementary_info.advantage_v1").cast("double"), "intervention": c("complementary_info.is_intervention").cast("double"), "collector": c("complementary_info.collector_policy_id")}
     keep = [k for k in ("frame_index", "timestamp", "task_index", "action", "state", "advantage", "intervention", "collector") if k in columns or not columns]
-    df = table(spark, sf, "frames").select("index", "episode_index", *[names.get(k, F.col(k)).alias(k) for k in keep])
-    return df.repartition("episode_index").dropDuplicates(["episode_index", "index"])
+    return table(spark, sf, "frames").select("index", "episode_index", *[names.get(k, F.col(k)).alias(k) for k in keep])
+
+
+def frames(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """Frames without repeats: the one shuffle is by episode, so windows by episode need no other."""
+    return raw_frames(spark, sf, *columns).repartition("episode_index").dropDuplicates(["episode_index", "index"])
 
 
 def episodes(spark: SparkSession, sf: str) -> DataFrame:

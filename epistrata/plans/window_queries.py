@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from epistrata.functions import arrays
 from epistrata.operators import advantage, joins, windows
 from epistrata.plans.register import query, r
-from epistrata.plans.views import EP, FR, episodes, frames, with_
+from epistrata.plans.views import EP, FR, episodes, frames, raw_frames, with_
+from epistrata.runtime import Workspace
 
 N = 10
 
@@ -31,11 +32,14 @@ def _value() -> Column:
     return -F.least(F.lit(1.0), F.abs(arrays.at(F.col("state"), 1)))
 
 
-def _chain(spark: SparkSession, sf: str) -> DataFrame:
+def _inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     e = episodes(spark, sf).withColumn("success", F.coalesce(F.col("label") == "success", F.lit(False)))
-    f = frames(spark, sf, "frame_index", "task_index", "state", "intervention").join(e.select("episode_index"), ["episode_index"], "left_semi").withColumn("value", _value())
-    t = advantage.value_targets(f, e)
-    return advantage.n_step_advantages(advantage.dense_rewards(advantage.runs(t)), N)
+    f = raw_frames(spark, sf, "frame_index", "task_index", "state", "intervention").join(e.select("episode_index"), ["episode_index"], "left_semi")
+    return f.withColumn("value", _value()).drop("state"), e
+
+
+def _chain(spark: SparkSession, sf: str) -> DataFrame:
+    return advantage.advantages(*_inputs(spark, sf), N)
 
 
 @query(with_(*_ACP) + "select i as \"index\", round(g, 6) as target from t0")
@@ -54,9 +58,8 @@ def acp_n_step_advantage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _indicated(spark: SparkSession, sf: str) -> DataFrame:
-    df = _chain(spark, sf)
-    th = advantage.task_thresholds(df).withColumn("threshold", F.round("threshold", 9))
-    return advantage.indicators(df.withColumn("advantage", F.round("advantage", 9)), th)
+    df = Workspace(spark, "annotate").save(_chain(spark, sf).withColumn("advantage", F.round("advantage", 9)), "advantages")
+    return advantage.indicators(df, advantage.task_thresholds(df).withColumn("threshold", F.round("threshold", 9)))
 
 
 @query(with_(*_ACP) + "select i as \"index\", ind as indicator from t3")
@@ -198,7 +201,7 @@ _ERRS = "sqrt(m0*m0+m1*m1+m2*m2) as actual, sqrt(a0*a0+a1*a1+a2*a2) as command,
 
 @query(with_(FR, _B, f"e as ({_err('1')})", f"k as (select ep, fi, arm, {_ERRS} from e)") + "select ep as episode_index, fi as frame_index, arm, round(command, 4) as command, round(actual, 4) as actual, round(err, 4) as err, round(rot, 4) as rot from k where command is not null and actual is not null")
 def seq_tracking_error(spark: SparkSession, sf: str) -> DataFrame:
-    t = windows.tracking_errors(frames(spark, sf, "frame_index", "state", "action"), 1, ARMS)
+    t = windows.tracking_errors(frames(spark, sf, "frame_index", "state", "action"), [1], ARMS)
     return t.select("episode_index", "frame_index", "arm", r("command_norm_xyz", 4).alias("command"), r("actual_norm_xyz", 4).alias("actual"), r("error_norm_xyz", 4).alias("err"), r("error_norm_rot", 4).alias("rot"))
 
 
