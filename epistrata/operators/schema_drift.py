@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -396,24 +397,32 @@ def unified_records(files: DataFrame, records: DataFrame, changes: DataFrame | N
     schema = T.StructType([T.StructField(n, T._parse_datatype_string(t)) for n, t in fixed] + [T.StructField(n, T._parse_datatype_string(t)) for _, n, t in catalog] + [T.StructField("_extra", T.MapType(T.StringType(), T.StringType()))])
     column = {f: (i, t) for i, (f, _, t) in enumerate(catalog)}
 
-    def project(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in (whole.iloc[a : a + SLICE_ROWS] for whole in it for a in range(0, len(whole), SLICE_ROWS)):
-            pdf = pdf.reset_index(drop=True)
-            data: list[list] = [[None] * len(pdf) for _ in catalog]
-            extra: list[dict | None] = [None] * len(pdf)
-            for n, (text, names) in enumerate(zip(pdf["record"], pdf["names"])):
-                to = dict(names) if names is not None else {}
-                for k, v in _parse(text).items():
-                    f = to.get(k, k)
-                    if f in column:
-                        i, t = column[f]
-                        data[i][n] = _fit(v, t)
-                    elif v is not None:
-                        extra[n] = {**(extra[n] or {}), f: _fit(v, "string")}
-            out = {"_record_id": pdf["record_id"], "_file_id": pdf["file_id"], "_repo_id": pdf["repo_id"], "_file_index": pdf["file_index"], "_fps": pdf["fps"], "_robot_type": pdf["robot_type"]}
-            for (_, name, t), values in zip(catalog, data):
-                out[name] = pd.array(values, dtype={"bigint": "Int64", "boolean": "boolean"}[t]) if t in ("bigint", "boolean") else pd.Series(values, dtype=object)
-            yield pd.DataFrame(out | {"_extra": pd.Series(extra, dtype=object)})
+    kinds_of = {"bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "array<double>": pa.list_(pa.float64()), "array<string>": pa.list_(pa.string())}
+    arrow = pa.schema([pa.field(n, kinds_of[t]) for n, t in fixed] + [pa.field(n, kinds_of[t]) for _, n, t in catalog] + [pa.field("_extra", pa.map_(pa.string(), pa.string()))])
+
+    def project(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in it:
+            for start in range(0, whole.num_rows, SLICE_ROWS):
+                b = whole.slice(start, SLICE_ROWS)
+                data: dict[int, list] = {}
+                extra: list[dict | None] = [None] * b.num_rows
+                for n, (text, names) in enumerate(zip(b.column(6).to_pylist(), b.column(7).to_pylist())):
+                    to = dict(names) if names else {}
+                    for k, v in _parse(text).items():
+                        if v is None:
+                            continue
+                        f = to.get(k, k)
+                        if f in column:
+                            i, t = column[f]
+                            if i not in data:
+                                data[i] = [None] * b.num_rows
+                            data[i][n] = _fit(v, t)
+                        else:
+                            extra[n] = {**(extra[n] or {}), f: _fit(v, "string")}
+                cols = [b.column(i).cast(arrow.field(i).type) for i in range(6)]
+                cols += [pa.array(data[i], kinds_of[t]) if i in data else pa.nulls(b.num_rows, kinds_of[t]) for i, (_, _, t) in enumerate(catalog)]
+                cols.append(pa.array([None if e is None else list(e.items()) for e in extra], arrow.field("_extra").type))
+                yield pa.RecordBatch.from_arrays(cols, schema=arrow)
 
     # what a file calls fps and robot_type now: top-level fields by their origin
     top = lookup_join(place, origins(changes).filter("origin in ('fps', 'robot_type')"), ["repo_id"]).filter("since <= file_index")
@@ -422,6 +431,6 @@ def unified_records(files: DataFrame, records: DataFrame, changes: DataFrame | N
     told = told.select("file_id", F.coalesce(F.expr("try_element_at(j, coalesce(fps_name, 'fps'))"), F.expr("try_element_at(j, 'fps')")).alias("fps"), F.coalesce(F.expr("try_element_at(j, coalesce(robot_name, 'robot_type'))"), F.expr("try_element_at(j, 'robot_type')")).alias("robot_type"))
     maps = projections.filter("key <> field").groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "field"))).alias("names"))  # a file's own keys
     per_file = place.join(maps, ["file_id"], "left").join(told.groupBy("file_id").agg(F.max("fps").alias("fps"), F.max("robot_type").alias("robot_type")), ["file_id"], "left").dropDuplicates(["file_id"])
-    table = hot_join(rows, per_file, ["file_id"], "left").select("record_id", "file_id", "repo_id", "file_index", "fps", "robot_type", "record", "names").mapInPandas(project, schema)
+    table = hot_join(rows, per_file, ["file_id"], "left").select("record_id", "file_id", "repo_id", "file_index", "fps", "robot_type", "record", "names").mapInArrow(project, schema)
     listed = files.sparkSession.createDataFrame([(f, n, t) for f, n, t in catalog] or [], "field string, column string, type string")
     return Unified(table, fields.join(listed, ["field"], "left").select("field", "column", "type", "kinds", "files", "renamed_in"), projections)

@@ -55,7 +55,26 @@ obj as (select file_id, try_cast(line as json) as j from lines where starts_with
 rec as (select try_cast(json_extract_string(j, '$.episode_index') as double)::bigint as episode_index, try_cast(json_extract_string(j, '$.index') as double)::bigint as "index" from obj where j is not null)
 """
 
+_KIND = "case json_type({v}) when 'VARCHAR' then 'text' when 'BIGINT' then 'whole' when 'UBIGINT' then 'whole' when 'HUGEINT' then 'whole' when 'DOUBLE' then 'decimal' when 'ARRAY' then 'list' when 'OBJECT' then 'object' when 'BOOLEAN' then 'boolean' end"
+
+_DRIFT = f"""
+with raw as (select repo_id, file_index, try_cast(info as json) as j, row_number() over (partition by repo_id, file_index, try_cast(info as json) is null order by written_at, file_id) as rn from info_files),
+ok as (select repo_id, file_index, j, lag(file_index) over (partition by repo_id order by file_index) as prev from raw where j is not null and rn = 1),
+k1 as (select repo_id, file_index, unnest(json_keys(j)) as k, j from ok), k2 as (select repo_id, file_index, unnest(json_keys(j, '$.features')) as k, j from ok),
+f as (select repo_id, file_index, k as name, {_KIND.format(v="json_extract(j, '/' || k)")} as type, '' as mark from k1 where k <> 'features'
+  union all select repo_id, file_index, 'features.' || k, 'feature ' || json_extract(j, '/features/' || k || '/dtype')::varchar || replace(json_extract(j, '/features/' || k || '/shape')::varchar, ' ', ''), coalesce(json_extract(j, '/features/' || k || '/names')::varchar, 'null') from k2),
+gone as (select n.repo_id, n.file_index, a.name, a.type, a.mark from ok n join f a on a.repo_id = n.repo_id and a.file_index = n.prev left join f b on b.repo_id = n.repo_id and b.file_index = n.file_index and b.name = a.name where b.name is null),
+new as (select n.repo_id, n.file_index, a.name, a.type, a.mark from ok n join f a on a.repo_id = n.repo_id and a.file_index = n.file_index left join f b on b.repo_id = n.repo_id and b.file_index = n.prev and b.name = a.name where n.prev is not null and b.name is null),
+g1 as (select *, count(*) over (partition by repo_id, file_index, type, mark) as c from gone), n1 as (select *, count(*) over (partition by repo_id, file_index, type, mark) as c from new),
+ren as (select g.repo_id, g.file_index, g.name as old_field, n.name as new_field from g1 g join n1 n on n.repo_id = g.repo_id and n.file_index = g.file_index and n.type is not distinct from g.type and n.mark = g.mark where g.c = 1 and n.c = 1)
+select repo_id, file_index, 'renamed' as change, old_field, new_field from ren
+union all select g.repo_id, g.file_index, 'removed', g.name, '' from gone g left join ren r on r.repo_id = g.repo_id and r.file_index = g.file_index and r.old_field = g.name where r.old_field is null
+union all select n.repo_id, n.file_index, 'added', '', n.name from new n left join ren r on r.repo_id = n.repo_id and r.file_index = n.file_index and r.new_field = n.name where r.new_field is null
+union all select n.repo_id, n.file_index, 'type_changed', a.name, a.name from ok n join f a on a.repo_id = n.repo_id and a.file_index = n.file_index join f b on b.repo_id = n.repo_id and b.file_index = n.prev and b.name = a.name where a.type is not null and b.type is not null and a.type <> b.type
+"""
+
 ORACLES = {
+    "p4_found": _DRIFT,
     "p5_found": _LINES + 'select episode_index, "index" from rec where episode_index is not null and "index" is not null group by all having count(*) > 1',
     "p5_compacted": _LINES + 'select distinct episode_index, "index" from rec where episode_index is not null and "index" is not null',
 }

@@ -179,3 +179,26 @@ def cli_tokenizer(spark: SparkSession, sf: str) -> DataFrame:
     from epistrata.operators.windows import action_chunks
 
     return action_chunks(frames(spark, sf, "frame_index", "action"), 8).agg(F.count("chunk").alias("chunks"))
+
+
+@query(with_(FR, EP, "tm as (select tasks[1] as t, max(length) as m from eps group by 1)") + "select i as \"index\", round(greatest(-1.0, least(0.0, (-(length - fi - 1) - case when label = 'success' then 0 else m end) / (m * 2.0))), 5) as target from fr join eps on eps.ep = fr.ep join tm on tm.t = tasks[1]")
+def cli_value_train(spark: SparkSession, sf: str) -> DataFrame:
+    """What a value network is trained on: the targets. The network is not part of this engine."""
+    from epistrata.operators.advantage import value_targets
+
+    e = episodes(spark, sf).withColumn("success", F.coalesce(F.col("label") == "success", F.lit(False)))
+    f = frames(spark, sf, "frame_index").join(e.select("episode_index"), ["episode_index"], "left_semi")
+    return value_targets(f, e).select("index", r("target").alias("target"))
+
+
+@query(with_(FR) + "select ep % 4 as shard, count(*) as frames, count(distinct ep) as episodes from fr group by 1")
+def cli_slurm(spark: SparkSession, sf: str) -> DataFrame:
+    """Ported shards brought together as one dataset: a union that Spark runs in parallel."""
+    from epistrata.operators.episodes import union_checked
+
+    f = frames(spark, sf, "frame_index")
+    out = None
+    for k in range(4):
+        part = f.filter(F.col("episode_index") % 4 == k).withColumn("shard", F.lit(k).cast("bigint"))
+        out = part if out is None else union_checked(out, part)
+    return out.groupBy("shard").agg(F.count(F.lit(1)).alias("frames"), F.count_distinct("episode_index").alias("episodes"))

@@ -222,3 +222,23 @@ def project_hw_features(spark: SparkSession, sf: str) -> DataFrame:
 @query(with_(FR) + "select count(*)::bigint as wrong from fr where len(action) <> 6 or action is null having count(*) > 0")
 def scan_wrong_shapes(spark: SparkSession, sf: str) -> DataFrame:
     return dataset.wrong_shapes(frames(spark, sf, "action"), {"action": {"dtype": "float32", "shape": (6,)}}).select(F.col("rows").alias("wrong"))
+
+
+@query("select 'png' as format, 640 as width, 480 as height union all select 'gif', 320, 200")
+def scan_media_info(spark: SparkSession, sf: str) -> DataFrame:
+    path = Workspace(spark, "media").path("in")
+    headers = {"a.png": b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + (640).to_bytes(4, "big") + (480).to_bytes(4, "big"), "b.gif": b"GIF89a" + (320).to_bytes(2, "little") + (200).to_bytes(2, "little")}
+    jvm = spark.sparkContext._jvm
+    for name, content in headers.items():
+        p = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p)
+        out.write(bytearray(content))
+        out.close()
+    return dataset.media_info(dataset.scan_images(spark, path)).select("format", "width", "height")
+
+
+@query(with_(EP, "c as (select ep, length, sum(length) over (order by ep)::bigint as upto from eps)", "v as (select *, cast(floor((upto - 1) / 30.0 / 60.0) as integer) as f from c)") + "select ep as episode_index, f as video_file, round((upto - length - min(upto - length) over (partition by f)) / 30.0, 5) as from_timestamp, round((upto - min(upto - length) over (partition by f)) / 30.0, 5) as to_timestamp from v")
+def sink_video(spark: SparkSession, sf: str) -> DataFrame:
+    """Where each episode lies in its video file; encoding needs a codec."""
+    v = dataset.video_places(episodes(spark, sf), 30.0, 60.0)
+    return v.select("episode_index", "video_file", r("from_timestamp").alias("from_timestamp"), r("to_timestamp").alias("to_timestamp"))

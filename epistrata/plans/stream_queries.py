@@ -134,7 +134,7 @@ def stream_rate_window(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(with_(FR) + "select i as \"index\", case when iv > 0.5 then true else false end as human from fr")
-def stream_record_labels(spark: SparkSession, sf: str) -> DataFrame:
+def stream_record_loop(spark: SparkSession, sf: str) -> DataFrame:
     """A toggle where an intervention begins and a release on its last frame label the frames as recorded."""
     from epistrata.operators.windows import by_frame
 

@@ -206,6 +206,15 @@ def scan_images(spark: SparkSession, path: str, rows: Sequence[int] | None = Non
     return df.join(ranked.filter(F.col("p").isin(list(rows))).select("path"), ["path"], "left_semi")
 
 
+def media_info(images: DataFrame) -> DataFrame:
+    """(path, format, width, height) from the headers of PNG and GIF images; format null for others, which need a codec."""
+    h = lambda a, n: F.hex(F.substring("content", a, n))
+    big = lambda a: F.conv(h(a, 4), 16, 10).cast("int")
+    small = lambda a: F.conv(F.concat(h(a + 1, 1), h(a, 1)), 16, 10).cast("int")
+    png, gif = h(1, 8) == "89504E470D0A1A0A", h(1, 4) == "47494638"
+    return images.select("path", F.when(png, "png").when(gif, "gif").alias("format"), F.when(png, big(17)).when(gif, small(7)).alias("width"), F.when(png, big(21)).when(gif, small(9)).alias("height"))
+
+
 def stream_frames(spark: SparkSession, root: str, features: dict[str, dict[str, Any]], files_per_batch: int = 16) -> DataFrame:
     """The data files as a stream."""
     return spark.readStream.schema(frame_schema(features)).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch).parquet(f"{root}/data")
@@ -274,6 +283,21 @@ def write_manifest(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
 
 
+def video_places(episodes: DataFrame, fps: float, most_s: float, key: str = "episode_index") -> DataFrame:
+    """(episode_index, video_file, from_timestamp, to_timestamp): where episodes lie in videos of at most about ``most_s`` seconds.
+
+    A video takes the episodes that end in its stretch of the total time, so places come from running sums and no greedy fold over all episodes; the media
+    themselves are for a codec.
+    """
+    from epistrata.operators.episodes import dense_episodes
+
+    keys = dense_episodes(episodes.select(F.col(key).alias("episode_index"), "length"))
+    placed = keys.withColumn("video_file", F.floor((F.col("to_index") - 1) / fps / most_s).cast("int"))
+    w = Window.partitionBy("video_file")  # the episodes of one file
+    start = F.min("from_index").over(w)
+    return placed.select("episode_index", "video_file", ((F.col("from_index") - start) / fps).alias("from_timestamp"), ((F.col("to_index") - start) / fps).alias("to_timestamp"))
+
+
 class Recorder:
     """Appends a stream of recorded frames: frame_index counts up in an episode, timestamp is frame_index / fps where absent, ids follow the last ones.
 
