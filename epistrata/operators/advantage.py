@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from epistrata.operators.quantiles import exact_quantiles
-from epistrata.runtime import Workspace, lookup_join
+from epistrata.runtime import Workspace, lookup_join, with_one_row
 
 
 #: Frames of an episode that are one window's work; longer episodes are split.
@@ -127,7 +127,7 @@ def delta_moments(df: DataFrame, eps: float = 1e-6) -> DataFrame:
 
 def progress_weights(df: DataFrame, kappa: float = 0.01, eps: float = 1e-6, fallback: float = 1.0) -> DataFrame:
     """Adds ``weight``: 1 above kappa, a soft share between 0 and kappa, 0 below 0, the fallback where the delta is not known."""
-    near = df.join(F.broadcast(delta_moments(df, eps)))  # one row
+    near = with_one_row(df, delta_moments(df, eps))
     d = F.col("delta")
     soft = (d - (F.col("mean") - 2 * F.col("std"))) / (4 * F.col("std") + eps)
     soft = F.greatest(F.lit(0.0), F.least(F.lit(1.0), soft))

@@ -11,14 +11,14 @@ from pyspark.sql.window import Window
 from epistrata.functions import arrays, text
 from epistrata.operators.quantiles import exact_quantiles
 from epistrata.operators.stats import length_histogram
-from epistrata.runtime import c
+from epistrata.runtime import c, with_one_row
 
 
 def _with_quantiles(out: DataFrame, rows: DataFrame, keys: Sequence[str], wanted: dict[str, dict[str, float]]) -> DataFrame:
     """Adds exact quantiles of columns of rows by name; a group without values has null."""
     for column, names in wanted.items():
         q = exact_quantiles(rows, keys, column, list(names.values())).withColumnRenamed("q", "__q")
-        near = out.join(q, list(keys), "left") if keys else out.join(F.broadcast(q), F.lit(True), "left")  # one row each
+        near = out.join(q, list(keys), "left") if keys else with_one_row(out, q)
         out = near.select(*[c(n) for n in out.columns], *[F.get("__q", F.lit(i)).alias(n) for i, n in enumerate(names)])
     return out
 
@@ -126,7 +126,7 @@ def dataset_report(frames: DataFrame, episodes: DataFrame) -> DataFrame:
     )
     i = F.coalesce(F.col("intervention"), F.lit(0.0)) > 0.0
     f = frames.groupBy("episode_index").agg(F.count(F.lit(1)).alias("n"), F.count_if(i).alias("k")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("frames"), F.coalesce(F.sum("k"), F.lit(0)).alias("intervention_frames"), F.count(F.when(F.col("k") > 0, 1)).alias("intervention_episodes"))
-    both = e.join(F.broadcast(f))  # one row each
+    both = with_one_row(e, f)
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     return both.select("*", ratio(F.col("success"), F.col("episodes")).alias("success_ratio"), ratio(F.col("success"), F.col("success") + F.col("failure")).alias("labeled_success_ratio"), ratio(F.col("intervention_frames"), F.col("frames")).alias("intervention_ratio"), ratio(F.col("intervention_episodes"), F.col("episodes")).alias("intervention_episode_ratio"))
 

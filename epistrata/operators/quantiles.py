@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from epistrata.runtime import Workspace, c, lookup_join
+from epistrata.runtime import Workspace, c, lookup_join, with_one_row
 
 #: Distinct values of a group that one task may hold.
 HELD_VALUES = 500_000
@@ -48,7 +48,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: S
 def _join(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
     """By group; null is a group too."""
     if not names:
-        return left.join(F.broadcast(right))  # one row
+        return with_one_row(left, right)
     coded = [F.coalesce(F.struct(*[c(n) for n in names]).cast("string"), F.lit("")).alias("__g")]
     return lookup_join(left.select("*", *coded), right.select(*coded, *[c(n) for n in right.columns if n not in names]), ["__g"]).drop("__g")
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epistrata.operators.quantiles import exact_quantiles
-from epistrata.runtime import c
+from epistrata.runtime import c, with_one_row
 
 QUANTILES = (0.01, 0.10, 0.50, 0.90, 0.99)
 NAMES = ("q01", "q10", "q50", "q90", "q99")
@@ -116,9 +116,9 @@ def as_arrays(stats: DataFrame, feature: str) -> dict[str, list[float]]:
 def length_histogram(episodes: DataFrame, bins: int = 20, length: str = "length") -> DataFrame:
     """(bin, low, high, n): equal-width bins over the lengths' range, empty ones too; a range of zero puts all in bin 0."""
     ends = episodes.agg(F.min(length).cast("double").alias("lo"), F.max(length).cast("double").alias("hi"))
-    near = episodes.select(F.col(length).cast("double").alias("x")).filter("x is not null").join(F.broadcast(ends))  # one row
+    near = with_one_row(episodes.select(F.col(length).cast("double").alias("x")).filter("x is not null"), ends)
     w = (F.col("hi") - F.col("lo")) / bins
     i = F.when(w > 0, F.least(F.floor((F.col("x") - F.col("lo")) / F.when(w > 0, w)), F.lit(bins - 1))).otherwise(0)
     counts = near.groupBy(i.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    every = episodes.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).join(F.broadcast(ends))
+    every = with_one_row(episodes.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")), ends)
     return every.join(counts, ["bin"], "left").select("bin", (F.col("lo") + F.col("bin") * w).alias("low"), (F.col("lo") + (F.col("bin") + 1) * w).alias("high"), F.coalesce("n", F.lit(0)).alias("n"))

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from epistrata.functions import arrays
 from epistrata.operators.quantiles import exact_quantiles
-from epistrata.runtime import Workspace, c
+from epistrata.runtime import Workspace, c, with_one_row
 
 
 def by_frame() -> Window:
@@ -374,7 +374,7 @@ def sampler_weights(df: DataFrame, online: Column, ratio: float, drop_last_offli
     left = F.count(F.lit(1)).over(Window.partitionBy("episode_index")) - F.row_number().over(w)
     flagged = df.select("index", "episode_index", "frame_index", online.alias("online")).withColumn("keep", left >= F.when(F.col("online"), drop_last_online).otherwise(drop_last_offline))
     sizes = flagged.agg(F.count_if(F.col("keep") & F.col("online")).alias("on"), F.count_if(F.col("keep") & ~F.col("online")).alias("off"), F.count(F.lit(1)).alias("n"))
-    near = flagged.join(F.broadcast(sizes))  # one row
+    near = with_one_row(flagged, sizes)
     raw = F.when(~F.col("keep"), 0.0).when(F.col("online"), F.try_divide(F.lit(ratio), F.col("on"))).otherwise(F.try_divide(F.lit(1.0 - ratio), F.col("off")))
     total = F.when(F.col("on") > 0, ratio).otherwise(0.0) + F.when(F.col("off") > 0, 1.0 - ratio).otherwise(0.0)
     return near.select("index", F.when(total > 0, F.coalesce(raw, F.lit(0.0)) / F.when(total > 0, total)).otherwise(1.0 / F.col("n")).alias("weight"))

@@ -9,6 +9,7 @@ from epistrata.operators import episodes as ops
 from epistrata.operators import metrics, stats
 from epistrata.plans.register import query, r
 from epistrata.plans.views import EP, EV, FR, episodes, frames, table, with_
+from epistrata.runtime import with_one_row
 
 _V = "v as (select i, ep, 'state' as feature, d, state[d + 1]::double as x from fr, (select unnest(range(0, 6)) as d) where d < len(state) union all select i, ep, 'advantage', 0, adv from fr where adv is not null and not isnan(adv))"
 _S = "min(x) as \"min\", max(x) as \"max\", round(avg(x), 4) as mean, round(stddev_pop(x), 4) as std, count(x) as \"count\""
@@ -72,7 +73,7 @@ def agg_basic_stats(spark: SparkSession, sf: str) -> DataFrame:
 @query(with_(FR, _V) + "select 0::bigint as invalid, count(*) as checked from (select distinct ep, feature, d from v)")
 def agg_validate_stats(spark: SparkSession, sf: str) -> DataFrame:
     s = stats.feature_stats(frames(spark, sf, "state", "advantage"), ["state", "advantage"], ["episode_index"])
-    return stats.invalid_stats(s).agg(F.count(F.lit(1)).alias("invalid")).join(F.broadcast(s.agg(F.count(F.lit(1)).alias("checked"))))
+    return with_one_row(stats.invalid_stats(s).agg(F.count(F.lit(1)).alias("invalid")), s.agg(F.count(F.lit(1)).alias("checked")))
 
 
 @query("select 'value' as feature, 0::bigint as d, round(avg(value), 4) as mean, round(stddev_pop(value), 4) as std from events union all select 'o_totalprice', 0, round(avg(o_totalprice), 3), round(stddev_pop(o_totalprice), 3) from orders")

@@ -110,3 +110,9 @@ def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "in
     if len(right.limit(LOOKUP_ROWS + 1).select(F.lit(1)).collect()) <= LOOKUP_ROWS:
         return left.join(F.broadcast(right), on, how)
     return hot_join(left, right, on, how)
+
+
+def with_one_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """df with the columns of a one-row table, as one scalar subquery; nulls if it has no row."""
+    whole = one.select(F.struct(*[c(n) for n in one.columns]).alias("__one")).scalar()
+    return df.withColumn("__one", whole).select(*[c(n) for n in df.columns], *[F.col("__one")[n].alias(n) for n in one.columns])
