@@ -41,16 +41,16 @@ class Forest:
     edges: DataFrame
 
 
-def tie_edges(records: DataFrame, key: str, ids: list[str], source: str | None) -> tuple[DataFrame, DataFrame]:
+def tie_edges(ws: Workspace, records: DataFrame, key: str, ids: list[str], source: str | None) -> tuple[DataFrame, DataFrame]:
     """Vertices and tie edges (u < v, kind). Equal ids give a star around the smallest record, not all pairs."""
-    vertices = records.select(c(key).alias("v")).filter("v is not null").distinct()
+    vertices = ws.save(records.select(c(key).alias("v")).filter("v is not null").distinct(), "vertices")
     parts = []
     for kind, name in enumerate(ids, start=1):
-        keyed = records.select(c(key).alias("v"), normal_id(c(name)).alias("id")).filter("v is not null and id is not null").distinct()
+        keyed = ws.save(records.select(c(key).alias("v"), normal_id(c(name)).alias("id")).filter("v is not null and id is not null").distinct(), "keyed")
         hubs = keyed.groupBy("id").agg(F.min("v").alias("u"))
         parts.append(hot_join(keyed, hubs, ["id"]).filter("u != v").select("u", "v", F.lit(kind).alias("kind")))
     if source:
-        linked = records.select(c(key).alias("w"), c(source).alias("v")).filter("w is not null and v is not null and w != v").distinct()
+        linked = ws.save(records.select(c(key).alias("w"), c(source).alias("v")).filter("w is not null and v is not null and w != v").distinct(), "linked")
         parts.append(hot_join(linked, vertices, ["v"]).select(F.least("w", "v").alias("u"), F.greatest("w", "v").alias("v"), F.lit(0).alias("kind")))
     edges = reduce(DataFrame.unionByName, parts) if parts else vertices.select(F.col("v").alias("u"), "v", F.lit(0).alias("kind")).limit(0)
     return vertices, edges.groupBy("u", "v").agg(F.min("kind").alias("kind"))
@@ -69,8 +69,7 @@ def spanning_forest(records: DataFrame, key: str = "episode_index", ids: tuple[s
     """
     spark = records.sparkSession
     ws = Workspace(spark, "forest")
-    vertices, ties = tie_edges(records, key, list(ids), source)
-    vertices = ws.save(vertices, "vertices")
+    vertices, ties = tie_edges(ws, records, key, list(ids), source)
     cur = ws.save(ties.select(F.col("u").alias("cu"), F.col("v").alias("cv"), F.struct("kind", F.xxhash64("u", "v", F.lit(seed)).alias("h"), "u", "v").alias("e")), "edges")
     left = cur.count()
     jumps: list[DataFrame] = []
