@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 import sys
 import unicodedata
@@ -20,6 +21,8 @@ TILE, COVERAGE = 5, 0.8
 BLOCK_CHARS = 4_000_000
 #: Characters of text searched at once in a task.
 BATCH_CHARS = 2_000_000
+#: Shared windows that are looked at together.
+MAX_HITS = 2_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -82,22 +85,50 @@ class Seeds:
         h = np.concatenate([rolling(codes[i], np.arange(codes[i].size - width + 1), width) for i in keep]) if keep else np.zeros(0, np.uint64)
         order = np.argsort(h, kind="stable")
         self.item, self.pos = self.item[order], self.pos[order]
-        self.key, self.start = np.unique(h[order], return_index=True)
-        self.count = np.diff(np.concatenate([self.start, [h.size]]))
+        self.key, number = np.unique(h[order], return_inverse=True)
+        self.items = max(items, default=0) + 1
+        self.coded = number * self.items + self.item  # rises with fingerprint and, as items were taken in order, with item
 
-    def find(self, codes: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place, item, item place) of all shared windows; ``run``: known words up to and with each place."""
-        none = np.zeros(0, np.int64)
+    def find(self, codes: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, fingerprint number) of the windows that occur in some item; ``run``: known words up to and with each place."""
         if not self.key.size:
-            return none, none, none
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         at = np.flatnonzero(run >= self.width) - self.width + 1
         h = rolling(codes, at, self.width)
         k = np.minimum(np.searchsorted(self.key, h), self.key.size - 1)
         ok = self.key[k] == h
-        at, k = at[ok], k[ok]
-        n = self.count[k]
-        rows = np.repeat(self.start[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return np.repeat(at, n), self.item[rows], self.pos[rows]
+        return at[ok], k[ok]
+
+    def _spans(self, k: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """First row and number of rows of each fingerprint among items low <= i < high."""
+        base = k * self.items
+        first = np.searchsorted(self.coded, base + low)
+        return first, np.searchsorted(self.coded, base + high) - first
+
+    def joined(self, at: np.ndarray, k: np.ndarray, doc: np.ndarray, low: int = 0, high: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(place, item, item place, document) of shared windows, in portions of about MAX_HITS that hold whole pairs.
+
+        A window that many items share and many documents repeat would else fill the memory: documents are taken in turn, and one that is
+        too much by itself is met with halves of the items.
+        """
+        high = self.items if high is None else high
+        first, n = self._spans(k, low, high)
+        ends = np.cumsum(n)
+        if not ends.size or not ends[-1]:
+            return
+        if ends[-1] > MAX_HITS and doc[0] != doc[-1]:
+            cuts = np.flatnonzero(doc[1:] != doc[:-1]) + 1
+            cut = int(cuts[np.argmin(np.abs(ends[cuts - 1] - ends[-1] / 2))])
+            yield from self.joined(at[:cut], k[:cut], doc[:cut], low, high)
+            yield from self.joined(at[cut:], k[cut:], doc[cut:], low, high)
+            return
+        if ends[-1] > MAX_HITS and high - low > 1:
+            middle = (low + high) // 2
+            yield from self.joined(at, k, doc, low, middle)
+            yield from self.joined(at, k, doc, middle, high)
+            return
+        rows = np.repeat(first - (ends - n), n) + np.arange(ends[-1])
+        yield np.repeat(at, n), self.item[rows], self.pos[rows], np.repeat(doc, n)
 
 
 def tiles(doc: np.ndarray, item: np.ndarray, at: np.ndarray, pos: np.ndarray, width: int) -> list[tuple[int, int, int]]:
@@ -112,23 +143,24 @@ def tiles(doc: np.ndarray, item: np.ndarray, at: np.ndarray, pos: np.ndarray, wi
     fresh[1:] = (at[1:] != at[:-1] + 1) | (pos[1:] != pos[:-1] + 1)
     first = np.flatnonzero(fresh)
     size = np.diff(np.concatenate([first, [at.size]])) + width - 1
-    queue = sorted(((int(n), int(at[i]), int(pos[i])) for i, n in zip(first, size)), key=lambda m: (-m[0], m[1], m[2]))
-    queue = [m for m in queue if np.array_equal(doc[m[1] : m[1] + m[0]], item[m[2] : m[2] + m[0]])]
-    in_doc, in_item = np.zeros(doc.size, bool), np.zeros(item.size, bool)
+    queue = [(-int(n), int(at[i]), int(pos[i])) for i, n in zip(first, size)]
+    heapq.heapify(queue)
+    in_doc, in_item, left = np.zeros(doc.size, bool), np.zeros(item.size, bool), item.size
     out: list[tuple[int, int, int]] = []
-    while queue:
-        n, a, p = queue.pop(0)
+    while queue and left >= width:
+        n, a, p = heapq.heappop(queue)
+        n = -n
         taken = in_doc[a : a + n] | in_item[p : p + n]
-        if not taken.any():
+        if taken.any():  # what is left of it on both sides of marked words
+            edges = np.flatnonzero(np.diff(np.concatenate([[True], taken, [True]]).astype(np.int8)))
+            for b, e in zip(edges[::2].tolist(), edges[1::2].tolist()):
+                if e - b >= width:
+                    heapq.heappush(queue, (b - e, a + b, p + b))
+        elif np.array_equal(doc[a : a + n], item[p : p + n]):
             in_doc[a : a + n] = True
             in_item[p : p + n] = True
+            left -= n
             out.append((a, p, n))
-            continue
-        edges = np.flatnonzero(np.diff(np.concatenate([[True], taken, [True]]).astype(np.int8)))
-        for b, e in zip(edges[::2], edges[1::2]):
-            if e - b >= width:
-                queue.append((int(e - b), a + int(b), p + int(b)))
-        queue.sort(key=lambda m: (-m[0], m[1], m[2]))
     return out
 
 
@@ -167,10 +199,15 @@ class Searcher:
         owner_ends = np.array(ends)
         rows = []
         for seeds in self.seeds:
-            place, item, pos = seeds.find(codes, run)
-            if not place.size:
-                continue
-            doc = np.searchsorted(owner_ends, place, "right")
+            where, number = seeds.find(codes, run)
+            for place, item, pos, doc in seeds.joined(where, number, np.searchsorted(owner_ends, where, "right")):
+                rows += self.tiled(seeds, place, item, pos, doc, parts, owner_ends, ids)
+        return rows
+
+    def tiled(self, seeds: Seeds, place: np.ndarray, item: np.ndarray, pos: np.ndarray, doc: np.ndarray, parts: list[np.ndarray], owner_ends: np.ndarray, ids: list[int | None]) -> list[tuple]:
+        """Rows of the pairs that hold enough of an item."""
+        rows = []
+        if place.size:
             pair = doc * len(self.ids) + item
             order = np.lexsort((pos, pair))
             place, item, pos, doc, pair = place[order], item[order], pos[order], doc[order], pair[order]

@@ -1,6 +1,8 @@
 """SQL twins of the queries that SQL can express."""
 
-MISSING = "('', 'na', 'n/a', 'n.a.', 'n.a', 'nan', 'nil', 'null', 'none', 'unknown', 'unk', 'undefined', 'missing', 'tbd', '?', '??', '.', '/', '\\', '*', 'x')"
+from epistrata.llm.splits import MISSING_WORDS
+
+MISSING = "(" + ", ".join(f"'{w}'" for w in MISSING_WORDS) + ")"
 
 
 def _norm(col: str) -> str:

@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from epistrata.runtime import Workspace, c, hot_join
 
 #: What people type for a missing id, after normal_id().
-MISSING_WORDS = ["", "na", "n/a", "n.a.", "n.a", "nan", "nil", "null", "none", "unknown", "unk", "undefined", "missing", "tbd", "?", "??", ".", "/", "\\", "*", "x"]
+MISSING_WORDS = ["", "na", "n/a", "n.a.", "n.a", "nan", "nil", "null", "none", "unknown", "unk", "undefined", "missing", "tbd", "tba", "n-a", "not-known", "not-available", "not-set", "no-id", "?", "??", ".", "/", "\\", "*", "x"]
 #: Roots with at least this share of all records are dealt one by one on the driver; there are at most 1/BIG_SHARE of them.
 BIG_SHARE = 1 / 1024
 #: Hash buckets in which ranks within a band are counted.

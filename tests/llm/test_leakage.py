@@ -77,10 +77,28 @@ def test_tiles_do_not_overlap():
 
     doc, item = np.array([1, 2, 3, 4, 5, 6, 1, 2, 3, 9]), np.array([1, 2, 3, 4, 5, 6])
     s = lk.Seeds([item], [0], 3)
-    at, _, pos = s.find(doc, np.arange(1, 11))
+    where, number = s.find(doc, np.arange(1, 11))
+    at, _, pos, _ = next(s.joined(where, number, np.zeros(where.size, int)))
     assert lk.tiles(doc, item, at, pos, 3) == [(0, 0, 6)]
 
 
+@pytest.mark.parametrize("most", [1, 7, 10**6])
+def test_portions_hold_whole_pairs(monkeypatch, most):
+    """A passage that all items share and documents repeat, in portions of any size."""
+    monkeypatch.setattr(lk, "MAX_HITS", most)
+    shared = " ".join(f"s{k}" for k in range(15))
+    items = [(k, f"{shared} own{k}") for k in range(9)]
+    docs = [(k, f"{shared} x " * (k % 4)) for k in range(12)]
+    rows = lk.Searcher(items, 13, 13, None).search([d for d, _ in docs], [t for _, t in docs])
+    assert sorted((r[0], r[1]) for r in rows) == sorted((d, i) for d, t in docs if t for i, _ in items)
+    assert all(r[2:] == (15, 1, 15, 16) for r in rows)
+
+
+def test_a_text_of_one_word_over_and_over():
+    rows = lk.Searcher([(1, "go " * 40)], 5, 13, 0.8).search([1, 2], ["go " * 5000, "go"])
+    assert rows == [(1, 1, 40, 1, 40, 40)]
+
+
 def test_empty_tables(spark):
     assert leaks(spark, [], [(1, "a b c")]) == {} and leaks(spark, [(1, "a b c")], []) == {}
 
