@@ -13,11 +13,44 @@ from pyspark.sql.window import Window
 
 from epistrata.functions import arrays
 from epistrata.operators.quantiles import exact_quantiles
-from epistrata.runtime import Workspace, c, with_one_row
+from epistrata.runtime import Workspace, c, hot_join, with_one_row
 
 
-def by_frame() -> Window:
-    return Window.partitionBy("episode_index").orderBy("frame_index", "index")
+def _episode(df: DataFrame) -> Window:
+    """The window partition of a row: its episode, or its stretch of one."""
+    return Window.partitionBy("episode_index", "stretch") if "stretch" in df.columns else Window.partitionBy("episode_index")
+
+
+def by_frame(df: DataFrame | None = None) -> Window:
+    return (Window.partitionBy("episode_index") if df is None else _episode(df)).orderBy("frame_index", "index")
+
+
+def in_stretches(df: DataFrame, before: int, after: int, size: int = 100_000) -> DataFrame:
+    """Frames cut into stretches of ``size`` rows of an episode, each with so many rows before and after it (``halo``).
+
+    For datasets with episodes too long for a task: every operator here that looks a bounded number of rows back and ahead (offset_window,
+    stream_offset_window, action_chunks, next_states, joint_velocity, tracking_errors) gives on stretches what it gives on episodes; drop_halo
+    then leaves each frame once. Rows are ranked through counts by blocks of frame_index, so no step takes a whole episode into one task.
+    """
+    block = F.floor(F.col("frame_index") / size)
+    rows = df.withColumn("__b", block)
+    counts = rows.groupBy("episode_index", "__b").agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.partitionBy("episode_index").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("episode_index", "__b", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__s"))
+    key = F.coalesce(F.col("episode_index"), F.lit(-(2**62)))
+    rank = F.row_number().over(Window.partitionBy("episode_index", "__b").orderBy("frame_index", "index")) - 1
+    near = rows.withColumn("__r", rank).withColumn("__k", F.xxhash64(key, F.coalesce("__b", F.lit(-1))))
+    near = hot_join(near, starts.select(F.xxhash64(key, F.coalesce("__b", F.lit(-1))).alias("__k"), F.col("__s")), ["__k"])
+    pos = F.col("__s") + F.col("__r")
+    own, off = F.floor(pos / size), F.pmod(pos, F.lit(size))
+    parts = F.filter(F.array(own, F.when((own > 0) & (off < after), own - 1), F.when(off >= size - before, own + 1)), lambda x: x.isNotNull())
+    out = near.withColumn("__o", own).withColumn("stretch", F.explode(parts)).withColumn("halo", F.col("stretch") != F.col("__o"))
+    return out.select(*[c(n) for n in df.columns], "stretch", "halo")
+
+
+def drop_halo(df: DataFrame) -> DataFrame:
+    """Each frame once, in its own stretch."""
+    return df.filter(~F.col("halo")).drop("stretch", "halo")
 
 
 # --- offsets ---
@@ -45,9 +78,9 @@ def offset_window(df: DataFrame, column: str, offsets: Sequence[int]) -> DataFra
 
     Each offset is a lag or lead, with the partition's first or last value as the stand-in.
     """
-    w = by_frame()
+    w = by_frame(df)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    row, n = F.row_number().over(w), F.count(F.lit(1)).over(Window.partitionBy("episode_index"))
+    row, n = F.row_number().over(w), F.count(F.lit(1)).over(_episode(df))
     values, pads = [], []
     for d in offsets:
         out = (row + d < 1) | (row + d > n)
@@ -62,8 +95,8 @@ def stream_offset_window(df: DataFrame, column: str, offsets: Sequence[int], rea
 
     With offsets [-10] at frame 5 that is frame 5 itself, where offset_window gives frame 0.
     """
-    w = by_frame()
-    row, n = F.row_number().over(w), F.count(F.lit(1)).over(Window.partitionBy("episode_index"))
+    w = by_frame(df)
+    row, n = F.row_number().over(w), F.count(F.lit(1)).over(_episode(df))
     got: dict[int, tuple[Column, Column]] = {0: (c(column), F.lit(False))}
     for side in (sorted((d for d in offsets if d < 0), reverse=True), sorted(d for d in offsets if d > 0)):
         last: Column = c(column)
@@ -92,9 +125,9 @@ def rewind_indices(frame: Column, start: Column, n_steps: int, most: int, gap: i
 
 def action_chunks(df: DataFrame, horizon: int, column: str = "action") -> DataFrame:
     """Rows that start a chunk of ``horizon`` consecutive actions, with ``chunk``; shorter episodes give none."""
-    w = by_frame()
+    w = by_frame(df)
     chunk = F.array(*[F.lead(c(column), i).over(w) if i else c(column) for i in range(horizon)])
-    room = F.count(F.lit(1)).over(Window.partitionBy("episode_index")) - F.row_number().over(w) + 1
+    room = F.count(F.lit(1)).over(_episode(df)) - F.row_number().over(w) + 1
     return df.select("*", chunk.alias("chunk"), room.alias("__room")).filter(F.col("__room") >= horizon).drop("__room")
 
 
@@ -105,7 +138,7 @@ def relative_chunks(chunk: Column, state: Column, which: Sequence[int], dims: in
 
 def next_states(df: DataFrame, column: str = "state", done: str | None = None) -> DataFrame:
     """Adds ``done`` (the episode's last frame unless given) and ``next_<column>``: that of the next frame, its own where done."""
-    w = by_frame()
+    w = by_frame(df)
     last = F.lead("index").over(w).isNull()
     d = last if done is None else F.coalesce(c(done).cast("boolean"), F.lit(False)) | last
     return df.select("*", d.alias("done"), F.when(d, c(column)).otherwise(F.lead(c(column)).over(w)).alias(f"next_{column}"))
@@ -113,7 +146,7 @@ def next_states(df: DataFrame, column: str = "state", done: str | None = None) -
 
 def joint_velocity(df: DataFrame, dt: float, dims: int, column: str = "state") -> DataFrame:
     """Adds ``<column>_v``: the vector with its finite differences over dt behind it; zeros at an episode's start."""
-    prev = F.lag(c(column)).over(by_frame())
+    prev = F.lag(c(column)).over(by_frame(df))
     v = [F.when(prev.isNull(), 0.0).otherwise((arrays.at(c(column), i) - arrays.at(prev, i)) / dt) for i in range(dims)]
     return df.select("*", F.array(*arrays.dims(c(column), dims), *v).alias(f"{column}_v"))
 
@@ -127,7 +160,7 @@ def tracking_errors(df: DataFrame, lags: Sequence[int], arms: dict[str, tuple[Se
     arms: name -> (state dimensions, action dimensions), the first three positions. ``cumulative`` sums the commands of the frames in between.
     All lags come from one sort of each episode.
     """
-    w = by_frame()
+    w = by_frame(df)
     size = max(max(a) for _, a in arms.values()) + 1
 
     def asked(lag: int) -> Column:

@@ -149,7 +149,8 @@ def seq_resolve_deltas(spark: SparkSession, sf: str) -> DataFrame:
 @query(with_(FR, _B, _OFF) + "select b.i as \"index\", d, round(c.ts, 5) as x, b.rn + d < 1 or b.rn + d > b.n as pad from b cross join o join b c on c.ep = b.ep and c.rn = greatest(1, least(b.n, b.rn + d))")
 def join_delta_window(spark: SparkSession, sf: str) -> DataFrame:
     ds = [-10, -1, 0, 3]
-    w = windows.offset_window(frames(spark, sf, "frame_index", "timestamp"), "timestamp", ds)
+    f = windows.in_stretches(frames(spark, sf, "frame_index", "timestamp"), 10, 3)
+    w = windows.drop_halo(windows.offset_window(f, "timestamp", ds))
     z = w.select("index", F.posexplode(F.arrays_zip("timestamp_window", "timestamp_is_pad")).alias("k", "z"))
     d = F.element_at(F.array(*[F.lit(x) for x in ds]), F.col("k") + 1)
     return z.select("index", d.alias("d"), r("z.timestamp_window").alias("x"), F.col("z.timestamp_is_pad").alias("pad"))

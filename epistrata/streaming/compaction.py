@@ -22,6 +22,7 @@ KEY = ["episode_index", "index"]
 RECORDS = "file_id long, line_no int, episode_index long, index long, record string"
 _SCHEMA = pa.schema([("file_id", pa.int64()), ("line_no", pa.int32()), ("episode_index", pa.int64()), ("index", pa.int64()), ("record", pa.string())])
 _LINES = re.compile(r"\r\n|\n|\r")
+_NUMBER = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", re.ASCII)
 
 
 def _reject(name: str) -> None:
@@ -36,6 +37,8 @@ def whole_number(v: Any) -> int | None:
     if isinstance(v, bool) or v is None:
         return None
     if isinstance(v, str):
+        if not _NUMBER.fullmatch(v.strip()):
+            return None
         try:
             v = Decimal(v.strip())
         except InvalidOperation:

@@ -158,6 +158,20 @@ def test_batch_and_stream_windows_differ_at_the_edge(spark):
     assert batch.filter("index = 5").first().x_is_pad == [True]
 
 
+def test_stretches_of_an_episode_give_what_the_episode_gives(spark):
+    rows = [(e * 1000 + f, e, f, [float(f * f % 17)]) for e, n in ((0, 130), (1, 4), (2, 31)) for f in range(n) if f % 19 not in (3, 4)]
+    df = spark.createDataFrame(rows + [(9999, 3, None, [1.0])], FRAMES + ", x array<double>")
+    cut = windows.in_stretches(df, 5, 4, 16)
+    assert cut.filter("not halo").count() == df.count() and cut.select("episode_index", "stretch").distinct().count() > 10
+    runs = {
+        "offset": lambda d: windows.offset_window(d, "x", [-5, -1, 0, 4]), "stream": lambda d: windows.stream_offset_window(d, "x", [-5, -1, 0, 4]), "chunks": lambda d: windows.action_chunks(d, 4, "x"),
+        "next": lambda d: windows.next_states(d, "x").drop("done"), "velocity": lambda d: windows.joint_velocity(d, 0.1, 1, "x"),
+    }
+    for name, run in runs.items():
+        want, got = run(df), windows.drop_halo(run(cut))
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect())), name
+
+
 def test_offsets_off_the_grid():
     assert windows.delta_offsets([i / 30 for i in range(-10, 10)], 30) == list(range(-10, 10))
     with pytest.raises(ValueError):
