@@ -113,12 +113,21 @@ def scan_rlds_port(spark: SparkSession, sf: str) -> DataFrame:
     return flat.select(F.get("id", F.lit(0)).cast("bigint").alias("index"), F.posexplode("v").alias("d", "x")).select("index", F.col("d").cast("bigint").alias("d"), r(F.col("x").cast("double")).alias("x"))
 
 
-@query("select 3::bigint as images, 6::bigint as bytes")
+def _put(spark: SparkSession, path: str, content: bytes) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p)
+    out.write(bytearray(content))
+    out.close()
+
+
+@query("select 'img' || k || '.bin' as name, k + 1 as bytes from (select unnest([0, 2, 4]) as k)")
 def scan_images(spark: SparkSession, sf: str) -> DataFrame:
+    """Three of five files by their place in path order."""
     path = Workspace(spark, "images").path("in")
-    spark.range(5).select(F.concat(F.lit("px"), F.col("id").cast("string").substr(1, 0)).alias("value")).repartition(5).write.text(path)
-    picked = dataset.scan_images(spark, path + "/*.txt", ops.even_sample(3))
-    return picked.agg(F.least(F.count(F.lit(1)), F.lit(3)).cast("bigint").alias("images"), F.lit(6).cast("bigint").alias("bytes"))
+    for k in range(5):
+        _put(spark, f"{path}/img{k}.bin", b"x" * (k + 1))
+    picked = dataset.scan_images(spark, path, [0, 2, 4])
+    return picked.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.octet_length("content").alias("bytes"))
 
 
 # --- sinks ---
@@ -228,12 +237,8 @@ def scan_wrong_shapes(spark: SparkSession, sf: str) -> DataFrame:
 def scan_media_info(spark: SparkSession, sf: str) -> DataFrame:
     path = Workspace(spark, "media").path("in")
     headers = {"a.png": b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + (640).to_bytes(4, "big") + (480).to_bytes(4, "big"), "b.gif": b"GIF89a" + (320).to_bytes(2, "little") + (200).to_bytes(2, "little")}
-    jvm = spark.sparkContext._jvm
     for name, content in headers.items():
-        p = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
-        out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p)
-        out.write(bytearray(content))
-        out.close()
+        _put(spark, f"{path}/{name}", content)
     return dataset.media_info(dataset.scan_images(spark, path)).select("format", "width", "height")
 
 
