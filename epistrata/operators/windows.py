@@ -161,24 +161,26 @@ def tracking_errors(df: DataFrame, lags: Sequence[int], arms: dict[str, tuple[Se
     All lags come from one sort of each episode.
     """
     w = by_frame(df)
-    size = max(max(a) for _, a in arms.values()) + 1
-
-    def asked(lag: int) -> Column:
-        if not cumulative:
-            return c(command).cast("array<double>")
-        span = w.rowsBetween(0, lag - 1)
-        return F.array(*[F.sum(arrays.at(c(command), i)).over(span) for i in range(size)])
-
-    rows = df.select("episode_index", "frame_index", "index", c(state).alias("__s"), F.array(*[F.struct(F.lit(lag).alias("lag"), asked(lag).alias("a"), F.lead(c(state), lag).over(w).alias("n")) for lag in lags]).alias("__l"))
-    rows = rows.select("episode_index", "frame_index", "__s", F.explode("__l").alias("l")).filter("l.n is not null")
+    states, commands = sorted({i for s, _ in arms.values() for i in s}), sorted({i for _, a in arms.values() for i in a})
+    # plain numbers instead of vectors keep the expressions small enough for generated code
+    keys = [k for k in ("episode_index", "stretch", "halo", "frame_index", "index") if k in df.columns]
+    rows = df.select(*keys, *[arrays.at(c(state), i).alias(f"s{i}") for i in states], *[arrays.at(c(command), i).alias(f"a{i}") for i in commands])
+    ahead = [F.lead(f"s{i}", lag).over(w).alias(f"n{lag}_{i}") for lag in lags for i in states]
+    ahead += [F.lead("index", lag).over(w).isNotNull().alias(f"has{lag}") for lag in lags]
+    if cumulative:
+        ahead += [F.sum(f"a{i}").over(w.rowsBetween(0, lag - 1)).alias(f"c{lag}_{i}") for lag in lags for i in commands]
+    rows = rows.select("*", *ahead)
     norm = lambda xs: F.sqrt(sum((x * x for x in xs), F.lit(0.0)))
     out = []
-    for arm, (s_dims, a_dims) in arms.items():
-        moved = [arrays.at(F.col("l.n"), i) - arrays.at(F.col("__s"), i) for i in s_dims]
-        told = [arrays.at(F.col("l.a"), i) for i in a_dims]
-        err = [m - a for m, a in zip(moved, told)]
-        out.append(F.struct(F.lit(arm).alias("arm"), norm(told[:3]).alias("command_norm_xyz"), norm(moved[:3]).alias("actual_norm_xyz"), norm(err[:3]).alias("error_norm_xyz"), norm(err[3:]).alias("error_norm_rot")))
-    flat = rows.select("episode_index", "frame_index", "l.lag", F.explode(F.array(*out)).alias("e")).select("episode_index", "frame_index", "lag", "e.*")
+    for lag in lags:
+        for arm, (s_dims, a_dims) in arms.items():
+            moved = [F.col(f"n{lag}_{i}") - F.col(f"s{i}") for i in s_dims]
+            told = [F.col(f"c{lag}_{i}" if cumulative else f"a{i}") for i in a_dims]
+            err = [m - a for m, a in zip(moved, told)]
+            norms = F.struct(F.lit(lag).alias("lag"), F.lit(arm).alias("arm"), norm(told[:3]).alias("command_norm_xyz"), norm(moved[:3]).alias("actual_norm_xyz"), norm(err[:3]).alias("error_norm_xyz"), norm(err[3:]).alias("error_norm_rot"))
+            out.append(F.when(F.col(f"has{lag}"), norms))
+    kept = [k for k in keys if k != "index"]
+    flat = rows.select(*kept, F.explode(F.array(*out)).alias("e")).filter("e is not null").select(*kept, "e.*")
     return flat.filter(F.col("command_norm_xyz") >= least)
 
 
