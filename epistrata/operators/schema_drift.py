@@ -281,6 +281,28 @@ def origins(changes: DataFrame) -> DataFrame:
     return cur.select("repo_id", F.col("hop.new_field").alias("name"), F.col("hop.at").alias("since"), "origin")
 
 
+#: Width of a stretch of file indices within which files meet the renames before them.
+AS_OF_BLOCK = 4096
+
+
+def last_before(queries: DataFrame, arrivals: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, file_id, value): for each query (keys, file_id, file_index) the value of the last arrival (keys, since, value) with since <= file_index; null if none.
+
+    Windows run over stretches of the index; what arrived before a stretch is carried over by a window over one row a stretch. So neither a repo with
+    many files nor a name that changes often makes pairs or a group of its own size.
+    """
+    kind = arrivals.schema[value].dataType
+    q = queries.select(*keys, "file_id", F.col("file_index").alias("at"), F.lit(1).alias("k"), F.lit(None).cast(kind).alias("v"))
+    a = arrivals.select(*keys, F.lit(None).cast("long").alias("file_id"), F.col("since").alias("at"), F.lit(0).alias("k"), F.col(value).alias("v"))
+    events = q.unionByName(a).withColumn("b", F.floor(F.col("at") / AS_OF_BLOCK))
+    ends = events.groupBy(*keys, "b").agg(F.max_by("v", F.when(F.col("k") == 0, F.struct("at", "v"))).alias("e"))
+    w = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*keys, "b", F.last("e", True).over(w).alias("e"))
+    inside = Window.partitionBy(*keys, "b").orderBy("at", "k", "v", "file_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = events.withColumn("s", F.last("v", True).over(inside)).filter("k = 1")
+    return seen.join(carried, [*keys, "b"], "left").select(*keys, "file_id", F.coalesce("s", "e").alias(value))
+
+
 def _value_kind(v: Any) -> str:
     k = _kind(v)
     if k == "text":
@@ -377,10 +399,11 @@ def unified_records(files: DataFrame, records: DataFrame, changes: DataFrame | N
     rows = ws.save(records.select("record_id", "file_id", "record").distinct(), "records")
     kinds = ws.save(rows.select("file_id", "record").mapInPandas(_survey, "file_id long, key string, kind string").distinct(), "kinds")
     keys = kinds.select("file_id", "key").distinct()
-    born = origins(changes)
-    born = ws.save(born.filter("name like 'features.%' and origin like 'features.%'").select("repo_id", F.expr("substr(name, 10)").alias("key"), "since", F.expr("substr(origin, 10)").alias("origin")), "born")
+    roots = ws.save(origins(changes), "roots")
+    born = ws.save(roots.filter("name like 'features.%' and origin like 'features.%'").select("repo_id", F.expr("substr(name, 10)").alias("key"), "since", F.expr("substr(origin, 10)").alias("origin")), "born")
     here = hot_join(keys, place, ["file_id"], "left")
-    hits = lookup_join(here.filter("repo_id is not null"), born, ["repo_id", "key"]).filter("since <= file_index").groupBy("file_id", "key").agg(F.max_by("origin", F.struct("since", "origin")).alias("origin"))
+    drifted = lookup_join(here.filter("repo_id is not null and file_index is not null"), born.select("repo_id", "key").distinct(), ["repo_id", "key"], "left_semi")
+    hits = last_before(drifted, born, ["repo_id", "key"], "origin").groupBy("file_id", "key").agg(F.max("origin").alias("origin"))
     named = keys.join(hits, ["file_id", "key"], "left").withColumn("field", F.coalesce("origin", "key"))
     w = Window.partitionBy("file_id", "field")  # the keys of one file
     named = named.withColumn("clash", F.count(F.lit(1)).over(w) > 1).select("file_id", "key", F.when(F.col("clash"), F.col("key")).otherwise(F.col("field")).alias("field"))
@@ -425,8 +448,10 @@ def unified_records(files: DataFrame, records: DataFrame, changes: DataFrame | N
                 yield pa.RecordBatch.from_arrays(cols, schema=arrow)
 
     # what a file calls fps and robot_type now: top-level fields by their origin
-    top = lookup_join(place, origins(changes).filter("origin in ('fps', 'robot_type')"), ["repo_id"]).filter("since <= file_index")
-    top = top.groupBy("file_id", "origin").agg(F.max_by("name", F.struct("since", "name")).alias("name")).groupBy("file_id").agg(F.max(F.when(F.col("origin") == "fps", F.col("name"))).alias("fps_name"), F.max(F.when(F.col("origin") == "robot_type", F.col("name"))).alias("robot_name"))
+    named_top = roots.filter("origin in ('fps', 'robot_type')")
+    asked = place.filter("repo_id is not null and file_index is not null").withColumn("origin", F.explode(F.array(F.lit("fps"), F.lit("robot_type"))))
+    asked = lookup_join(asked, named_top.select("repo_id", "origin").distinct(), ["repo_id", "origin"], "left_semi")
+    top = last_before(asked, named_top, ["repo_id", "origin"], "name").groupBy("file_id").agg(F.max(F.when(F.col("origin") == "fps", F.col("name"))).alias("fps_name"), F.max(F.when(F.col("origin") == "robot_type", F.col("name"))).alias("robot_name"))
     told = known.join(top, ["file_id"], "left").withColumn("j", F.from_json("info", "map<string,string>", {"mode": "PERMISSIVE"}))
     told = told.select("file_id", F.coalesce(F.expr("try_element_at(j, coalesce(fps_name, 'fps'))"), F.expr("try_element_at(j, 'fps')")).alias("fps"), F.coalesce(F.expr("try_element_at(j, coalesce(robot_name, 'robot_type'))"), F.expr("try_element_at(j, 'robot_type')")).alias("robot_type"))
     maps = projections.filter("key <> field").groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "field"))).alias("names"))  # a file's own keys

@@ -100,3 +100,16 @@ def test_unified_overflow_keeps_everything(spark, monkeypatch):
 def test_types_unify():
     assert sd.unify({"whole", "null"}) == "bigint" and sd.unify({"whole", "decimal_text"}) == "double" and sd.unify({"boolean", "whole"}) == "double"
     assert sd.unify({"numbers", "whole"}) == "array<double>" and sd.unify({"list"}) == "array<string>" and sd.unify({"object", "whole"}) == "string" and sd.unify(set()) == "string"
+
+
+def test_last_before_carries_over_stretches(spark, monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    monkeypatch.setattr(sd, "AS_OF_BLOCK", 8)
+    arrivals = sorted({(r, rng.randrange(0, 200)): f"v{k}" for k in range(60) for r in ("a", "b")}.items())
+    queries = [(r, k, rng.randrange(-20, 300)) for k, r in enumerate(["a", "b", "c"] * 60)]
+    a = spark.createDataFrame([(r, at, v) for (r, at), v in arrivals], "repo_id string, since long, origin string")
+    q = spark.createDataFrame(queries, "repo_id string, file_id long, file_index long")
+    got = {r.file_id: r.origin for r in sd.last_before(q, a, ["repo_id"], "origin").collect()}
+    assert got == {k: max([(at, v) for (s, at), v in arrivals if s == r and at <= i], default=(0, None))[1] for r, k, i in queries}
