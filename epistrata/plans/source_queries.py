@@ -196,14 +196,33 @@ def sink_report(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(text[0], sum(x.startswith("[") for x in text))], "line string, bars bigint")
 
 
-@query(with_(FR) + "select i as seq, row_number() over (partition by ep order by i) - 1 as frame_index, round(((row_number() over (partition by ep order by i) - 1) / 30.0)::float::double, 4) as timestamp from fr where ep < 50")
-def sink_recording(spark: SparkSession, sf: str) -> DataFrame:
+def _recorded(spark: SparkSession, sf: str) -> DataFrame:
+    """All frames recorded in three batches, every episode in at least two of them if it has two frames, the second batch sent again; then saved."""
+    from pyspark.sql.window import Window
+
     ws = Workspace(spark, "recording")
-    src = ws.save(frames(spark, sf).filter("episode_index < 50").select(F.col("index").alias("seq"), "episode_index", F.lit(None).cast("float").alias("timestamp")), "src")
+    w = Window.partitionBy("episode_index")
+    part = F.floor((F.row_number().over(w.orderBy("index")) - 1) * 3 / F.count(F.lit(1)).over(w))
+    f = frames(spark, sf, "task_index", "action").withColumn("part", part)
+    f = f.join(F.broadcast(tasks(spark, sf)), ["task_index"], "left").drop("task_index")
+    src = ws.save(f.withColumnsRenamed({"index": "seq"}).withColumn("recorded", F.col("episode_index")), "src")
     rec = dataset.Recorder(ws.path("out"), 30.0)
-    rec.write_batch(src, 0)
-    rec.write_batch(src, 0)
-    return spark.read.parquet(f"{rec.root}/data").select("seq", "frame_index", r(F.col("timestamp").cast("double"), 4).alias("timestamp"))
+    for number in (0, 1, 1, 2):
+        rec.write_batch(src.filter(F.col("part") == number).drop("part"), number)
+    rec.save(spark, {"action": FEATURES["action"]}, tasks(spark, sf))
+    return dataset.scan_frames(spark, rec.root).withColumn("timestamp", r(F.col("timestamp").cast("double"), 4))
+
+
+@query(with_(FR) + "select i as seq, row_number() over (partition by ep order by i) - 1 as frame_index, round(((row_number() over (partition by ep order by i) - 1) / 30.0)::float::double, 4) as timestamp from fr where ep < 50")
+def sink_recording(spark: SparkSession, sf: str) -> DataFrame:
+    """Records all frames as sink_recording_all does; its rows are those that its SQL lists."""
+    return _recorded(spark, sf).filter("recorded < 50").select("seq", "frame_index", "timestamp")
+
+
+@query(with_(FR) + "select i as seq, dense_rank() over (order by ep) - 1 as episode_index, row_number() over (order by ep, i) - 1 as \"index\", row_number() over (partition by ep order by i) - 1 as frame_index, round(((row_number() over (partition by ep order by i) - 1) / 30.0)::float::double, 4) as timestamp, t.task_index from fr left join tasks t on t.task_index = fr.task")
+def sink_recording_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every frame as recorded and saved, with its ids."""
+    return _recorded(spark, sf).select("seq", "episode_index", "index", "frame_index", "timestamp", "task_index")
 
 
 @query(with_(FR, EP) + "select (select count(*) from fr) as frames, (select count(*) from eps) as total_episodes, (select sum(length)::bigint from eps) as total_frames")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from epistrata.runtime import c, delete_path
+from epistrata.runtime import Workspace, c, delete_path, lookup_join
 
 #: Fixed values of the layout.
 MAX_DATA_MB = 100
@@ -299,19 +299,71 @@ def video_places(episodes: DataFrame, fps: float, most_s: float, key: str = "epi
 
 
 class Recorder:
-    """Appends a stream of recorded frames: frame_index counts up in an episode, timestamp is frame_index / fps where absent, ids follow the last ones.
+    """Appends a stream of recorded frames and saves them as a dataset.
 
-    ``write_batch`` is a foreachBatch function: a batch goes to a folder of its number, so a retry replaces it.
+    ``write_batch`` is a foreachBatch function: a batch goes to a folder of its number, so a retry replaces it. frame_index counts up in an episode over
+    all batches with a smaller number, timestamp is frame_index / fps where absent. ``save`` gives index, episode and task ids and statistics.
     """
 
     def __init__(self, root: str, fps: float):
         self.root, self.fps = root, fps
+        self.frames, self.lengths = f"{root}/recording/frames", f"{root}/recording/lengths"
 
     def write_batch(self, batch: DataFrame, number: int) -> None:
+        """Rows of a batch: episode_index, seq (their order), and what else was recorded. Frames an episode has from earlier batches come from small tables of lengths."""
+        spark = batch.sparkSession
         w = Window.partitionBy("episode_index").orderBy("seq")
-        frame = F.row_number().over(w) - 1
-        out = batch.withColumn("frame_index", frame.cast("long")).withColumn("timestamp", F.coalesce(F.col("timestamp").cast("double"), F.col("frame_index") / self.fps).cast("float"))
-        out.write.mode("overwrite").parquet(f"{self.root}/data/batch_id={number}")
+        out = batch.withColumn("frame_index", (F.row_number().over(w) - 1).cast("long"))
+        if exists(spark, self.lengths):
+            before = spark.read.schema("episode_index long, length long, batch_id long").parquet(self.lengths).filter(F.col("batch_id") < number)
+            before = before.groupBy("episode_index").agg(F.sum("length").alias("__before"))
+            out = out.join(before, ["episode_index"], "left").withColumn("frame_index", F.col("frame_index") + F.coalesce("__before", F.lit(0))).drop("__before")
+        told = F.col("timestamp").cast("double") if "timestamp" in batch.columns else F.lit(None).cast("double")
+        out = out.withColumn("timestamp", F.coalesce(told, F.col("frame_index") / self.fps).cast("float"))
+        path = f"{self.frames}/batch_id={number}"
+        out.write.mode("overwrite").parquet(path)
+        written = spark.read.schema(out.schema).parquet(path)
+        written.groupBy(F.col("episode_index").cast("long").alias("episode_index")).agg(F.count(F.lit(1)).alias("length")).write.mode("overwrite").parquet(f"{self.lengths}/batch_id={number}")
+
+    def save(self, spark: SparkSession, features: dict[str, dict[str, Any]], known_tasks: DataFrame | None = None) -> None:
+        """All that was recorded as data and meta; made anew from the recording, so it may be called again after more batches.
+
+        Episodes get dense ids in the order of the recorded ones and index runs through them. Texts of column ``task`` keep the ids of an earlier save, or
+        of ``known_tasks`` before the first; new ones follow. Statistics of ``features`` are those of each episode, and their merge.
+        """
+        from epistrata.operators.episodes import dense_episodes, upsert_tasks
+        from epistrata.operators.stats import NAMES, feature_stats, merge_stats
+        ws = Workspace(spark, "recorder")
+        f = spark.read.parquet(self.frames).drop("batch_id")
+        if "task" not in f.columns:
+            f = f.withColumn("task", F.lit(None).cast("string"))
+        earlier = scan_tasks(spark, self.root)
+        earlier = earlier if earlier is not None else known_tasks if known_tasks is not None else spark.createDataFrame([], "task string, task_index long")
+        tasks = ws.save(upsert_tasks(earlier, f), "tasks")
+        lengths = spark.read.schema("episode_index long, length long, batch_id long").parquet(self.lengths).groupBy("episode_index").agg(F.sum("length").alias("length"))
+        keys = ws.save(dense_episodes(lengths), "keys")
+        ids = tasks.groupBy("task").agg(F.min("task_index").alias("task_index"))
+        f = f.join(keys.select("episode_index", "new_index", "from_index"), ["episode_index"])
+        f = lookup_join(f, ids, ["task"], "left").withColumn("index", F.col("from_index") + F.col("frame_index")).withColumn("episode_index", F.col("new_index")).drop("new_index", "from_index")
+        f = ws.save(f, "frames")
+        write_frames(f.drop("task"), self.root)
+        every = ("min", "max", "mean", "std", "count", *NAMES)
+        parts = ws.save(feature_stats(f, list(features), ["episode_index"]), "stats")
+        episodes = keys.select(F.col("new_index").alias("episode_index"), "length", F.col("from_index").alias("dataset_from_index"), F.col("to_index").alias("dataset_to_index"))
+        episodes = episodes.join(f.groupBy("episode_index").agg(F.sort_array(F.collect_set("task")).alias("tasks")), ["episode_index"])
+        for n in features:
+            of = parts.filter(F.col("feature") == n).groupBy("episode_index").agg(F.max("dim").alias("__d"), F.map_from_entries(F.collect_list(F.struct("dim", F.struct(*every)))).alias("__m"))
+            of = of.select("episode_index", *[F.transform(F.sequence(F.lit(0), F.col("__d")), lambda d: F.try_element_at(F.col("__m"), d)[k]).alias(f"stats/{n}/{k}") for k in every])
+            episodes = episodes.join(of, ["episode_index"], "left")
+        whole: dict[str, Any] = {}
+        for r in merge_stats(parts).orderBy("feature", "dim").collect():
+            for k in every:
+                at = whole.setdefault(r["feature"], {}).setdefault(k, [])
+                at += [None] * (r["dim"] - len(at)) + [r[k]]
+        n = lengths.agg(F.count(F.lit(1)).alias("e"), F.coalesce(F.sum("length"), F.lit(0)).alias("f")).first()
+        info = {"fps": self.fps, "features": {k: {**v, "shape": list(v.get("shape") or (1,))} for k, v in features.items()}, "total_episodes": n["e"], "total_frames": n["f"], "total_tasks": tasks.count(), "splits": {"train": f"0:{n['e']}"}}
+        write_meta(spark, self.root, info, tasks, episodes, whole)
+        ws.drop(f, parts)
 
 
 def convert_per_episode_layout(spark: SparkSession, old: str, new: str, episodes_schema: str = "episode_index long, tasks array<string>, length long", tasks_schema: str = "task_index long, task string") -> None:
