@@ -220,11 +220,12 @@ def stream_frames(spark: SparkSession, root: str, features: dict[str, dict[str,
     return spark.readStream.schema(frame_schema(features)).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch).parquet(f"{root}/data")
 
 
-def nested_episodes_to_frames(df: DataFrame, steps: str, vectors: dict[str, Sequence[str]], constants: Sequence[str]) -> DataFrame:
-    """One row an episode with an array of steps to one row a frame: fields joined to float vectors, constants repeated."""
+def nested_episodes_to_frames(df: DataFrame, steps: str, vectors: dict[str, Sequence[str]], constants: Sequence[str], scalars: Sequence[str] = ()) -> DataFrame:
+    """One row an episode with an array of steps to one row a frame: fields joined to float vectors, constants repeated, scalars of a step as they are."""
     flat = df.select(F.col("episode_index"), *[c(k) for k in constants], F.posexplode(c(steps)).alias("frame_index", "s"))
     joined = [F.concat(*[F.col(f"s.{p}") for p in parts]).cast("array<float>").alias(name) for name, parts in vectors.items()]
-    return flat.select("episode_index", F.col("frame_index").cast("long").alias("frame_index"), *joined, *[c(k) for k in constants])
+    own = [F.col("s").getField(k).alias(k) for k in scalars]
+    return flat.select("episode_index", F.col("frame_index").cast("long").alias("frame_index"), *joined, *own, *[c(k) for k in constants])
 
 
 # --- sinks ---

@@ -41,3 +41,9 @@ def test_more_batches_and_another_save_keep_task_ids(spark, recorded):
     recorded.save(spark, {"action": {"dtype": "float32", "shape": (2,)}})
     got = {r.seq: r for r in dataset.scan_frames(spark, recorded.root).collect()}
     assert (got[9].frame_index, got[9]["index"], got[9].task_index) == (4, 4, 9) and (got[2].task_index, got[5]["index"]) == (8, 6)
+
+
+def test_ids_of_nested_steps_are_exact(spark):
+    df = spark.sql("select 1L as episode_index, array(named_struct('index', 16777217L, 'a', array(1.0f)), named_struct('index', 16777219L, 'a', array(2.0f))) as steps")
+    got = dataset.nested_episodes_to_frames(df, "steps", {"v": ["a", "a"]}, [], ["index"]).orderBy("frame_index").collect()
+    assert [(r.frame_index, r["index"], r.v) for r in got] == [(0, 16777217, [1.0, 1.0]), (1, 16777219, [2.0, 2.0])]
