@@ -25,6 +25,19 @@ def _streamed(spark: SparkSession, df: DataFrame, build: Callable[[DataFrame], D
     return spark.read.schema(out.schema).parquet(path).select(*out.columns)
 
 
+#: Overlapping chunks of a whole episode: chunk c holds steps 10 c to 10 c + 29 and arrives when 10 c + 4 is executed (the first before any).
+_ARRIVE = "ar as (select fr.*, c from fr, unnest(range(greatest(0, fi // 10 - 2), fi // 10 + 1)) t(c) where c = 0 or fi > 10 * c + 4)"
+#: x after arrival c where a step is in at most three, by the weights' names w0 and w1.
+_FOLD = "case row_number() over w when 1 then x when 2 then w0 * lag(x) over w + w1 * x else w0 * (w0 * lag(x, 2) over w + w1 * lag(x) over w) + w1 * x end"
+
+
+def _arrivals(f: DataFrame) -> DataFrame:
+    """Adds seq and latest: a row for every chunk that holds the frame."""
+    last = F.floor(F.col("frame_index") / 10)
+    out = f.withColumn("seq", F.explode(F.sequence(F.greatest(F.lit(0), last - 2), last)))
+    return out.withColumn("latest", F.when(F.col("seq") == 0, F.lit(-1).cast("bigint")).otherwise(10 * F.col("seq") + 4)).withColumnsRenamed({"episode_index": "robot", "frame_index": "timestep"})
+
+
 @query(with_(FR) + "select i as \"index\", t.task, round(greatest(0, least(2.0, fi / 30.0)), 4) as video_ts from fr left join tasks t on t.task_index = fr.task")
 def stream_make_frame(spark: SparkSession, sf: str) -> DataFrame:
     """A stream of frames joined with the static tasks."""
@@ -67,6 +80,15 @@ def stream_action_merge(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("robot", "timestep", r(F.get("action", F.lit(0))).alias("x"))
 
 
+@query(with_(FR, _ARRIVE, "v as (select *, (case when c % 2 = 0 then action[1] else state[1] end)::double as x, 0.3 as w0, 0.7 as w1 from ar)") + f"select ep as robot, c as seq, fi as timestep, round({_FOLD}, 5) as x from v window w as (partition by ep, fi order by c)")
+def stream_action_merge_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole episodes as overlapping chunks, even ones of actions and odd ones of states: the queue after every arrival."""
+    a = _arrivals(frames(spark, sf, "frame_index", "action", "state"))
+    a = a.withColumn("action", F.when(F.col("seq") % 2 == 0, F.col("action")).otherwise(F.col("state")))
+    out = queues.merge_arrivals(a, AGGREGATES["weighted_average"])
+    return out.select("robot", "seq", "timestep", r(F.get("action", F.lit(0))).alias("x"))
+
+
 @query(with_(FR) + "select name, count(*) as n from fr, (values ('weighted_average'), ('latest_only'), ('average'), ('conservative')) t(name) where fi < 5 group by name")
 def udf_agg_fn(spark: SparkSession, sf: str) -> DataFrame:
     f = frames(spark, sf, "frame_index", "action").filter("frame_index < 5").select(F.col("episode_index").alias("robot"), F.col("index").alias("timestep"), "action")
@@ -88,6 +110,22 @@ def stream_action_state(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("robot", "seq", "timestep", r(F.get("action", F.lit(0))).alias("x"))
 
 
+@query(with_(FR, _ARRIVE, "v as (select *, state[1]::double * (case when c % 2 = 0 then 1 else 0.5 end) as x, 0.5 as w0, 0.5 as w1 from ar)") + f"select ep as robot, c as seq, fi as timestep, round({_FOLD}, 5) as x from v window w as (partition by ep, fi order by c)")
+def stream_action_state_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole episodes as overlapping chunks; the stream stops after five arrivals of each robot and goes on from its state."""
+    a = _arrivals(frames(spark, sf, "frame_index", "state")).withColumn("x", F.get("state", F.lit(0)).cast("double") * F.when(F.col("seq") % 2 == 0, 1.0).otherwise(0.5))
+    steps = F.sort_array(F.collect_list(F.struct("timestep", "x")))
+    chunks = a.groupBy("robot", "seq", "latest").agg(steps.alias("a")).select("robot", "seq", "latest", F.transform("a", lambda s: s["timestep"]).alias("timesteps"), F.transform("a", lambda s: F.array(s["x"])).alias("actions"))
+    ws = Workspace(spark, "stream")
+    chunks = ws.save(chunks, "chunks")
+    src, path, checkpoint = ws.path("in"), ws.path("out"), ws.path("checkpoint")
+    for part in ("seq < 5", "seq >= 5"):
+        chunks.filter(part).write.mode("append").parquet(src)
+        out = queues.merge_action_stream(spark.readStream.schema(chunks.schema).parquet(src), AGGREGATES["average"])
+        queues.run_to_table(out, path, checkpoint)
+    return spark.read.schema(out.schema).parquet(path).select("robot", "seq", "timestep", r(F.get("action", F.lit(0))).alias("x"))
+
+
 @query(with_(FR, "c as (select ep, row_number() over (partition by ep order by fi, i) - 1 as p, action from fr where fi < 20)") + "select ep as robot, (p - 4)::integer as pos, round(action[1]::double, 5) as x from c where p >= 4")
 def stream_action_queue(spark: SparkSession, sf: str) -> DataFrame:
     """Two chunks appended, with one and three actions consumed in between."""
@@ -98,6 +136,18 @@ def stream_action_queue(spark: SparkSession, sf: str) -> DataFrame:
     return queues.queue_after(only_two, replace=False).select("robot", "pos", r(F.get("action", F.lit(0)).cast("double")).alias("x"))
 
 
+@query(with_(FR, "c as (select ep, fi // 10 as seq, row_number() over (partition by ep order by fi, i) - 1 as p, action from fr)", "n as (select ep, seq, count(*) as n from c group by 1, 2)", "u as (select ep, sum(least(3, b)) as used from (select ep, lag(n, 1, 0) over (partition by ep order by seq) as b from n) group by 1)") + "select ep as robot, (p - used)::integer as pos, round(action[1]::double, 5) as x from c join u using (ep) where p >= used")
+def stream_action_queue_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole episodes as chunks of ten appended one after the other, with three actions (at most the last chunk) consumed in between."""
+    from pyspark.sql.window import Window
+
+    f = frames(spark, sf, "frame_index", "action").withColumn("seq", F.floor(F.col("frame_index") / 10))
+    ch = f.groupBy(F.col("episode_index").alias("robot"), "seq").agg(F.transform(F.sort_array(F.collect_list(F.struct("frame_index", "index", "action"))), lambda s: s["action"]).alias("chunk"))
+    before = F.lag(F.size("chunk"), 1, 0).over(Window.partitionBy("robot").orderBy("seq"))
+    ch = ch.withColumn("consumed", F.least(F.lit(3), before)).withColumn("delay", F.lit(0))
+    return queues.queue_after(ch, replace=False).select("robot", "pos", r(F.get("action", F.lit(0)).cast("double")).alias("x"))
+
+
 @query(with_(FR) + "select ep as robot, k::bigint + 7 as timestep, round(10 + k * 0.05, 4) as timestamp, round(action[k + 1]::double, 5) as x from fr, (select unnest(range(0, 6)) as k) where fi = 0 and len(action) = 6")
 def stream_time_chunk(spark: SparkSession, sf: str) -> DataFrame:
     f = frames(spark, sf, "frame_index", "action").filter((F.col("frame_index") == 0) & (F.size("action") == 6)).select(F.col("episode_index").alias("robot"), F.col("action").alias("chunk"), F.lit(10.0).alias("t0"), F.lit(7).cast("bigint").alias("i0"))

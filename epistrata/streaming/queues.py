@@ -25,6 +25,22 @@ def merge_actions(current: DataFrame, incoming: DataFrame, latest: DataFrame, we
     return out.select("robot", "timestep", F.when(F.col("__old").isNull(), F.col("__new").cast("array<double>")).otherwise(mixed).alias("action"))
 
 
+def merge_arrivals(arrivals: DataFrame, weights: tuple[float, float] = (0.0, 1.0)) -> DataFrame:
+    """(robot, seq, timestep, action): the queue after every arrival, each merged into the one before as by merge_actions. rows: robot, seq, latest (executed
+    when chunk seq arrives), timestep, action.
+
+    A step's value is a fold over the unbroken run of arrivals that hold it up to this one, so no loop over arrivals is needed.
+    """
+    place = F.dense_rank().over(Window.partitionBy("robot").orderBy("seq"))
+    kept = arrivals.withColumn("__c", place).filter(F.col("latest").isNull() | (F.col("timestep") > F.col("latest")))
+    kept = kept.withColumn("__run", F.col("__c") - F.row_number().over(Window.partitionBy("robot", "timestep").orderBy("seq")))
+    w = Window.partitionBy("robot", "timestep", "__run").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    mix = lambda old, new: F.when(old["a"].isNull(), new).otherwise(F.struct(F.zip_with(old["a"], new["a"], lambda a, b: a * weights[0] + b * weights[1]).alias("a")))
+    seen = F.collect_list(F.struct(F.col("action").cast("array<double>").alias("a"))).over(w)
+    first = F.struct(F.lit(None).cast("array<double>").alias("a"))
+    return kept.withColumn("__seen", seen).select("robot", "seq", "timestep", F.aggregate("__seen", first, mix)["a"].alias("action"))
+
+
 def timed_chunk(df: DataFrame, dt: float) -> DataFrame:
     """A chunk of actions from time t0 and step i0 as rows t0 + k dt, i0 + k."""
     return df.select("robot", F.posexplode("chunk").alias("k", "action"), "t0", "i0").select("robot", (F.col("t0") + F.col("k") * dt).alias("timestamp"), (F.col("i0") + F.col("k")).alias("timestep"), "action")
