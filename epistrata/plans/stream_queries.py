@@ -100,6 +100,19 @@ def udf_agg_fn(spark: SparkSession, sf: str) -> DataFrame:
     return out.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(with_(FR) + "select name, ep as robot, fi as timestep, round(case when action is null then state[1]::double else w0 * action[1]::double + w1 * state[1]::double end, 5) as x from fr, (values ('weighted_average', 0.3, 0.7), ('latest_only', 0.0, 1.0), ('average', 0.5, 0.5), ('conservative', 0.7, 0.3)) t(name, w0, w1)")
+def udf_agg_fn_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every frame's action merged with its state by each of the named functions."""
+    f = frames(spark, sf, "frame_index", "action", "state").withColumnsRenamed({"episode_index": "robot", "frame_index": "timestep"})
+    latest = f.select("robot").distinct().withColumn("latest", F.lit(-1))
+    out = None
+    for name, w in AGGREGATES.items():
+        merged = queues.merge_actions(f.select("robot", "timestep", "action"), f.select("robot", "timestep", F.col("state").alias("action")), latest, w)
+        part = merged.select(F.lit(name).alias("name"), "robot", "timestep", r(F.get("action", F.lit(0))).alias("x"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query(with_(FR, "a as (select ep, fi, state[1]::double as x from fr where fi < 30), b as (select ep, fi, 0.5 * state[1]::double as y from fr where fi between 10 and 49)") + "select ep as robot, 0::bigint as seq, fi as timestep, round(x, 5) as x from a union all select b.ep, 1, b.fi, round(case when a.ep is null then y else 0.5 * x + 0.5 * y end, 5) from b left join a on a.ep = b.ep and a.fi = b.fi where b.fi > 14")
 def stream_action_state(spark: SparkSession, sf: str) -> DataFrame:
     """The merge kept as streaming state: the queue after each of two chunks."""
