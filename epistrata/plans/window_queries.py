@@ -328,6 +328,11 @@ def seq_sampler(spark: SparkSession, sf: str) -> DataFrame:
     return windows.trimmed_frames(f, 2, 3).select("index")
 
 
+@query(with_(FR, _B) + "select i as \"index\" from b where rn > 2 and rn <= n - 3")
+def seq_sampler_all(spark: SparkSession, sf: str) -> DataFrame:
+    return windows.trimmed_frames(frames(spark, sf, "frame_index"), 2, 3).select("index")
+
+
 @query(with_(FR, _B, "f as (select i, coalesce(iv, 0) > 0.5 as o, n - rn >= case when coalesce(iv, 0) > 0.5 then 0 else 4 end as keep from b)", "c as (select count(case when keep and o then 1 end) as a, count(case when keep and not o then 1 end) as z from f)") + "select i as \"index\", round(case when not keep then 0 when o then 0.3 / a else 0.7 / z end, 9) as weight from f, c")
 def seq_sampler_weights(spark: SparkSession, sf: str) -> DataFrame:
     f = frames(spark, sf, "frame_index", "intervention")
