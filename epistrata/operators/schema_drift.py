@@ -303,12 +303,18 @@ def last_before(queries: DataFrame, arrivals: DataFrame, keys: list[str], value:
     return seen.join(carried, [*keys, "b"], "left").select(*keys, "file_id", F.coalesce("s", "e").alias(value))
 
 
+def _width(v: int) -> str | None:
+    """wide: a whole number that a double may round; huge: one that has no place in a bigint."""
+    return None if abs(v) <= 2**53 else "wide" if -(2**63) <= v < 2**63 else "huge"
+
+
 def _value_kind(v: Any) -> str:
     k = _kind(v)
+    if k == "whole":
+        return _width(v) or k
     if k == "text":
         try:
-            int(v)
-            return "whole_text"
+            return _width(int(v)) or "whole_text"
         except ValueError:
             pass
         try:
@@ -316,14 +322,14 @@ def _value_kind(v: Any) -> str:
         except ValueError:
             return "text"
     if k == "list":
-        return "numbers" if all(x is None or _kind(x) in ("whole", "decimal") for x in v) else "list"
+        return "numbers" if all(x is None or _kind(x) == "decimal" or (_kind(x) == "whole" and not _width(x)) for x in v) else "list"
     return k or "null"
 
 
 def unify(kinds: set[str]) -> str:
     """The narrowest column type that holds all kinds of values a field has."""
     kinds = kinds - {"null"}
-    if not kinds or kinds & {"text", "object"}:
+    if not kinds or kinds & {"text", "object", "huge"}:
         return "string"
     if kinds & {"numbers", "list"}:
         if "list" in kinds:
@@ -331,8 +337,10 @@ def unify(kinds: set[str]) -> str:
         return "array<double>" if kinds <= {"numbers", "whole", "decimal", "whole_text", "decimal_text"} else "string"
     if kinds == {"boolean"}:
         return "boolean"
-    if kinds <= {"whole", "whole_text"}:
+    if kinds <= {"whole", "whole_text", "wide"}:
         return "bigint"
+    if "wide" in kinds:
+        return "string"
     return "double"
 
 
@@ -344,8 +352,7 @@ def _fit(v: Any, to: str) -> Any:
     if to == "boolean":
         return v
     if to == "bigint":
-        v = int(v)
-        return v if -(2**63) <= v < 2**63 else None
+        return int(v)
     if to == "double":
         return float(v)
     if to == "array<double>":
@@ -384,7 +391,8 @@ def unified_records(files: DataFrame, records: DataFrame, changes: DataFrame | N
     The edit scripts are compiled into a projection for every file: each key of its records to the name under which the field first
     appeared in its repo (its own name if it never changed, or if another key of the file has that name already). A field's column has the
     narrowest type that holds all its values: whole numbers and texts of whole numbers bigint, mixed numbers double, lists of numbers (and
-    numbers beside them) array<double>, all else string, with JSON text for what is no text. Names that differ only in case get a suffix ~2, ~3 …
+    numbers beside them) array<double>, all else string, with JSON text for what is no text; string too where whole numbers beyond 64 bits occur, or
+    beyond 2**53 beside decimals (array<string> inside lists), so no digit is lost. Names that differ only in case get a suffix ~2, ~3 …
 
     Columns: _record_id, _file_id, _repo_id, _file_index, _fps, _robot_type (of the file, as text, whatever the file calls them), one a field; fields beyond MAX_COLUMNS
     are kept in the map _extra. Repeated rows count once. A record that is null or no JSON object has null fields; one whose file is unknown keeps its
