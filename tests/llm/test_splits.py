@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -83,6 +84,73 @@ def test_no_group_is_split_and_shares_are_near(spark):
     assert sorted(map(str, splits.deal_splits(f.groups, t).collect())) == sorted(map(str, out.collect()))
 
 
+def brute_deal(sizes, fractions, seed=7):
+    """The dealing rule root by root: {group: split}."""
+    import hashlib
+
+    place = lambda g: int(hashlib.md5(f"{g}:{seed}".encode()).hexdigest()[:13], 16)
+    names = [n for n, _ in sorted(fractions.items(), key=lambda x: (-x[1], x[0]))]
+    total = sum(sizes.values())
+    lack = {n: fractions[n] / sum(fractions.values()) * total for n in names}
+    out = {}
+    for band in sorted({int(math.log2(n)) for n in sizes.values()}, reverse=True):
+        roots = sorted((g for g in sizes if int(math.log2(sizes[g])) == band), key=place)
+        short = {n: max(0.0, lack[n]) for n in names}
+        due = {n: short[n] / sum(short.values()) for n in names}
+        kept = {n: due[n] for n in names if due[n] * len(roots) >= 0.5} or {max(names, key=lambda n: due[n]): 1.0}
+        whole, at = sum(sizes[g] for g in roots), 0
+        for g in roots:
+            middle, end = at + sizes[g] / 2, 0.0
+            for n in names:
+                end += kept.get(n, 0.0) / sum(kept.values()) * whole
+                if middle < end - 1e-9:
+                    break
+            out[g] = n
+            at += sizes[g]
+        for g in roots:
+            lack[out[g]] -= sizes[g]
+    return out
+
+
+@pytest.mark.parametrize("cuts", [4096, 64])
+def test_dealing_follows_one_rule_at_every_size(spark, monkeypatch, cuts):
+    monkeypatch.setattr(splits, "BAND_CUTS", cuts)
+    rng = random.Random(4)
+    sizes = {g * 10_000: n for g, n in enumerate([1500, 400, 300, 130, 70, 64, 40] + [rng.randrange(1, 9) for _ in range(900)])}
+    records = spark.createDataFrame([(g + k, g) for g, n in sizes.items() for k in range(n)], "episode_index long, `group` long")
+    t = spark.createDataFrame([("train", 0.7), ("val", 0.2), ("test", 0.1)], "split_name string, fraction double")
+    out = splits.deal_splits(records, t)
+    got = {r.group: r.split_name for r in out.select("group", "split_name").distinct().collect()}
+    assert len(got) == len(sizes)
+    if cuts == 4096:
+        assert got == brute_deal(sizes, {"train": 0.7, "val": 0.2, "test": 0.1})
+    total = sum(sizes.values())
+    for name, f in (("train", 0.7), ("val", 0.2), ("test", 0.1)):
+        assert abs(sum(sizes[g] for g in got if got[g] == name) / total - f) < 0.005
+    ones = {n: [g for g in got if sizes[g] == 1 and got[g] == n] for n in ("train", "val", "test")}
+    assert all(ones.values())  # stratified: every split has roots of the smallest band
+
+
+def test_more_than_a_thousand_splits(spark):
+    _, f = groups(spark, [(e, None, None, None) for e in range(3000)])
+    t = spark.createDataFrame([(f"s{k:04}", 1.0) for k in range(1500)], "split_name string, fraction double")
+    got = splits.deal_splits(f.groups, t).groupBy("split_name").count().collect()
+    assert len(got) == 1500 and {r["count"] for r in got} == {2}
+
+
+def test_weights_are_balanced(spark):
+    rng = random.Random(9)
+    w = {e: rng.choice([1, 5, 100, 1000]) for e in range(2000)}
+    _, f = groups(spark, [(e, f"op-{e // 2}", None, None) for e in range(2000)])
+    t = spark.createDataFrame([("train", 0.8), ("val", 0.1), ("test", 0.1)], "split_name string, fraction double")
+    weights = spark.createDataFrame([(e, float(x)) for e, x in w.items() if e % 50] + [(0, None), (50, float("nan")), (None, 3.0)], "episode_index long, weight double")
+    got = {r.episode_index: r.split_name for r in splits.deal_splits(f.groups, t, weights=weights).collect()}
+    assert len(got) == 2000 and all(got[e] == got[e + 1] for e in range(0, 2000, 2))
+    total = sum(x for e, x in w.items() if e % 50)
+    for name, part in (("train", 0.8), ("val", 0.1), ("test", 0.1)):
+        assert abs(sum(x for e, x in w.items() if e % 50 and got[e] == name) / total - part) < 0.005
+
+
 def test_odd_targets(spark):
     _, f = groups(spark, [(e, None, None, None) for e in range(50)])
     t = lambda rows: spark.createDataFrame(rows, "split_name string, fraction double")
