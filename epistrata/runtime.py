@@ -126,9 +126,9 @@ def hot_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner
     Hot keys of ``left`` are split into parts by a hash of the row (so a task that runs again
     sends every row to the same place), and the matching rows of ``right`` are repeated for each part.
     ``how`` is inner, left, left_semi or left_anti. Null keys match nothing, as in SQL. A left side that is dear
-    to compute is written once, so counting its keys does not compute it again.
+    to compute is written once, so counting its keys does not compute it again; below HOT_ROWS ``left_rows``, where known, nothing is counted.
     """
-    if left_rows is None:
+    if left_rows is None or left_rows >= HOT_ROWS:
         left = settled(left, "left")
     parts = hot_parts(left.select(*[c(k) for k in on]), on, left_rows)
     if not parts:
