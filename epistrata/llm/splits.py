@@ -42,14 +42,14 @@ class Forest:
 def tie_edges(ws: Workspace, records: DataFrame, key: str, ids: list[str], source: str | None) -> tuple[DataFrame, DataFrame]:
     """Vertices and tie edges (u < v, kind). Equal ids give a star around the smallest record, not all pairs."""
     vertices = ws.save(records.select(c(key).alias("v")).filter("v is not null").distinct(), "vertices")
-    known = vertices.count()
+    known = records.select(c(key)).count()
     parts = []
     for kind, name in enumerate(ids, start=1):
-        keyed = ws.save(records.select(c(key).alias("v"), normal_id(c(name)).alias("id")).filter("v is not null and id is not null").distinct(), "keyed")
+        keyed = records.select(c(key).alias("v"), normal_id(c(name)).alias("id")).filter("v is not null and id is not null").distinct()
         hubs = keyed.groupBy("id").agg(F.min("v").alias("u"))
         parts.append(hot_join(keyed, hubs, ["id"], left_rows=known).filter("u != v").select("u", "v", F.lit(kind).alias("kind")))
     if source:
-        linked = ws.save(records.select(c(key).alias("w"), c(source).alias("v")).filter("w is not null and v is not null and w != v").distinct(), "linked")
+        linked = records.select(c(key).alias("w"), c(source).alias("v")).filter("w is not null and v is not null and w != v").distinct()
         parts.append(hot_join(linked, vertices, ["v"], left_rows=known).select(F.least("w", "v").alias("u"), F.greatest("w", "v").alias("v"), F.lit(0).alias("kind")))
     edges = reduce(DataFrame.unionByName, parts) if parts else vertices.select(F.col("v").alias("u"), "v", F.lit(0).alias("kind")).limit(0)
     return vertices, edges.groupBy("u", "v").agg(F.min("kind").alias("kind"))
