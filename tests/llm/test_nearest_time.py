@@ -35,8 +35,8 @@ def brute(samples, frames, tol):
     return sorted(out)
 
 
-@pytest.mark.parametrize("shard", [60.0, 0.5])
-def test_equals_brute_force(spark, shard):
+@pytest.mark.parametrize("rows", [nt.CHUNK_ROWS, 7, 1])
+def test_equals_brute_force(spark, rows):
     rng = random.Random(3)
     frames, i = [], 0
     for e in range(6):
@@ -50,8 +50,8 @@ def test_equals_brute_force(spark, shard):
     samples = [(k, rng.randrange(0, 8), rng.choice(["a", "b", "c", None]), rng.uniform(-4, 20)) for k in range(600)]
     samples += [(1000 + k, f[1], "a", None if f[2] is None else float(np.float32(f[2])) + rng.choice([0, 0.01, -0.01])) for k, f in enumerate(frames[:100])]
     samples += samples[:30] + [(2000, 1, "a", None), (2001, 1, "a", float("nan")), (None, 1, "a", 0.0), (2002, None, "a", 0.0), (2003, 1, "a", float("-inf"))]
-    tol = [("a", 0.02), ("a", 0.01), ("b", 0.3), ("c", None), ("d", -1.0), (None, 1.0)]
-    assert run(spark, samples, frames, tol, shard_s=shard) == brute(samples, frames, tol)
+    tol = [("a", 0.02), ("a", 0.01), ("b", float("inf") if rows == 7 else 0.3), ("c", None), ("d", -1.0), (None, 1.0)]
+    assert run(spark, samples, frames, tol, chunk_rows=rows) == brute(samples, frames, tol)
 
 
 def test_ties_take_the_smaller_index(spark):
@@ -59,6 +59,29 @@ def test_ties_take_the_smaller_index(spark):
     assert run(spark, [(1, 1, "a", 1.5), (2, 1, "a", 3.0), (3, 1, "a", 2.0)], frames, [("a", 5.0)]) == [(1, 4), (2, 3), (3, 4)]
 
 
+def test_an_infinite_tolerance_is_one(spark):
+    """A sensor's result does not depend on other sensors, and times may be of any finite size."""
+    frames = [(1, 1, 0.0), (2, 2, 1e30), (3, 3, 3.0e15)]
+    samples = [(1, 1, "a", 95.0), (2, 1, "b", 95.0), (3, 2, "a", -1e300), (4, 3, "a", 3.0e15)]
+    assert run(spark, samples, frames, [("a", float("inf"))]) == brute(samples, frames, [("a", float("inf"))]) == [(1, 1), (3, 2), (4, 3)]
+
+
+@pytest.mark.parametrize("parts,rows", [(1, 3), (7, 1000), (23, 5)])
+def test_one_entity_over_many_partitions(spark, parts, rows):
+    """A hot entity, a hot instant and long stretches of samples without frames, cut into ranges anywhere."""
+    rng = random.Random(parts)
+    frames = [(k, 1, float(np.float32(rng.choice([5.0, 9.0, 9.0, rng.uniform(0, 20)])))) for k in rng.sample(range(500), 120)] + [(900, 2, 1.0)]
+    samples = [(k, rng.choice([1, 1, 1, 2, 3]), rng.choice("ab"), rng.choice([5.0, 9.0, 9.0, rng.uniform(-40, 60), rng.uniform(20, 60)])) for k in range(600)]
+    tol = [("a", 0.5), ("b", float("inf"))]
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert run(spark, samples, frames, tol, chunk_rows=rows) == brute(samples, frames, tol)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_all_samples_can_be_kept(spark):
     got = run(spark, [(1, 1, "a", 1.0), (1, 1, "a", 1.0), (2, 1, "a", None), (3, 5, "a", 1.0)], [(9, 1, 1.0)], [("a", 0.1)], keep_unmatched=True)
     assert [x for x in got if x[1] is not None] == [(1, 9)] and sorted(x[0] for x in got) == [1, 2, 3]
