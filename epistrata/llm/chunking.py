@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epistrata.llm.mixing import normal_source
-from epistrata.llm.tokens import DEFAULT_VOCABULARY, Tokenizer, tokenizer
+from epistrata.llm.tokens import CACHE_WORDS, DEFAULT_VOCABULARY, Tokenizer, tokenizer
 from epistrata.runtime import lookup_join
 
 #: Characters of text whose boundaries are joined at once in a task.
@@ -23,42 +24,73 @@ SENTENCE, WORD, JOINT, INSIDE = 4, 3, 2, 1
 REACH = 16
 
 
-def boundaries(tok: Tokenizer, text: str, limit: int, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions where a text may be cut, in tokens and in characters, and their level; the start and the end included.
+#: Bits of a pre-token's features above its tokens and characters.
+_ENDS, _LINE, _ASCII, _BLANK, _LEADS = (1 << k for k in range(56, 61))
 
-    Between pre-tokens the counts of the parts add up exactly. Only a pre-token too long for a piece (a run of Chinese, a base64 blob) has
+
+class Features(dict):
+    """Maps a pre-token to its tokens, characters and what it is at a boundary, packed into one number."""
+
+    def __init__(self, tok: Tokenizer):
+        super().__init__()
+        self.tok = tok
+
+    def __missing__(self, w: str) -> int:
+        last = w[-1]
+        v = self.tok[w] | len(w) << 28
+        if last in ENDS or "\n" in w or (last in WRAPS and w.rstrip(WRAPS)[-1:] in ENDS):
+            v |= _ENDS
+        v |= ("\n" in w) * _LINE | last.isascii() * _ASCII | w.isspace() * _BLANK | w[0].isspace() * _LEADS
+        if len(w) <= 64:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[w] = v
+        return v
+
+
+@lru_cache(maxsize=4)
+def _features(tok: Tokenizer) -> Features:
+    return Features(tok)
+
+
+def boundaries(tok: Tokenizer, text: str, limit: int, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions where a text may be cut, in tokens and in characters, their level, and how many tokens more a part has that ends there; the start and the end included.
+
+    Between pre-tokens the counts of the parts add up exactly, but for blanks that are one pre-token at a part's end and two before a word. Only a pre-token too long for a piece (a run of Chinese, a base64 blob) has
     boundaries inside, where a token ends with a character.
     """
     words = tok.words(text)
-    counts = np.fromiter(map(tok.__getitem__, words), np.int64, len(words))
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    level = np.full(len(words), JOINT, np.int8)
-    for i, w in enumerate(words):
-        last = w[-1]
-        if last in ENDS or "\n" in w or (last in WRAPS and w.rstrip(WRAPS)[-1:] in ENDS):
-            level[i] = SENTENCE
-        if w[0].isspace() and i and level[i - 1] == JOINT:
-            level[i - 1] = WORD
+    f = np.fromiter(map(_features(tok).__getitem__, words), np.int64, len(words))
+    counts, lengths = f & ((1 << 28) - 1), f >> 28 & ((1 << 28) - 1)
+    leads, blank, after = f & _LEADS != 0, f & _BLANK != 0, np.zeros(len(words), bool)
+    after[:-1] = leads[1:]
     # "3.5" and "obs.state" are no sentence ends: white space must follow, or the mark be a full-width one
-    for i in np.flatnonzero(level[:-1] == SENTENCE):
-        if "\n" not in words[i] and words[i][-1].isascii() and not words[i + 1][0].isspace():
-            level[i] = JOINT
+    inner = (f & _LINE == 0) & (f & _ASCII != 0) & ~after
+    inner[-1:] = False
+    ends = f & _ENDS != 0
+    level = np.where(ends & ~inner, SENTENCE, np.where(after & ~ends, WORD, JOINT)).astype(np.int8)
+    more = np.zeros(len(words), np.int64)
+    for i in np.flatnonzero(blank[1:] & blank[:-1]) + 1:
+        j = i - 1
+        while j and blank[j - 1]:
+            j -= 1
+        more[i] = tok["".join(words[j : i + 1])] - counts[j : i + 1].sum()
     pos, chars = np.cumsum(counts), np.cumsum(lengths)
     long = np.flatnonzero(counts > max(1, min(16, (limit - overlap) // 2)))
     if long.size:
         parts = []
         done = 0
         for i in long:
-            parts.append(np.stack([pos[done:i], chars[done:i], level[done:i]]))
+            parts.append(np.stack([pos[done:i], chars[done:i], level[done:i], more[done:i]]))
             inner = [(n, k) for n, k in tok.cuts(words[i]) if n < counts[i]]
             if inner:
                 a = np.array(inner).T
-                parts.append(np.stack([a[0] + pos[i] - counts[i], a[1] + chars[i] - lengths[i], np.full(a.shape[1], INSIDE)]))
+                parts.append(np.stack([a[0] + pos[i] - counts[i], a[1] + chars[i] - lengths[i], np.full(a.shape[1], INSIDE), np.zeros(a.shape[1], np.int64)]))
             done = i
-        parts.append(np.stack([pos[done:], chars[done:], level[done:]]))
-        pos, chars, level = np.concatenate(parts, axis=1)
+        parts.append(np.stack([pos[done:], chars[done:], level[done:], more[done:]]))
+        pos, chars, level, more = np.concatenate(parts, axis=1)
     zero = np.zeros(1, np.int64)
-    return np.concatenate([zero, pos]), np.concatenate([zero, chars]), np.concatenate([[SENTENCE], level]).astype(np.int8)
+    return np.concatenate([zero, pos]), np.concatenate([zero, chars]), np.concatenate([[SENTENCE], level]).astype(np.int8), np.concatenate([zero, more])
 
 
 def _starts(pos: np.ndarray, level: np.ndarray, at: np.ndarray, first: np.ndarray, overlap: np.ndarray) -> np.ndarray:
@@ -68,8 +100,8 @@ def _starts(pos: np.ndarray, level: np.ndarray, at: np.ndarray, first: np.ndarra
     return np.where(pos[near] - pos[word] <= REACH, word, near)
 
 
-def cut_all(pos: np.ndarray, level: np.ndarray, first: np.ndarray, last: np.ndarray, limit: np.ndarray, overlap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of all pieces of all texts.
+def cut_all(pos: np.ndarray, level: np.ndarray, first: np.ndarray, last: np.ndarray, limit: np.ndarray, overlap: np.ndarray, more: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of all pieces of all texts; ``more`` is added to the overlap asked for at each boundary.
 
     ``pos`` are the boundaries' positions, those of a text between ``first`` and ``last``, texts further apart than any limit. Every
     boundary is joined to its successor: where the piece after a cut there would end, which is the farthest
@@ -80,6 +112,7 @@ def cut_all(pos: np.ndarray, level: np.ndarray, first: np.ndarray, last: np.ndar
     at = np.arange(n)
     text = np.repeat(np.arange(first.size), last - first + 1)
     f, z, lim, ov = first[text], last[text], limit[text], np.minimum(overlap, np.maximum(limit - 1, 0))[text]
+    ov = np.where(ov > 0, np.maximum(ov + more, 0), 0)
     start = np.where(at == f, f, _starts(pos, level, at, f, ov))
 
     def farthest(s: np.ndarray) -> np.ndarray:
@@ -111,39 +144,51 @@ def cut_all(pos: np.ndarray, level: np.ndarray, first: np.ndarray, last: np.ndar
 def split_texts(tok: Tokenizer, texts: list[str], limits: list[int], overlaps: list[int]) -> list[list[tuple[int, int, int]]]:
     """For each text above its limit the pieces (first character, end, tokens); for others an empty list."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    todo: list[tuple[int, int]] = [(i, limits[i]) for i, t in enumerate(texts) if len(t.encode("utf-8", "surrogatepass")) > limits[i]]
+    made: dict[int, tuple[np.ndarray, ...]] = {}
+    todo: dict[int, int] = {}
+    for i, t in enumerate(texts):
+        if len(t.encode("utf-8", "surrogatepass")) > limits[i]:
+            p, ch, lv, more = boundaries(tok, t, limits[i], overlaps[i])
+            if p[-1] > limits[i]:
+                made[i] = (p, ch, lv, more, -more)  # a part with fewer tokens at its end needs as many more before
+                todo[i] = limits[i]
     rounds = 0
     while todo:
-        arrays, who, gap = [], [], max(lim for _, lim in todo) + max(overlaps[i] for i, _ in todo) + 2
-        base = 0
-        for i, lim in todo:
-            p, ch, lv = boundaries(tok, texts[i], lim, overlaps[i])
-            if rounds or p[-1] > limits[i]:
-                arrays.append((p + base, ch, lv))
-                who.append((i, lim))
-                base += int(p[-1]) + gap
-        todo = []
-        if not who:
-            break
-        pos, chars, level = (np.concatenate(x) for x in zip(*arrays))
+        rounds += 1
+        who, gap = list(todo), max(todo.values()) + max(max(0, overlaps[i]) for i in todo) + 2
+        arrays, base = [], 0
+        for i in who:
+            p, *rest = made[i]
+            arrays.append((p + base, *rest))
+            base += int(p[-1]) + gap + int(made[i][4].max(initial=0))
+        pos, chars, level, more, need = (np.concatenate(x) for x in zip(*arrays))
         last = np.cumsum([a[0].size for a in arrays]) - 1
         first = np.concatenate([[0], last[:-1] + 1])
-        s, e = cut_all(pos, level, first, last, np.array([lim for _, lim in who]), np.array([max(0, overlaps[i]) for i, _ in who]))
+        s, e = cut_all(pos, level, first, last, np.array([todo[i] for i in who]), np.array([max(0, overlaps[i]) for i in who]), need)
         owner = np.searchsorted(last, e, "left")
-        for a, b, k in zip(s.tolist(), e.tolist(), owner.tolist()):
-            i, lim = who[k]
-            n = int(pos[b] - pos[a])
-            if level[a] == INSIDE or level[b] == INSIDE:  # cut inside a pre-token: its part may tokenize otherwise
-                n = tok.count(texts[i][chars[a] : chars[b]])
-            elif b != last[k] and (blank := tok.blank_end.search(texts[i], chars[a], chars[b])):  # blanks before a word split otherwise than at the end
-                n += tok.count(blank[0]) - int(pos[b] - pos[first[k] + np.searchsorted(chars[first[k] : b], blank.start())])
-            out[i].append((int(chars[a]), int(chars[b]), n))
-        for i, lim in who:
-            over = [p for p in out[i] if p[2] > limits[i] and p[1] - p[0] > 1]
-            if over and lim > 1:  # rare: cut this text again with a little less room
-                out[i] = []
-                todo.append((i, lim - max(1, max(p[2] for p in over) - limits[i])))
-        rounds += 1
+        inside = level == INSIDE
+        n = pos[e] - pos[s] + more[e]
+        again: dict[int, int] = {}
+        prev = -1
+        for a, b, k, m in zip(s.tolist(), e.tolist(), owner.tolist(), n.tolist()):
+            i = who[k]
+            if prev != k:
+                out[i], before = [], None
+            if inside[a] or inside[b] or (more[b] and texts[i][chars[a] : chars[b]].isspace()):  # cut inside a pre-token: its part may tokenize otherwise
+                m = tok.count(texts[i][chars[a] : chars[b]])
+            out[i].append((int(chars[a]), int(chars[b]), m))
+            if m > limits[i] and chars[b] - chars[a] > 1 and todo[i] > 1:  # rare: cut this text again with a little less room
+                again[i] = min(again.get(i, todo[i]), todo[i] - max(1, m - limits[i]))
+            want = min(overlaps[i], limits[i] - 1)
+            if before is not None and want > 0 and first[k] < a < before and (inside[a] or inside[before] or (more[before] and texts[i][chars[a] : chars[before]].isspace())):
+                short = want - tok.count(texts[i][chars[a] : chars[before]])
+                if short > 0:  # rare too: ask for more before this cut; after some rounds before all cuts inside pre-tokens
+                    made[i][4][before - first[k]] += short
+                    if rounds >= 8:
+                        made[i][4][made[i][2] == INSIDE] += 1
+                    again.setdefault(i, todo[i])
+            prev, before = k, b
+        todo = again
     return out
 
 
@@ -174,9 +219,9 @@ def split_oversized(documents: DataFrame, limits: DataFrame, vocabulary: str = D
     """(doc_id, source, piece_no, start_char, end_char, n_tokens, text): the pieces of every text above its source's limit.
 
     No piece has more than ``max_tokens``. Pieces end at the farthest sentence or line end within the limit, else at a word's end, if that
-    leaves them at least half full, else between characters, and each starts at the last word start at least ``overlap_tokens`` before the previous one's
-    end, so that parts count as they do in the whole; where no word starts within 16 tokens of that place, at the last
-    place at least so far back where a token starts with a character. Joined without their overlaps the pieces are the text. A text within its limit gives no row.
+    leaves them at least half full, else between characters. Each starts at the last word start for which what it shares with the previous one,
+    tokenized by itself, has at least ``overlap_tokens`` tokens, so by less than a word too much; where no word starts within 16 tokens of that
+    place, at the last place at least so far back where a token starts with a character. Joined without their overlaps the pieces are the text. A text within its limit gives no row.
 
     Null texts, and sources that are null or have no limit, are not cut. Sources match without case and outer blanks. An
     overlap of null or below 0 counts as 0, one not below the limit as the limit less one; where it leaves no

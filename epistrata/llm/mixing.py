@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -16,6 +17,8 @@ from epistrata.runtime import Workspace, lookup_join
 
 #: Cells of the unit interval in which a source's tokens are summed to set its rate.
 CELLS = 4096
+#: Numbers of copies that are listed at once, so a document repeated any number of times makes no long list.
+COPY_BLOCK = 65_536
 
 
 def normal_source(col: Column) -> Column:
@@ -46,26 +49,37 @@ def uniform(seed: int) -> Column:
     return F.shiftrightunsigned(h, 11).cast("double") / float(1 << 53)
 
 
-def poisson_steps(rate: float, cap: int) -> np.ndarray:
-    """P(N <= k) for k = 0 .. cap - 1: a document with number u is used as often as there are steps at or below u, so at most cap times."""
-    if np.isinf(rate):
-        return np.zeros(cap)
-    k = np.arange(cap)
-    logs = k * np.log(max(rate, 1e-300)) - rate - np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, cap)))])[:cap] if cap else np.zeros(0)
-    return np.minimum(np.cumsum(np.exp(logs)), 1.0)
+def poisson_steps(rate: float, cap: int) -> tuple[int, np.ndarray]:
+    """(base, steps): a document with number u is used base times and once more for every step at or below u, at most cap times.
 
-
-def _used(steps: np.ndarray, tokens: np.ndarray) -> float:
-    """Tokens used under these steps, the tokens of a cell lying evenly in it."""
+    The steps are P(N <= k) for k = base, base + 1, …; below base the probability is under 1e-20, beyond the last step it is 1 to the precision
+    of a double. So there are about 20 standard deviations of them, however large rate and cap are.
+    """
+    if cap <= 0 or rate <= 0:
+        return 0, np.zeros(0)
+    spread = 10 * math.sqrt(rate) + 40
+    base = 0 if rate <= spread else int(min(rate - spread, cap))
+    n = int(min(cap - base, 2 * spread + 40)) if np.isfinite(rate) else 0
+    if not np.isfinite(rate) or n <= 0:
+        return cap, np.zeros(0)
+    k = np.arange(base + 1, base + n, dtype=float)
+    first = base * math.log(rate) - rate - math.lgamma(base + 1)
+    logs = first + np.concatenate([[0.0], np.cumsum(math.log(rate) - np.log(k))])
+    return base, np.minimum(np.cumsum(np.exp(logs)), 1.0)
+
+
+def _used(plan: tuple[int, np.ndarray], tokens: np.ndarray) -> float:
+    """Tokens used under a plan, the tokens of a cell lying evenly in it."""
+    base, steps = plan
     upto = np.concatenate([[0.0], np.cumsum(tokens)])
     at = np.minimum(steps * CELLS, CELLS)
     i = np.minimum(at.astype(int), CELLS - 1)
-    return float(np.sum(upto[-1] - (upto[i] + (at - i) * tokens[i])))
+    return float(base * upto[-1] + np.sum(upto[-1] - (upto[i] + (at - i) * tokens[i])))
 
 
 def _use() -> Column:
     """How often a document is used."""
-    return F.aggregate("steps", F.lit(0), lambda n, s: n + F.when(F.col("u") >= s, 1).otherwise(0))
+    return F.col("base") + F.size(F.filter("steps", lambda x: x <= F.col("u")))
 
 
 def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -73,16 +87,16 @@ def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
     want, cap = float(pdf["want"].iloc[0]), int(pdf["cap"].iloc[0])
     tokens = np.zeros(CELLS)
     np.add.at(tokens, pdf["cell"].to_numpy(int), pdf["tokens"].to_numpy(float))
-    low, high = 0.0, float("inf")
-    if want < cap * tokens.sum() * (1 - 1e-9):
+    low, high = 0.0, float("inf") if want > 0 else 0.0
+    if 0 < want < cap * tokens.sum() * (1 - 1e-9):
         high = 1.0
-        while _used(poisson_steps(high, cap), tokens) < want and high < 700:
+        while _used(poisson_steps(high, cap), tokens) < want and high < float("inf"):
             high *= 2
-        for _ in range(60):
+        for _ in range(60 if high < float("inf") else 0):
             mid = (low + high) / 2
             low, high = (mid, high) if _used(poisson_steps(mid, cap), tokens) < want else (low, mid)
-    steps = poisson_steps(high, cap) if want > 0 else np.ones(cap)
-    return pd.DataFrame({"src": [pdf["src"].iloc[0]], "rate": [high if want > 0 else 0.0], "steps": [steps.tolist()]})
+    base, steps = poisson_steps(high, cap)
+    return pd.DataFrame({"src": [pdf["src"].iloc[0]], "rate": [high], "base": [base], "steps": [steps.tolist()]})
 
 
 @dataclass
@@ -95,13 +109,15 @@ class Mix:
     plan: DataFrame
 
     def shares(self) -> DataFrame:
-        """Per target source: target_share, max_repeats, documents, tokens, rate, copies, most_repeats, tokens_used, actual_share."""
-        drawn = lookup_join(self.sized, self.plan.select("src", "steps"), ["src"], "left").withColumn("n", F.coalesce(_use(), F.lit(0)))
+        """Per target source: target_share, effective_target (after sources that have nothing to give left theirs to the others), max_repeats, documents, tokens, rate, copies, most_repeats, tokens_used, actual_share."""
+        drawn = lookup_join(self.sized, self.plan.select("src", "base", "steps"), ["src"], "left").withColumn("n", F.coalesce(_use(), F.lit(0)))
         drawn = drawn.groupBy("src").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("tokens"), F.sum("n").alias("copies"), F.max("n").alias("most"), F.sum(F.col("n_tokens") * F.col("n")).alias("used"))
         whole = drawn.agg(F.sum("used")).first()[0] or 0
         n = lambda name: F.coalesce(name, F.lit(0))
+        able = F.col("rate").isNotNull()
+        held = self.targets.join(self.plan.select("src"), ["src"]).agg(F.sum("w")).first()[0] or 0.0
         return self.targets.join(drawn, ["src"], "left").join(self.plan.select("src", "rate"), ["src"], "left").select(
-            F.col("src").alias("source"), F.col("w").alias("target_share"), F.col("cap").alias("max_repeats"), n("documents").alias("documents"), n("tokens").alias("tokens"),
+            F.col("src").alias("source"), F.col("w").alias("target_share"), F.when(able, F.try_divide(F.col("w"), F.lit(held))).otherwise(0.0).alias("effective_target"), F.col("cap").alias("max_repeats"), n("documents").alias("documents"), n("tokens").alias("tokens"),
             "rate", n("copies").alias("copies"), n("most").alias("most_repeats"), n("used").alias("tokens_used"), F.coalesce(F.try_divide(F.col("used"), F.lit(whole)), F.lit(0.0)).alias("actual_share"),
         )
 
@@ -110,8 +126,9 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | No
     """Documents repeated so that each source has its share of all tokens, none more than ``max_repeats`` times.
 
     A document is used as often as a Poisson variable with its source's rate says, inverted at a number
-    hashed from its id and cut at the cap. The rate is set on the source's token sums by cell of that number, so the share
-    reached differs from the target by a fraction of a cell, not by sampling noise. ``total_tokens`` is the size wanted;
+    hashed from its id and cut at the cap; neither rate nor cap has a ceiling. The rate is set on the source's token sums by cell of that number, not on
+    its mean, so the share reached is off only by where single documents lie in their cells: about the size of one document a step, which
+    is 2 percent for sources of a few dozen documents and vanishes with their number. ``total_tokens`` is the size wanted;
     by default the largest at which every source that has tokens can reach its share within its cap. A larger
     one leaves capped sources short, which ``shares`` shows. The copies are spread over partitions and sorted within them by a
     hash of id, copy and seed: a global shuffle.
@@ -122,7 +139,7 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | No
     for a source the largest share and cap hold. Empty tables give empty copies. Other columns are not read.
     """
     ws = Workspace(documents.sparkSession, "mix")
-    t = targets.select(normal_source(F.col("source")).alias("src"), F.col("target_share").cast("double").alias("w"), F.coalesce(F.col("max_repeats").cast("int"), F.lit(0)).alias("cap")).filter("src is not null")
+    t = targets.select(normal_source(F.col("source")).alias("src"), F.col("target_share").cast("double").alias("w"), F.coalesce(F.col("max_repeats").cast("long"), F.lit(0)).alias("cap")).filter("src is not null")
     t = ws.save(t.withColumn("w", F.when(F.isnan("w") | (F.col("w") <= 0) | F.col("w").isNull(), 0.0).otherwise(F.col("w"))).groupBy("src").agg(F.max("w").alias("w"), F.greatest(F.max("cap"), F.lit(0)).alias("cap")), "targets")
     docs = documents.select(normal_source(F.col("source")).alias("src"), uniform(seed).alias("u"), "doc_id", "text")
     listed = lookup_join(docs, t.select("src"), ["src"], "left_semi")
@@ -135,9 +152,10 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | No
     # shares are among the sources that have tokens: the whole is what they can make together
     total = 0.0 if row["t"] is None else (float(total_tokens) / row["w"] if total_tokens is not None else row["t"])
     wanted = able.select("src", (F.col("w") * F.lit(total)).alias("want"), "cap")
-    plan = ws.save(lookup_join(cells, wanted, ["src"]).groupBy("src").applyInPandas(_plan, "src string, rate double, steps array<double>"), "plan")
-    copies = lookup_join(docs, plan.select("src", "steps"), ["src"]).withColumn("n_copies", _use()).filter("n_copies > 0")
-    copies = copies.select(F.col("src").alias("source"), "doc_id", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy_no"), "n_copies", "text")
+    plan = ws.save(lookup_join(cells, wanted, ["src"]).groupBy("src").applyInPandas(_plan, "src string, rate double, base long, steps array<double>"), "plan")
+    copies = lookup_join(docs, plan.select("src", "base", "steps"), ["src"]).withColumn("n_copies", _use()).filter("n_copies > 0")
+    blocks = copies.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_copies") - 1) / COPY_BLOCK))) * COPY_BLOCK)
+    copies = blocks.select(F.col("src").alias("source"), "doc_id", F.explode(F.sequence(F.col("block") + 1, F.least("n_copies", F.col("block") + COPY_BLOCK))).alias("copy_no"), "n_copies", "text")
     copies = copies.withColumn("shuffle_key", F.xxhash64("doc_id", "copy_no", F.when(F.col("doc_id").isNull(), F.col("text")), F.lit(seed + 1)))
     copies = copies.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
     return Mix(copies, t, sized, plan)

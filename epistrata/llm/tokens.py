@@ -30,6 +30,8 @@ class Tokenizer(dict):
         self.any = regex.compile(PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.blank_end = regex.compile(r"\p{White_Space}+\Z")
 
+    __hash__ = object.__hash__
+
     def __missing__(self, word: str) -> int:
         n = len(self.encoding.encode_ordinary(word))
         if len(word) <= 64:

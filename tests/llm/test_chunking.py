@@ -19,8 +19,13 @@ def check(text, limit, overlap):
     assert pieces[0][0] == 0 and pieces[-1][1] == len(text)
     for a, z, n in pieces:
         assert n == count(text[a:z]) and (n <= limit or len(TOK.cuts(text[a:z])) == 1) and a < z
+    want = min(overlap, limit - 1)
     for (a, z, _), (b, y, _) in zip(pieces, pieces[1:]):
         assert b <= z < y and (a < b or 2 * overlap + 2 * chunking.REACH > limit)
+        if 0 < b < z and want > 0:  # never short, and too long by less than a word, or a pre-token where words are long
+            n = count(text[b:z])
+            word = text[b:z].split(None, 1)
+            assert n >= want and (n == want or n - count(text[b : b + len(text[b:z]) - len(word[1])] if len(word) > 1 else text[b:z]) <= want + 1), (text[b:z], n, want)
     return pieces
 
 

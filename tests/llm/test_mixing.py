@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -52,10 +54,30 @@ def test_odd_rows(spark):
 
 @pytest.mark.parametrize("cap", [1, 3, 8])
 def test_poisson_steps(cap):
-    import math
-
     want = np.cumsum([math.exp(-1.7) * 1.7**k / math.factorial(k) for k in range(cap)])
-    assert np.allclose(mixing.poisson_steps(1.7, cap), want) and mixing.poisson_steps(float("inf"), cap).tolist() == [0.0] * cap
+    base, steps = mixing.poisson_steps(1.7, cap)
+    assert base == 0 and np.allclose(steps, want) and mixing.poisson_steps(float("inf"), cap)[0] == cap
+
+
+@pytest.mark.parametrize("rate", [900.0, 1500.0, 2.5e6])
+def test_large_rates(rate):
+    """Mean and spread of the draws, with a cap no array could have the length of."""
+    base, steps = mixing.poisson_steps(rate, 10**9)
+    u = (np.arange(20_000) + 0.5) / 20_000
+    n = base + np.searchsorted(steps, u, "right")
+    assert steps.size < 25 * math.sqrt(rate) + 200 and abs(n.mean() - rate) < 0.01 * math.sqrt(rate) and abs(n.std() / math.sqrt(rate) - 1) < 0.01
+    assert mixing.poisson_steps(rate, 10)[0] == 10 or mixing.poisson_steps(rate, 10)[1].max() < 1e-20
+
+
+def test_rates_beyond_a_thousand(spark):
+    docs = [(k, "a b c d", "rare") for k in range(8)] + [(100 + k, "x y z " * 100, "big") for k in range(40)]
+    s = shares(mix(spark, docs, [("rare", 0.5, 2000), ("big", 0.5, 1)], total_tokens=96_000))
+    assert s["rare"].rate > 1400 and 1400 * 8 < s["rare"].copies < 1600 * 8 and abs(s["rare"].tokens_used - 48_000) < 0.03 * 48_000
+
+
+def test_effective_targets(spark):
+    s = shares(mix(spark, [(k, "a b", "a") for k in range(9)] + [(20 + k, "a b", "b") for k in range(9)], [("a", 0.4, 1), ("b", 0.4, 1), ("none", 0.2, 1)]))
+    assert s["a"].effective_target == s["b"].effective_target == 0.5 and s["none"].effective_target == 0.0 and s["a"].actual_share == 0.5
 
 
 def test_uniform_is_even(spark):
