@@ -10,20 +10,25 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from epistrata.runtime import Workspace, hot_join
+
 #: Words an unbroken passage must share with an item to count as leaked.
 MIN_RUN = 13
 #: Tiles and coverage by which reordered passages are caught.
 TILE, COVERAGE = 5, 0.8
-#: Items of at most so many characters are held by a task at a time; more are searched in blocks.
-BLOCK_CHARS = 4_000_000
 #: Characters of text searched at once in a task.
 BATCH_CHARS = 2_000_000
-#: Shared windows that are looked at together.
-MAX_HITS = 2_000_000
-BASE = np.uint64(0x9E3779B97F4A7C15)
+#: The filter that keeps words' windows out of the shuffle: so many bits for each window of an item, at most so many in all (16 MB).
+FILTER_BITS, MOST_BITS = 32, 1 << 27
+#: Words whose hashes a task remembers.
+CACHE_WORDS = 1_000_000
+BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
+_M64 = (1 << 64) - 1
 
 
 def _class_of(*categories: str) -> str:
@@ -57,82 +62,145 @@ def words(text: str | None) -> list[str]:
     return _any_words(flat if unicodedata.is_normalized("NFKD", flat) else _drop[0].sub("", unicodedata.normalize("NFKD", flat)))
 
 
+class WordCodes(dict):
+    """Maps a word to its 64-bit hash."""
+
+    def __missing__(self, w: str) -> int:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        v = self[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+        return v
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
-    """Well spread 64-bit numbers for small codes; 0 stays 0."""
-    x = x.astype(np.uint64) * BASE
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
+    """Well spread 64-bit numbers."""
+    x = x ^ (x >> np.uint64(29))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(32))
 
 
-def rolling(codes: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    """Karp-Rabin fingerprints of the ``width`` codes from each place in ``at``."""
-    m = _mix(codes)
-    h = np.zeros(at.size, np.uint64)
-    for j in range(width):
-        h = h * BASE + m[at + j]
-    return h
-
-
-class Seeds:
-    """All windows of a width over a set of items, by fingerprint."""
-
-    def __init__(self, codes: list[np.ndarray], items: list[int], width: int):
-        self.width = width
-        keep = [i for i in items if codes[i].size >= width]
-        self.item = np.concatenate([np.full(codes[i].size - width + 1, i) for i in keep]) if keep else np.zeros(0, np.int64)
-        self.pos = np.concatenate([np.arange(codes[i].size - width + 1) for i in keep]) if keep else np.zeros(0, np.int64)
-        h = np.concatenate([rolling(codes[i], np.arange(codes[i].size - width + 1), width) for i in keep]) if keep else np.zeros(0, np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.item, self.pos = self.item[order], self.pos[order]
-        self.key, number = np.unique(h[order], return_inverse=True)
-        self.items = max(items, default=0) + 1
-        self.coded = number * self.items + self.item  # rises with fingerprint and, as items were taken in order, with item
-
-    def find(self, codes: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, fingerprint number) of the windows that occur in some item; ``run``: known words up to and with each place."""
-        if not self.key.size:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.flatnonzero(run >= self.width) - self.width + 1
-        h = rolling(codes, at, self.width)
-        k = np.minimum(np.searchsorted(self.key, h), self.key.size - 1)
-        ok = self.key[k] == h
-        return at[ok], k[ok]
-
-    def _spans(self, k: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
-        """First row and number of rows of each fingerprint among items low <= i < high."""
-        base = k * self.items
-        first = np.searchsorted(self.coded, base + low)
-        return first, np.searchsorted(self.coded, base + high) - first
-
-    def joined(self, at: np.ndarray, k: np.ndarray, doc: np.ndarray, low: int = 0, high: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(place, item, item place, document) of shared windows, in portions of about MAX_HITS that hold whole pairs.
-
-        A window that many items share and many documents repeat would else fill the memory: documents are taken in turn, and one that is
-        too much by itself is met with halves of the items.
-        """
-        high = self.items if high is None else high
-        first, n = self._spans(k, low, high)
-        ends = np.cumsum(n)
-        if not ends.size or not ends[-1]:
-            return
-        if ends[-1] > MAX_HITS and doc[0] != doc[-1]:
-            cuts = np.flatnonzero(doc[1:] != doc[:-1]) + 1
-            cut = int(cuts[np.argmin(np.abs(ends[cuts - 1] - ends[-1] / 2))])
-            yield from self.joined(at[:cut], k[:cut], doc[:cut], low, high)
-            yield from self.joined(at[cut:], k[cut:], doc[cut:], low, high)
-            return
-        if ends[-1] > MAX_HITS and high - low > 1:
-            middle = (low + high) // 2
-            yield from self.joined(at, k, doc, low, middle)
-            yield from self.joined(at, k, doc, middle, high)
-            return
-        rows = np.repeat(first - (ends - n), n) + np.arange(ends[-1])
-        yield np.repeat(at, n), self.item[rows], self.pos[rows], np.repeat(doc, n)
-
-
-def tiles(doc: np.ndarray, item: np.ndarray, at: np.ndarray, pos: np.ndarray, width: int) -> list[tuple[int, int, int]]:
-    """Greedy string tiling of an item with a document from their shared windows: (place, item place, length), longest first.
+class Rolling:
+    """Karp-Rabin fingerprints of all windows of a sequence of codes, rolled once for every width.
+
+    With C the base, S(i) sums codes k < i times C^k; the window of width w at i is (S(i + w) - S(i)) / C^i, all modulo 2^64, where
+    an odd base has an inverse. So any width costs one subtraction and one product a window. Two bases give 128 bits.
+    """
+
+    def __init__(self, codes: np.ndarray):
+        self.sums, self.scale = [], []
+        for k, base in enumerate(BASES):
+            n = codes.size
+            power = self._powers(base, n)
+            m = _mix(codes + np.uint64(k))
+            self.sums.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(m * power, dtype=np.uint64)]))
+            self.scale.append(self._powers(pow(base, -1, 1 << 64), n))
+
+    _known: dict[int, np.ndarray] = {}
+
+    @classmethod
+    def _powers(cls, base: int, n: int) -> np.ndarray:
+        have = cls._known.get(base)
+        if have is None or have.size < n:
+            have = np.full(max(1024, n + min(n, 1 << 20)), base & _M64, np.uint64)
+            have[0] = 1
+            have = cls._known[base] = np.multiply.accumulate(have)
+        return have[:n]
+
+    def at(self, places: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Two fingerprints of the windows at these places."""
+        return tuple(_mix((s[places + width] - s[places]) * inv[places] + np.uint64(width)).view(np.int64) for s, inv in zip(self.sums, self.scale))
+
+
+SEEDS = "h long, g long, item_id long, item_key long, pos int, size int, width int"
+HITS = "h long, g long, doc_id long, doc_key long, at long"
+
+
+def _seeds_of(tile: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """All windows of ``tile`` words of the items, the whole item where it has fewer."""
+    kinds = [pa.int64()] * 4 + [pa.int32()] * 3
+    names = [x.split()[0] for x in SEEDS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = WordCodes()
+        for b in batches:
+            for ident, key, text in zip(*(col.to_pylist() for col in b.columns)):
+                ws = words(text)
+                if not ws:
+                    continue
+                width = min(tile, len(ws))
+                pos = np.arange(len(ws) - width + 1)
+                h, g = Rolling(np.fromiter(map(codes.__getitem__, ws), np.uint64, len(ws))).at(pos, width)
+                same = lambda v, n=pos.size: np.full(n, v)
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((h, g, same(ident), same(key), pos, same(len(ws)), same(width)), kinds)], names=names)
+
+    return run
+
+
+def _bit(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    mask = np.uint64(bits - 1)
+    u = h.view(np.uint64)
+    return u & mask, (u >> np.uint64(32)) & mask
+
+
+def seed_filter(seeds: DataFrame, windows: int) -> np.ndarray:
+    """Bits set for two parts of every seed's fingerprint. Its size is bounded; more seeds only let more other windows pass, never fewer of their own."""
+    bits = 1 << 16
+    while bits < min(MOST_BITS, FILTER_BITS * windows):
+        bits *= 2
+    places = seeds.select(F.explode(F.array(F.col("h").bitwiseAND(bits - 1), F.shiftrightunsigned("h", 32).bitwiseAND(bits - 1))).alias("b"))
+    packed = places.groupBy(F.shiftright("b", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b").bitwiseAND(63).cast("int"))).alias("mask")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[packed.column("word").to_numpy()] = packed.column("mask").to_numpy()
+    return out.view(np.uint64)
+
+
+def _scan(widths: list[int], tile: int, table: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Windows of the documents that pass the filter."""
+    names = [x.split()[0] for x in HITS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, table_ = WordCodes(), table.value
+        bits = table_.size * 64
+
+        def search(ids: pa.Array, keys: np.ndarray, texts: list[str]) -> Iterator[pa.RecordBatch]:
+            parts = [words(t) for t in texts]
+            sizes = np.array([len(p) for p in parts])
+            every = np.fromiter((codes[w] for p in parts for w in p), np.uint64, int(sizes.sum()))
+            rolled = Rolling(every)
+            ends = np.cumsum(sizes)
+            left = np.repeat(ends, sizes) - np.arange(every.size)  # words from each place to its text's end
+            doc = np.repeat(np.arange(sizes.size), sizes)
+            for width in widths:
+                at = np.flatnonzero(left >= width)
+                if not at.size:
+                    continue
+                h, g = rolled.at(at, width)
+                a, z = _bit(h, bits)
+                ok = ((table_[a >> np.uint64(6)] >> (a & np.uint64(63))) & (table_[z >> np.uint64(6)] >> (z & np.uint64(63))) & np.uint64(1)).astype(bool)
+                at, h, g = at[ok], h[ok], g[ok]
+                if width < tile and at.size:  # a whole item: one place of a text is as good as all
+                    _, first = np.unique(np.stack([doc[at], h]), axis=1, return_index=True)
+                    at, h, g = at[first], h[first], g[first]
+                if at.size:
+                    d = doc[at]
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(g), ids.take(pa.array(d)), pa.array(keys[d]), pa.array(at - (ends - sizes)[d])], names=names)
+
+        for b in batches:
+            texts = b.column(2).to_pylist()
+            start = 0
+            while start < len(texts):
+                end, chars = start, 0
+                while end < len(texts) and (end == start or chars + len(texts[end]) <= BATCH_CHARS):
+                    chars += len(texts[end])
+                    end += 1
+                yield from search(b.column(0).slice(start, end - start), b.column(1).slice(start, end - start).to_numpy(), texts[start:end])
+                start = end
+
+    return run
+
+
+def tiles(at: np.ndarray, pos: np.ndarray, width: int, size: int) -> list[tuple[int, int, int]]:
+    """Greedy string tiling of an item of ``size`` words with a document from their shared windows: (place, item place, length), longest first.
 
     Windows next to each other on a diagonal join to maximal matches; the longest is marked, what others share with it
     is cut off, and so on while a match of ``width`` unmarked words is left.
@@ -142,22 +210,23 @@ def tiles(doc: np.ndarray, item: np.ndarray, at: np.ndarray, pos: np.ndarray, wi
     fresh = np.ones(at.size, bool)
     fresh[1:] = (at[1:] != at[:-1] + 1) | (pos[1:] != pos[:-1] + 1)
     first = np.flatnonzero(fresh)
-    size = np.diff(np.concatenate([first, [at.size]])) + width - 1
-    queue = [(-int(n), int(at[i]), int(pos[i])) for i, n in zip(first, size)]
+    length = np.diff(np.concatenate([first, [at.size]])) + width - 1
+    low = int(at.min())
+    in_doc, in_item, left = np.zeros(int(at.max()) - low + width, bool), np.zeros(size, bool), size
+    queue = [(-int(n), int(at[i]), int(pos[i])) for i, n in zip(first, length)]
     heapq.heapify(queue)
-    in_doc, in_item, left = np.zeros(doc.size, bool), np.zeros(item.size, bool), item.size
     out: list[tuple[int, int, int]] = []
     while queue and left >= width:
         n, a, p = heapq.heappop(queue)
         n = -n
-        taken = in_doc[a : a + n] | in_item[p : p + n]
+        taken = in_doc[a - low : a - low + n] | in_item[p : p + n]
         if taken.any():  # what is left of it on both sides of marked words
             edges = np.flatnonzero(np.diff(np.concatenate([[True], taken, [True]]).astype(np.int8)))
             for b, e in zip(edges[::2].tolist(), edges[1::2].tolist()):
                 if e - b >= width:
                     heapq.heappush(queue, (b - e, a + b, p + b))
-        elif np.array_equal(doc[a : a + n], item[p : p + n]):
-            in_doc[a : a + n] = True
+        else:
+            in_doc[a - low : a - low + n] = True
             in_item[p : p + n] = True
             left -= n
             out.append((a, p, n))
@@ -167,88 +236,73 @@ def tiles(doc: np.ndarray, item: np.ndarray, at: np.ndarray, pos: np.ndarray, wi
 OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("longest_run", pa.int32()), ("n_tiles", pa.int32()), ("covered_words", pa.int32()), ("item_words", pa.int32())])
 
 
-class Searcher:
-    """Searches texts for passages of a block of items."""
-
-    def __init__(self, items: list[tuple[int, str]], tile: int, min_run: int, coverage: float | None):
-        self.ids = [i for i, _ in items]
-        split = [words(t) for _, t in items]
-        self.code: dict[str, int] = {}
-        self.codes = [np.array([self.code.setdefault(w, len(self.code) + 1) for w in ws], np.int64) for ws in split]
-        self.tile, self.min_run, self.coverage = tile, min_run, coverage
-        by_width: dict[int, list[int]] = {}
-        for i, x in enumerate(self.codes):
-            if x.size:
-                by_width.setdefault(min(tile, x.size), []).append(i)
-        self.seeds = [Seeds(self.codes, which, width) for width, which in by_width.items()]
-
-    def search(self, ids: list[int | None], texts: list[str | None]) -> list[tuple]:
-        get = self.code.get
-        parts, ends = [], []
-        n = 0
-        for t in texts:
-            ws = words(t)
-            parts.append(np.fromiter((get(w, 0) for w in ws), np.int64, len(ws)))
-            n += len(ws) + 1
-            ends.append(n)
-        codes = np.zeros(n, np.int64)
-        for e, p in zip(ends, parts):
-            codes[e - 1 - p.size : e - 1] = p
-        at = np.arange(n)
-        run = at - np.maximum.accumulate(np.where(codes == 0, at, -1))
-        owner_ends = np.array(ends)
-        rows = []
-        for seeds in self.seeds:
-            where, number = seeds.find(codes, run)
-            for place, item, pos, doc in seeds.joined(where, number, np.searchsorted(owner_ends, where, "right")):
-                rows += self.tiled(seeds, place, item, pos, doc, parts, owner_ends, ids)
-        return rows
-
-    def tiled(self, seeds: Seeds, place: np.ndarray, item: np.ndarray, pos: np.ndarray, doc: np.ndarray, parts: list[np.ndarray], owner_ends: np.ndarray, ids: list[int | None]) -> list[tuple]:
-        """Rows of the pairs that hold enough of an item."""
-        rows = []
-        if place.size:
-            pair = doc * len(self.ids) + item
-            order = np.lexsort((pos, pair))
-            place, item, pos, doc, pair = place[order], item[order], pos[order], doc[order], pair[order]
-            cuts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
-            sizes = np.array([x.size for x in self.codes])[item[cuts]]
-            # words of the item that some shared window covers: a bound on what tiles can cover
-            new = np.concatenate([[True], pos[1:] != pos[:-1]])
-            new[cuts] = True
-            gain = np.where(new, np.minimum(seeds.width, np.concatenate([[seeds.width], pos[1:] - pos[:-1]])), 0)
-            gain[cuts] = seeds.width
-            bound = np.add.reduceat(gain, cuts)
-            least = np.minimum(self.min_run, sizes) if self.coverage is None else np.minimum(np.minimum(self.min_run, sizes), np.ceil(self.coverage * sizes - 1e-9))
-            for k in np.flatnonzero(bound >= least):
-                a, z = cuts[k], cuts[k + 1] if k + 1 < cuts.size else pair.size
-                d, i = int(doc[a]), int(item[a])
-                start = int(owner_ends[d]) - 1 - parts[d].size
-                found = tiles(parts[d], self.codes[i], place[a:z] - start, pos[a:z], seeds.width)
-                if not found:
-                    continue
-                longest, covered, size = found[0][2], sum(m[2] for m in found), self.codes[i].size
-                if longest >= min(self.min_run, size) or (self.coverage is not None and covered >= self.coverage * size - 1e-9):
-                    rows.append((ids[d], self.ids[i], longest, len(found), covered, size))
-        return rows
-
-
-def _search(items: list[tuple[int, str]], tile: int, min_run: int, coverage: float | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def tile_pairs(tab: pa.Table, min_run: int, coverage: float | None) -> pa.RecordBatch | None:
+    """Rows of the pairs that hold enough of an item; the table has whole pairs, sorted by pair, then item place and place."""
+    doc, dk, item, ik, pos, at, size, width = (tab.column(k).combine_chunks() for k in ("doc_id", "doc_key", "item_id", "item_key", "pos", "at", "size", "width"))
+    dk, item, ik, pos, at, size, width = (x.to_numpy() for x in (dk, item, ik, pos, at, size, width))
+    null = doc.is_null().to_numpy(zero_copy_only=False)
+    dn = doc.fill_null(0).to_numpy()
+    new = np.ones(dk.size, bool)
+    new[1:] = (dk[1:] != dk[:-1]) | (ik[1:] != ik[:-1]) | (item[1:] != item[:-1]) | (dn[1:] != dn[:-1]) | (null[1:] != null[:-1])
+    cuts = np.flatnonzero(new)
+    ends = np.concatenate([cuts[1:], [dk.size]])
+    # words of the item that some shared window covers: a bound on what tiles can cover
+    step = np.concatenate([[0], np.diff(pos)])
+    gain = np.where(new, width, np.minimum(width, step))
+    bound = np.add.reduceat(gain, cuts)
+    n = size[cuts]
+    least = np.minimum(min_run, n) if coverage is None else np.minimum(np.minimum(min_run, n), np.ceil(coverage * n - 1e-9))
+    rows = []
+    for a, z in zip(cuts[bound >= least].tolist(), ends[bound >= least].tolist()):
+        found = tiles(at[a:z], pos[a:z], int(width[a]), int(size[a]))
+        longest, covered, whole = found[0][2], sum(m[2] for m in found), int(size[a])
+        if longest >= min(min_run, whole) or (coverage is not None and covered >= coverage * whole - 1e-9):
+            rows.append((None if null[a] else int(dn[a]), int(item[a]), longest, len(found), covered, whole))
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), OUT)], schema=OUT) if rows else None
+
+
+def _tile(min_run: int, coverage: float | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searcher = None
+        kept: list[pa.RecordBatch] = []
+        key = ("doc_id", "doc_key", "item_id", "item_key")
+        last: tuple | None = None
+
+        def go() -> Iterator[pa.RecordBatch]:
+            tab = pa.Table.from_batches(kept)
+            at, pos = tab.column("at").to_numpy(), tab.column("pos").to_numpy()
+            dk, ik = tab.column("doc_key").to_numpy(), tab.column("item_key").to_numpy()
+            again = np.zeros(at.size, bool)  # rows of a document that was sent again
+            again[1:] = (at[1:] == at[:-1]) & (pos[1:] == pos[:-1]) & (dk[1:] == dk[:-1]) & (ik[1:] == ik[:-1])
+            ids = [tab.column(k).combine_chunks().fill_null(-1).to_numpy() for k in ("doc_id", "item_id")]
+            for x in ids:
+                again[1:] &= x[1:] == x[:-1]
+            out = tile_pairs(tab.filter(pa.array(~again)) if again.any() else tab, min_run, coverage)
+            if out is not None:
+                yield out
+
         for b in batches:
-            searcher = searcher or Searcher(items, tile, min_run, coverage)
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            at, rows = 0, []
-            while at < len(ids):
-                end, chars = at, 0
-                while end < len(ids) and (end == at or chars + len(texts[end]) <= BATCH_CHARS):
-                    chars += len(texts[end])
-                    end += 1
-                rows += searcher.search(ids[at:end], texts[at:end])
-                at = end
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), OUT)], schema=OUT)
+            if not b.num_rows:
+                continue
+            head, tail = (tuple(b.column(k)[n].as_py() for k in key) for n in (0, b.num_rows - 1))
+            if kept and head != last:
+                yield from go()
+                kept = []
+            last = tail
+            if head == tail:
+                kept.append(b)
+                continue
+            dk, ik = b.column("doc_key").to_numpy(), b.column("item_key").to_numpy()
+            ids = [b.column(k).fill_null(-1).to_numpy() for k in ("doc_id", "item_id")]
+            other = (dk != dk[-1]) | (ik != ik[-1]) | (ids[0] != ids[0][-1]) | (ids[1] != ids[1][-1])
+            cut = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
+            if cut:
+                kept.append(b.slice(0, cut))
+                yield from go()
+                kept = [b.slice(cut)]
+            else:
+                kept.append(b)
+        if kept:
+            yield from go()
 
     return run
 
@@ -256,33 +310,29 @@ def _search(items: list[tuple[int, str]], tile: int, min_run: int, coverage: flo
 def leaked_passages(documents: DataFrame, items: DataFrame, tile: int = TILE, min_run: int = MIN_RUN, coverage: float | None = COVERAGE) -> DataFrame:
     """(doc_id, item_id, longest_run, n_tiles, covered_words, item_words, coverage): every document that holds passages of an item.
 
-    Seeds are shared windows of ``tile`` words (all of a shorter item), compared by Karp-Rabin fingerprint and then word by word; the
-    pairs they join are tiled. A pair comes out if one tile has at least ``min_run`` words or the whole item, or if its tiles, in any
-    order, cover at least ``coverage`` of the item; with coverage None and tile = min_run only the former.
+    Seeds are the items' windows of ``tile`` words (all of a shorter item), written as a table of Karp-Rabin fingerprints of 128 bits. Documents are
+    read once; a bounded bit filter of the seeds keeps windows that no item has out of the shuffle, and the rest is joined with the seeds,
+    hot seeds split. Pairs of document and item are then tiled from their shared windows. A pair comes out if one tile has at least ``min_run``
+    words or the whole item, or if its tiles, in any order, cover at least ``coverage`` of the item; with coverage None and tile = min_run only the former.
 
-    Items reach the tasks in blocks of at most BLOCK_CHARS characters, each searched over all documents in one pass without a
-    shuffle, so neither a text held by a third of all documents nor a large item set overfills a task. Whole texts
-    are searched.
+    Neither texts nor seeds of items come to the driver, only the filter (at most MOST_BITS bits). A task holds the shared windows of one pair at a
+    time. Whole texts are searched.
 
     Null and empty texts, and items without words, hold and are held by nothing. Repeated rows count once. A null doc_id is
     reported as null; items with a null id are left out. Empty tables give an empty result. Extra columns are not read.
     """
     spark = documents.sparkSession
-    ready = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null and text != ''").distinct()
-    chars = ready.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-int(chars) // BLOCK_CHARS))
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null and text != ''")
-    out = None
-    for k in range(blocks):
-        block = [(r["item_id"], r["text"]) for r in ready.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()]
-        if not block:
-            continue
-        found = docs.mapInArrow(_search(block, tile, min_run, coverage), "doc_id long, item_id long, longest_run int, n_tiles int, covered_words int, item_words int")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = spark.createDataFrame([], "doc_id long, item_id long, longest_run int, n_tiles int, covered_words int, item_words int")
+    ws = Workspace(spark, "leakage")
+    ready = items.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64("text").alias("item_key"), "text").filter("item_id is not null and text is not null and text != ''").distinct()
+    seeds = ws.save(ready.mapInArrow(_seeds_of(tile), SEEDS), "seeds")
+    told = seeds.groupBy("width").count().collect()  # at most ``tile`` rows
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("doc_key"), "text").filter("text is not null and text != ''")
+    table = spark.sparkContext.broadcast(seed_filter(seeds, sum(r["count"] for r in told)))
+    hits = ws.save(docs.mapInArrow(_scan(sorted(r["width"] for r in told), tile, table), HITS), "hits")
+    pairs = hot_join(hits, seeds, ["h", "g"], left_rows=hits.count()).select("doc_id", "doc_key", "item_id", "item_key", "pos", "at", "size", "width")
+    found = pairs.repartition("doc_key", "item_key").sortWithinPartitions("doc_key", "doc_id", "item_key", "item_id", "pos", "at").mapInArrow(_tile(min_run, coverage), "doc_id long, item_id long, longest_run int, n_tiles int, covered_words int, item_words int")
     # an item given with several texts, or a document in several rows, counts by its best match
-    best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("longest_run", "covered_words", "n_tiles", "item_words")).alias("b"))
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("longest_run", "covered_words", "n_tiles", "item_words")).alias("b"))
     return best.select("doc_id", "item_id", "b.longest_run", "b.n_tiles", "b.covered_words", "b.item_words", (F.col("b.covered_words") / F.col("b.item_words")).alias("coverage"))
 
 
