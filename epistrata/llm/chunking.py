@@ -97,7 +97,7 @@ def _starts(pos: np.ndarray, level: np.ndarray, at: np.ndarray, first: np.ndarra
     """Where the piece after a cut starts: the last word start at least ``overlap`` tokens before it, if it isn't far, else the last boundary."""
     near = np.maximum(np.searchsorted(pos, pos[at] - overlap, "right") - 1, first)
     word = np.maximum(np.maximum.accumulate(np.where(level >= WORD, np.arange(pos.size), 0))[near], first)
-    return np.where(pos[near] - pos[word] <= REACH, word, near)
+    return np.where(pos[at] - overlap - pos[word] <= REACH, word, near)
 
 
 def cut_all(pos: np.ndarray, level: np.ndarray, first: np.ndarray, last: np.ndarray, limit: np.ndarray, overlap: np.ndarray, more: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:

@@ -154,7 +154,7 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | No
     wanted = able.select("src", (F.col("w") * F.lit(total)).alias("want"), "cap")
     plan = ws.save(lookup_join(cells, wanted, ["src"]).groupBy("src").applyInPandas(_plan, "src string, rate double, base long, steps array<double>"), "plan")
     copies = lookup_join(docs, plan.select("src", "base", "steps"), ["src"]).withColumn("n_copies", _use()).filter("n_copies > 0")
-    blocks = copies.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_copies") - 1) / COPY_BLOCK))) * COPY_BLOCK)
+    blocks = copies.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1, F.lit(COPY_BLOCK))))
     copies = blocks.select(F.col("src").alias("source"), "doc_id", F.explode(F.sequence(F.col("block") + 1, F.least("n_copies", F.col("block") + COPY_BLOCK))).alias("copy_no"), "n_copies", "text")
     copies = copies.withColumn("shuffle_key", F.xxhash64("doc_id", "copy_no", F.when(F.col("doc_id").isNull(), F.col("text")), F.lit(seed + 1)))
     copies = copies.repartition("shuffle_key").sortWithinPartitions("shuffle_key")

@@ -60,7 +60,7 @@ def test_greedy_equals_a_walk():
             at = end
             near = max(j for j in range(n + 1) if pos[j] <= max(0, pos[end] - ov))
             word = max(j for j in range(near + 1) if level[j] >= 3)
-            start = word if pos[near] - pos[word] <= chunking.REACH else near
+            start = word if pos[end] - ov - pos[word] <= chunking.REACH else near
             if not [j for j in range(at + 1, n + 1) if pos[j] <= pos[start] + lim]:
                 start = end
         assert list(zip(s.tolist(), e.tolist())) == walk
