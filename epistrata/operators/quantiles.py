@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from epistrata.runtime import Workspace, c, lookup_join, with_one_row
 
@@ -20,7 +23,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: S
 
     Values are first counted by distinct value with map-side combine. A group of at most HELD_VALUES distinct values is finished
     from these counts. In larger ones every wanted quantile gets a bracket of values: a mergeable sketch over the values inside
-    places it, an exact count of what lies below checks it, and each round leaves about 2 / ACCURACY of the values, until they can be held.
+    places it, an exact count of what lies below checks it, and each round leaves about 2 / ACCURACY of the values, until they can be held. A
+    bracket that a sketch does not narrow is halved in the order of doubles, so at most 64 rounds more end every search.
     So no task holds a whole group, and the result is exact. Null and NaN are no values; a group without values is left out.
     """
     held = held or HELD_VALUES
@@ -53,6 +57,20 @@ def _join(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
     return lookup_join(left.select("*", *coded), right.select(*coded, *[c(n) for n in right.columns if n not in names]), ["__g"]).drop("__g")
 
 
+def _ordinal(x: np.ndarray) -> np.ndarray:
+    """Doubles as integers of the same order."""
+    bits = np.asarray(x, np.float64).view(np.int64)
+    return np.where(bits < 0, np.int64(-(2**63)) - bits, bits)
+
+
+def _middles(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Adds the middle of each bracket in the order of doubles."""
+    for pdf in it:
+        a, b = _ordinal(pdf["lo0"].to_numpy(float)), _ordinal(pdf["hi0"].to_numpy(float))
+        mid = (a >> 1) + (b >> 1) + (a & b & 1)
+        yield pdf.assign(mid=np.where(mid < 0, np.int64(-(2**63)) - mid, mid).astype(np.int64).view(np.float64))
+
+
 def _one(ws: Workspace, counts: DataFrame, sizes: DataFrame, names: list[str], q: float, held: int) -> DataFrame:
     """The quantile at q of each group, by narrowing brackets lo <= x <= hi around its rank."""
     pos = (F.col("n") - 1) * F.lit(q)
@@ -75,13 +93,15 @@ def _one(ws: Workspace, counts: DataFrame, sizes: DataFrame, names: list[str], q
         lo_i = F.greatest(F.lit(0), F.floor((r0 - 0.01) * 200)).cast("int")
         hi_i = F.least(F.lit(200), F.ceil((r1 + 0.01) * 200)).cast("int")
         nxt = nxt.select(*names, "pos", F.when(lo_i <= 0, F.col("lo")).otherwise(F.get("grid", lo_i)).alias("lo"), F.when(hi_i >= 200, F.col("hi")).otherwise(F.get("grid", hi_i)).alias("hi"), F.col("lo").alias("lo0"), F.col("hi").alias("hi0"))
-        # a bracket that lost its ranks (a sketch worse than promised) goes back to the one before
-        check = _join(counts, nxt, names).groupBy(*names).agg(*[F.first(k).alias(k) for k in ("pos", "lo", "hi", "lo0", "hi0")], F.coalesce(F.sum(F.when(F.col("x") < F.col("lo"), F.col("m"))), F.lit(0)).alias("b"), F.coalesce(F.sum(F.when(F.col("x") <= F.col("hi"), F.col("m"))), F.lit(0)).alias("u"))
-        ok = (F.col("b") <= F.floor("pos")) & (F.col("u") >= F.ceil("pos") + 1)
-        new = ws.save(check.select(*names, "pos", F.when(ok, F.col("lo")).otherwise(F.col("lo0")).alias("lo"), F.when(ok, F.col("hi")).otherwise(F.col("hi0")).alias("hi"), (ok & ((F.col("lo") != F.col("lo0")) | (F.col("hi") != F.col("hi0")))).alias("moved")), "state")
-        if not new.filter("moved").limit(1).count():
-            held = 1 << 62  # no bracket can be narrowed any more: few enough distinct values decide the rank
-        state = new.drop("moved")
+        nxt = nxt.mapInPandas(_middles, T.StructType([*nxt.schema.fields, T.StructField("mid", T.DoubleType())]))  # one row a group
+        # a bracket that lost its ranks (a sketch worse than promised) or did not move is halved instead
+        upto = lambda cond, m="m": F.coalesce(F.sum(F.when(cond, F.col(m))), F.lit(0))
+        x = F.col("x")
+        check = _join(counts, nxt, names).groupBy(*names).agg(*[F.first(k).alias(k) for k in ("pos", "lo", "hi", "lo0", "hi0")], upto(x < F.col("lo")).alias("b"), upto(x <= F.col("hi")).alias("u"), upto(x <= F.col("mid")).alias("h"), F.max(F.when(x <= F.col("mid"), x)).alias("under"), F.min(F.when(x > F.col("mid"), x)).alias("over"))
+        moved = (F.col("lo") != F.col("lo0")) | (F.col("hi") != F.col("hi0"))
+        ok = (F.col("b") <= F.floor("pos")) & (F.col("u") >= F.ceil("pos") + 1) & moved
+        low, high = F.col("h") > F.ceil("pos"), F.col("h") <= F.floor("pos")
+        state = ws.save(check.select(*names, "pos", F.when(ok, F.col("lo")).when(low, F.col("lo0")).when(high, F.col("over")).otherwise(F.col("under")).alias("lo"), F.when(ok, F.col("hi")).when(low, F.col("under")).when(high, F.col("hi0")).otherwise(F.col("over")).alias("hi")), "state")
     last = _join(counts, view.select(*names, "pos", "lo", "hi", "below"), names).filter(inside)
     values = last.groupBy(*names).agg(F.first("pos").alias("pos"), F.first("below").alias("below"), F.sort_array(F.collect_list(F.struct("x", "m"))).alias("v"))  # at most ``held`` values
     upto = F.aggregate("v", F.struct(F.col("below").alias("n"), F.lit(None).cast("double").alias("a"), F.lit(None).cast("double").alias("b")), lambda s, e: F.struct((s["n"] + e["m"]).alias("n"), F.when(s["a"].isNull() & (s["n"] + e["m"] > F.floor("pos")), e["x"]).otherwise(s["a"]).alias("a"), F.when(s["b"].isNull() & (s["n"] + e["m"] > F.ceil("pos")), e["x"]).otherwise(s["b"]).alias("b")))

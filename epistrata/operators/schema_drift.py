@@ -20,7 +20,6 @@ from epistrata.runtime import Workspace, hot_join, lookup_join
 #: Cost of an edit; a pair of an add and a delete costs 2 a node, so a rename or move of a field is cheaper.
 ADD = DELETE = 1.0
 RETYPE, RENAME, MOVE = 1.0, 1.5, 1.25
-INFINITE = float("inf")
 #: Columns of the unified table beyond which further fields go into the map column ``_extra``; nothing is lost.
 MAX_COLUMNS = 256
 #: Rows that a task turns into columns at once.
@@ -44,49 +43,15 @@ class Node:
         return (self.type, self.mark, tuple(sorted((n, x.shape()) for n, x in self.children.items())))
 
 
-def assign(cost: list[list[float]]) -> list[int]:
-    """Row -> column of a least-cost assignment, by the Hungarian method (square matrix)."""
-    n = len(cost)
-    u, v, match, way = [0.0] * (n + 1), [0.0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
-    for i in range(1, n + 1):
-        match[0], j0 = i, 0
-        least, seen = [INFINITE] * (n + 1), [False] * (n + 1)
-        while True:
-            seen[j0] = True
-            i0, delta, j1 = match[j0], INFINITE, 0
-            for j in range(1, n + 1):
-                if not seen[j]:
-                    d = cost[i0 - 1][j - 1] - u[i0] - v[j]
-                    if d < least[j]:
-                        least[j], way[j] = d, j0
-                    if least[j] < delta:
-                        delta, j1 = least[j], j
-            for j in range(n + 1):
-                if seen[j]:
-                    u[match[j]] += delta
-                    v[j] -= delta
-                else:
-                    least[j] -= delta
-            j0 = j1
-            if match[j0] == 0:
-                break
-        while j0:
-            match[j0] = match[way[j0]]
-            j0 = way[j0]
-    out = [0] * n
-    for j in range(1, n + 1):
-        out[match[j] - 1] = j - 1
-    return out
-
-
 Edit = tuple[str, str, str, float]  # change, old path, new path, cost
 
 
 def _below(a: Node, b: Node, at_a: str, at_b: str, gone: list[tuple[str, Node]], new: list[tuple[str, Node]]) -> tuple[float, list[Edit]]:
     """Least-cost edits between the children of two matched nodes; what is left over on either side goes to gone and new.
 
-    Children of one name are the same field. The others are assigned at least cost, where a field may be taken for another only if type and
-    mark agree and no other field left over on either side has them, else its delete and add are cheaper by decree.
+    Children of one name are the same field. A field may be taken for another only if type and mark agree and no other field left over on either side
+    has them, so each has at most one partner, and the least-cost assignment of all is the choice, pair by pair, of what costs less: the
+    rename with the edits inside it, or the delete and the add. It takes time in proportion to the fields.
     """
     cost, edits = 0.0, []
     for name in a.children.keys() & b.children.keys():
@@ -98,42 +63,27 @@ def _below(a: Node, b: Node, at_a: str, at_b: str, gone: list[tuple[str, Node]],
         cost, edits = cost + more, edits + inside
     left = [a.children[n] for n in sorted(a.children.keys() - b.children.keys())]
     right = [b.children[n] for n in sorted(b.children.keys() - a.children.keys())]
-    if left and right:
-        seen_a, seen_b = Counter((x.type, x.mark) for x in left), Counter((x.type, x.mark) for x in right)
-        plans: dict[tuple[int, int], tuple[float, list[Edit], list, list]] = {}
-        n = len(left) + len(right)
-        big = 10.0 * (a.size() + b.size())  # stands for infinite in the assignment
-        table = [[big] * n for _ in range(n)]
-        for i, x in enumerate(left):
-            for j, y in enumerate(right):
-                same = (x.type, x.mark)
-                if same == (y.type, y.mark) and seen_a[same] == seen_b[same] == 1:
-                    g: list[tuple[str, Node]] = []
-                    w: list[tuple[str, Node]] = []
-                    more, inside = _below(x, y, f"{at_a}{x.name}.", f"{at_b}{y.name}.", g, w)
-                    lost = DELETE * sum(k.size() for _, k in g) + ADD * sum(k.size() for _, k in w)
-                    plans[i, j] = (more, inside, g, w)
-                    table[i][j] = RENAME + more + lost
-            table[i][len(right) + i] = DELETE * x.size()
-        for j, y in enumerate(right):
-            table[len(left) + j][j] = ADD * y.size()
-        for i in range(len(left), n):
-            for j in range(len(right), n):
-                table[i][j] = 0.0
-        to = assign(table)
-        taken_a, taken_b = set(), set()
-        for i, x in enumerate(left):
-            if (i, to[i]) in plans and table[i][to[i]] < big:
-                more, inside, g, w = plans[i, to[i]]
-                y = right[to[i]]
-                cost += RENAME + more
-                edits += [("renamed", at_a + x.name, at_b + y.name, RENAME), *inside]
-                gone += g
-                new += w
-                taken_a.add(i)
-                taken_b.add(to[i])
-        left = [x for i, x in enumerate(left) if i not in taken_a]
-        right = [y for j, y in enumerate(right) if j not in taken_b]
+    alike: dict[tuple, tuple[list[Node], list[Node]]] = {}
+    for side, nodes in ((0, left), (1, right)):
+        for x in nodes:
+            alike.setdefault((x.type, x.mark), ([], []))[side].append(x)
+    taken: set[int] = set()
+    for xs, ys in alike.values():
+        if len(xs) != 1 or len(ys) != 1:
+            continue
+        x, y = xs[0], ys[0]
+        g: list[tuple[str, Node]] = []
+        w: list[tuple[str, Node]] = []
+        more, inside = _below(x, y, f"{at_a}{x.name}.", f"{at_b}{y.name}.", g, w)
+        lost = DELETE * sum(k.size() for _, k in g) + ADD * sum(k.size() for _, k in w)
+        if RENAME + more + lost < DELETE * x.size() + ADD * y.size():
+            cost += RENAME + more
+            edits += [("renamed", at_a + x.name, at_b + y.name, RENAME), *inside]
+            gone += g
+            new += w
+            taken |= {id(x), id(y)}
+    left = [x for x in left if id(x) not in taken]
+    right = [y for y in right if id(y) not in taken]
     gone += [(at_a, x) for x in left]
     new += [(at_b, y) for y in right]
     return cost, edits
@@ -308,40 +258,50 @@ def _width(v: int) -> str | None:
     return None if abs(v) <= 2**53 else "wide" if -(2**63) <= v < 2**63 else "huge"
 
 
+def _number_in(text: str) -> int | float | None:
+    """The number that a text spells, if it comes out of it again digit for digit; else it is a text."""
+    try:
+        n: int | float = int(text)
+    except ValueError:
+        try:
+            n = float(text)
+        except ValueError:
+            return None
+    return n if str(n) == text and n - n == 0 else None
+
+
 def _value_kind(v: Any) -> str:
     k = _kind(v)
+    if k == "text":
+        n = _number_in(v)
+        return "text" if n is None else f"{_value_kind(n)}_text"
     if k == "whole":
         return _width(v) or k
-    if k == "text":
-        try:
-            return _width(int(v)) or "whole_text"
-        except ValueError:
-            pass
-        try:
-            return "decimal_text" if float(v) - float(v) == 0 else "text"
-        except ValueError:
-            return "text"
+    if k == "decimal":
+        return "integral" if abs(v) <= 2**53 and v == int(v) else k
     if k == "list":
         return "numbers" if all(x is None or _kind(x) == "decimal" or (_kind(x) == "whole" and not _width(x)) for x in v) else "list"
     return k or "null"
 
 
 def unify(kinds: set[str]) -> str:
-    """The narrowest column type that holds all kinds of values a field has."""
+    """The narrowest column type that holds all kinds of values a field has, digit for digit.
+
+    Texts of numbers count as numbers only beside numbers, and truth values beside them are 1 and 0. 7.0 beside whole numbers is one; where all numbers are written with a point they are decimals.
+    """
     kinds = kinds - {"null"}
-    if not kinds or kinds & {"text", "object", "huge"}:
+    plain = {k.removesuffix("_text") for k in kinds}
+    if not kinds or plain & {"text", "object", "huge"} or all(k.endswith("_text") for k in kinds):
         return "string"
-    if kinds & {"numbers", "list"}:
+    if plain & {"numbers", "list"}:
         if "list" in kinds:
             return "array<string>" if kinds <= {"numbers", "list"} else "string"
-        return "array<double>" if kinds <= {"numbers", "whole", "decimal", "whole_text", "decimal_text"} else "string"
+        return "array<double>" if plain <= {"numbers", "whole", "integral", "decimal"} else "string"
     if kinds == {"boolean"}:
         return "boolean"
-    if kinds <= {"whole", "whole_text", "wide"}:
+    if plain <= {"whole", "wide", "integral"} and plain & {"whole", "wide"}:
         return "bigint"
-    if "wide" in kinds:
-        return "string"
-    return "double"
+    return "string" if "wide" in plain else "double"
 
 
 def _fit(v: Any, to: str) -> Any:
@@ -352,7 +312,7 @@ def _fit(v: Any, to: str) -> Any:
     if to == "boolean":
         return v
     if to == "bigint":
-        return int(v)
+        return int(_number_in(v) if isinstance(v, str) else v)
     if to == "double":
         return float(v)
     if to == "array<double>":
@@ -390,9 +350,9 @@ def unified_records(files: DataFrame, records: DataFrame, changes: DataFrame | N
 
     The edit scripts are compiled into a projection for every file: each key of its records to the name under which the field first
     appeared in its repo (its own name if it never changed, or if another key of the file has that name already). A field's column has the
-    narrowest type that holds all its values: whole numbers and texts of whole numbers bigint, mixed numbers double, lists of numbers (and
-    numbers beside them) array<double>, all else string, with JSON text for what is no text; string too where whole numbers beyond 64 bits occur, or
-    beyond 2**53 beside decimals (array<string> inside lists), so no digit is lost. Names that differ only in case get a suffix ~2, ~3 …
+    narrowest type that holds all its values digit for digit (see ``unify``): whole numbers bigint, also where some files write them as 7.0 or "7", other numbers double,
+    lists of numbers (and numbers beside them) array<double>, all else string, with JSON text for what is no text. So texts stay texts where "007" or "1.50" occurs or no
+    file writes a number; string too where whole numbers beyond 64 bits occur, or beyond 2**53 beside decimals (array<string> inside lists). Names that differ only in case get a suffix ~2, ~3 …
 
     Columns: _record_id, _file_id, _repo_id, _file_index, _fps, _robot_type (of the file, as text, whatever the file calls them), one a field; fields beyond MAX_COLUMNS
     are kept in the map _extra. Repeated rows count once. A record that is null or no JSON object has null fields; one whose file is unknown keeps its
@@ -464,7 +424,7 @@ def unified_records(files: DataFrame, records: DataFrame, changes: DataFrame | N
     told = known.join(top, ["file_id"], "left").withColumn("j", F.from_json("info", "map<string,string>", {"mode": "PERMISSIVE"}))
     told = told.select("file_id", F.coalesce(F.expr("try_element_at(j, coalesce(fps_name, 'fps'))"), F.expr("try_element_at(j, 'fps')")).alias("fps"), F.coalesce(F.expr("try_element_at(j, coalesce(robot_name, 'robot_type'))"), F.expr("try_element_at(j, 'robot_type')")).alias("robot_type"))
     maps = projections.filter("key <> field").groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "field"))).alias("names"))  # a file's own keys
-    per_file = place.join(maps, ["file_id"], "left").join(told.groupBy("file_id").agg(F.max("fps").alias("fps"), F.max("robot_type").alias("robot_type")), ["file_id"], "left").dropDuplicates(["file_id"])
+    per_file = place.groupBy("file_id").agg(F.min(F.struct("repo_id", "file_index")).alias("p")).select("file_id", "p.repo_id", "p.file_index").join(maps, ["file_id"], "left").join(told.groupBy("file_id").agg(F.max("fps").alias("fps"), F.max("robot_type").alias("robot_type")), ["file_id"], "left")
     table = hot_join(rows, per_file, ["file_id"], "left").select("record_id", "file_id", "repo_id", "file_index", "fps", "robot_type", "record", "names").mapInArrow(project, schema)
     listed = files.sparkSession.createDataFrame([(f, n, t) for f, n, t in catalog] or [], "field string, column string, type string")
     return Unified(table, fields.join(listed, ["field"], "left").select("field", "column", "type", "kinds", "files", "renamed_in"), projections)

@@ -25,3 +25,16 @@ def test_no_keys_and_no_rows(spark):
     assert quantiles.exact_quantiles(df, [], "x", [0.25]).first()["q"] == [2.5]
     assert quantiles.exact_quantiles(spark.range(1000).selectExpr("cast(id as double) as x"), [], "x", [0.25], 20).first()["q"] == [249.75]
     assert quantiles.exact_quantiles(df.withColumn("k", df.x).limit(0), ["k"], "x", [0.5]).count() == 0
+
+
+def test_a_sketch_that_places_nothing(spark, monkeypatch):
+    """Brackets no sketch narrows are halved until they can be held; no task is given the rest."""
+    from epistrata.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "ACCURACY", 1)
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=400) * 1e-300, rng.normal(size=400) * 1e200, [0.0] * 50, np.arange(200.0)])
+    df = spark.createDataFrame([("a", float(v)) for v in x], "k string, x double")
+    got = quantiles.exact_quantiles(df, ["k"], "x", [0.37], held=300).first()["q"]
+    want = np.quantile(x, [0.37])
+    assert all(abs(a - b) <= 1e-9 * max(abs(b), 1e-290) for a, b in zip(got, want))

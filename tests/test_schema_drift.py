@@ -65,14 +65,33 @@ def test_moves_are_found_in_nested_schemas():
     assert edits == [("moved", "p.x", "q.x", sd.MOVE)] and cost == sd.MOVE
 
 
-@settings(max_examples=50, deadline=None)
-@given(st.lists(st.lists(st.integers(0, 20), min_size=4, max_size=4), min_size=4, max_size=4))
-def test_assignment_is_least(cost):
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("abcdef"), st.integers(0, 2)), max_size=5, unique_by=lambda x: x[0]), st.lists(st.tuples(st.sampled_from("uvwxyz"), st.integers(0, 2)), max_size=5, unique_by=lambda x: x[0]), st.integers(0, 3))
+def test_scripts_cost_least(old, new, inner):
+    """Against every way to pair gone with new fields of a type that is alone on either side."""
     import itertools
 
-    to = sd.assign([list(map(float, r)) for r in cost])
-    assert sorted(to) == [0, 1, 2, 3]
-    assert sum(cost[i][to[i]] for i in range(4)) == min(sum(cost[i][p[i]] for i in range(4)) for p in itertools.permutations(range(4)))
+    node = lambda n, t: sd.Node(n, f"t{t}", "", {f"{n}{k}": sd.Node(f"{n}{k}", "leaf") for k in range(inner if t == 0 else 0)})
+    a, b = (sd.Node("", None, "", {n: node(n, t) for n, t in side}) for side in (old, new))
+    lone = [(x, y) for x, t in old for y, u in new if t == u and [v for _, v in old].count(t) == [v for _, v in new].count(t) == 1]
+    least = sum(x.size() for x in a.children.values()) + sum(y.size() for y in b.children.values())
+    for k in range(len(lone) + 1):
+        for pairs in itertools.combinations(lone, k):
+            cost = sum(x.size() for n, x in a.children.items() if n not in [p for p, _ in pairs]) + sum(y.size() for n, y in b.children.items() if n not in [q for _, q in pairs])
+            for p, q in pairs:
+                below = sd.edit_script(sd.Node("", None, "", a.children[p].children), sd.Node("", None, "", b.children[q].children))[0]
+                cost += sd.RENAME + below
+            least = min(least, cost)
+    assert abs(sd.edit_script(a, b)[0] - least) < 1e-9
+
+
+def test_many_renames_take_time_in_proportion():
+    import time
+
+    tree = lambda p: sd.Node("", None, "", {f"{p}{k}": sd.Node(f"{p}{k}", f"t{k}") for k in range(20_000)})
+    began = time.perf_counter()
+    cost, edits = sd.edit_script(tree("a"), tree("b"))
+    assert cost == 20_000 * sd.RENAME and {e[0] for e in edits} == {"renamed"} and time.perf_counter() - began < 20
 
 
 def test_unified_table_follows_renames(spark):
@@ -102,6 +121,16 @@ def test_types_unify():
     assert sd.unify({"numbers", "whole"}) == "array<double>" and sd.unify({"list"}) == "array<string>" and sd.unify({"object", "whole"}) == "string" and sd.unify(set()) == "string"
 
 
+def test_keys_stay_whole_numbers_and_texts_stay_texts(spark):
+    files = frame(spark, [("r", 1, info({"a": C})), ("r", 2, info({"a": C}))])
+    recs = spark.createDataFrame([(1, 0, '{"key": 7, "code": "007", "t": 1.0, "only": "12", "mix": 3}'), (2, 1, '{"key": 7.0, "code": 7, "t": 2.0, "only": "13", "mix": "4"}'), (3, 1, '{"key": "9", "mix": 5.0}')], "record_id long, file_id long, record string")
+    u = sd.unified_records(files, recs).table
+    kinds = dict(u.dtypes)
+    assert [kinds[k] for k in ("key", "code", "t", "only", "mix")] == ["bigint", "string", "double", "string", "bigint"]
+    rows = {r["_record_id"]: r for r in u.collect()}
+    assert [rows[k]["key"] for k in (1, 2, 3)] == [7, 7, 9] and rows[1]["code"] == "007" and rows[2]["code"] == "7" and [rows[k]["mix"] for k in (1, 2, 3)] == [3, 4, 5]
+
+
 def test_last_before_carries_over_stretches(spark, monkeypatch):
     import random
 
