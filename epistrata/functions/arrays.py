@@ -281,3 +281,21 @@ def crop(pixels: Column, height: int, width: int, channels: int, top: int, left:
     rows = [F.slice(pixels, (y * width + left) * channels + 1, max(0, right - left) * channels) for y in range(top, bottom)]
     return F.concat(*rows)
 
+
+
+def resize(pixels: Column, height: int, width: int, channels: int, h: int, w: int) -> Column:
+    """An image of height x width x channels at h x w, each value bilinear between the four around its place."""
+
+    def place(k: Column, own: int, to: int) -> tuple[Column, Column, Column]:
+        x = F.greatest(F.lit(0.0), F.least(F.lit(own - 1.0), (k + 0.5) * own / to - 0.5))
+        low = F.floor(x).cast("int")
+        return low, F.least(low + 1, F.lit(own - 1)), x - low
+
+    def one(k: Column) -> Column:
+        y0, y1, fy = place(F.floor(k / (w * channels)), height, h)
+        x0, x1, fx = place(F.floor(k / channels) % w, width, w)
+        get = lambda y, x: F.element_at(pixels, (y * width + x) * channels + (k % channels).cast("int") + 1).cast("double")
+        row = lambda y: get(y, x0) * (1.0 - fx) + get(y, x1) * fx
+        return row(y0) * (1.0 - fy) + row(y1) * fy
+
+    return F.transform(F.sequence(F.lit(0), F.lit(h * w * channels - 1)), one)

@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
-from dataclasses import asdict, dataclass, field, is_dataclass
-from pathlib import Path
+from dataclasses import asdict, dataclass, field, fields, is_dataclass
 from typing import Any, ClassVar
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from epistrata.functions import arrays, text
 from epistrata.runtime import c
+from epistrata.sources.dataset import read_text, write_text
 
+#: Saved options that concern devices, downloads or a model's feature list, not the data.
+NO_MEANING = frozenset({"device", "kinematics", "robot", "teleop_device", "pretrained_path", "features", "norm_map", "normalize_observation_keys", "use_gripper", "success_threshold", "current_step", "tokenizer_assets_repo"})
 Hook = Callable[[int, DataFrame], None]
 
 
@@ -53,6 +55,17 @@ class Step:
     """A DataFrame to DataFrame function with a configuration and, if it needs one, a state."""
 
     registry_name: ClassVar[str | None] = None
+    #: Names that saved pipelines use for options here.
+    aliases: ClassVar[dict[str, str]] = {}
+
+    @classmethod
+    def from_config(cls, config: dict[str, Any]) -> "Step":
+        """A step from saved options. Those of devices and downloads have no meaning here; any other that is not known is an error."""
+        known = {f.name for f in fields(cls)} if is_dataclass(cls) else set()
+        named = {cls.aliases.get(k, k): v for k, v in config.items()}
+        if lost := sorted(k for k in named if k not in known and k not in NO_MEANING):
+            raise TypeError(f"{cls.registry_name} has no option {lost}")
+        return cls(**{k: v for k, v in named.items() if k in known})
 
     def __call__(self, df: DataFrame) -> DataFrame:
         raise NotImplementedError
@@ -127,10 +140,9 @@ class Pipeline:
         """Schema of the result; no row is read."""
         return self(df.limit(0)).schema
 
-    def save(self, folder: str) -> None:
-        """<name>.json with the steps' configurations, and a state file for each step that has one."""
-        root = Path(folder)
-        root.mkdir(parents=True, exist_ok=True)
+    def save(self, folder: str, spark: SparkSession | None = None) -> None:
+        """<name>.json with the steps' configurations, and a state file for each step that has one, through Hadoop's file system: any folder Spark can write."""
+        spark = spark or SparkSession.active()
         out = []
         for i, s in enumerate(self.steps):
             if s.registry_name is None:
@@ -138,20 +150,20 @@ class Pipeline:
             entry: dict[str, Any] = {"registry_name": s.registry_name, "config": s.config()}
             if state := s.state():
                 entry["state_file"] = f"{self.name}_step_{i}_{s.registry_name}.json"
-                (root / entry["state_file"]).write_text(json.dumps(state))
+                write_text(spark, f"{folder}/{entry['state_file']}", json.dumps(state))
             out.append(entry)
-        (root / f"{self.name}.json").write_text(json.dumps({"name": self.name, "steps": out}, indent=2))
+        write_text(spark, f"{folder}/{self.name}.json", json.dumps({"name": self.name, "steps": out}, indent=2))
 
     @classmethod
-    def load(cls, folder: str, name: str = "pipeline", overrides: dict[str, dict[str, Any]] | None = None) -> "Pipeline":
+    def load(cls, folder: str, name: str = "pipeline", overrides: dict[str, dict[str, Any]] | None = None, spark: SparkSession | None = None) -> "Pipeline":
         """A saved pipeline; overrides change a step's configuration by its name, and an override that fits no step is an error."""
-        root, left = Path(folder), dict(overrides or {})
-        spec = json.loads((root / f"{name}.json").read_text())
+        spark, left = spark or SparkSession.active(), dict(overrides or {})
+        spec = json.loads(read_text(spark, f"{folder}/{name}.json"))
         steps = []
         for e in spec["steps"]:
-            step = Registry.get(e["registry_name"])(**{**e["config"], **left.pop(e["registry_name"], {})})
+            step = Registry.get(e["registry_name"]).from_config({**e["config"], **left.pop(e["registry_name"], {})})
             if "state_file" in e:
-                step.load_state(json.loads((root / e["state_file"]).read_text()))
+                step.load_state(json.loads(read_text(spark, f"{folder}/{e['state_file']}")))
             steps.append(step)
         if left:
             raise KeyError(f"overrides for no step: {sorted(left)}")
@@ -214,13 +226,14 @@ class Unnormalize(Normalize):
 class CastFloats(PrefixStep):
     """Floats to one width; devices have no meaning here."""
 
-    float_dtype: str = "float"
+    float_dtype: str | None = "float"
+    kinds: ClassVar[dict[str | None, str]] = {None: "float", "float": "float", "float32": "float", "double": "double", "float64": "double"}
 
     def column(self, name: str, col: Column, kind: T.DataType) -> Column:
-        kinds = {"double": "array<double>", "float": "array<float>"}
+        to = self.kinds[self.float_dtype]
         if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.FloatType, T.DoubleType)):
-            return col.cast(kinds[self.float_dtype])
-        return col.cast(self.float_dtype) if isinstance(kind, (T.FloatType, T.DoubleType)) else col
+            return col.cast(f"array<{to}>")
+        return col.cast(to) if isinstance(kind, (T.FloatType, T.DoubleType)) else col
 
 
 @Registry.register("add_domain_id")
@@ -260,6 +273,7 @@ class ValuePrompt(Step):
 class VectorToNames(Step):
     column: str = "action"
     names: list[str] = field(default_factory=list)
+    aliases: ClassVar[dict[str, str]] = {"motor_names": "names"}
 
     def __call__(self, df: DataFrame) -> DataFrame:
         return df.select("*", *[arrays.at(c(self.column), i).alias(n) for i, n in enumerate(self.names)])
@@ -270,6 +284,7 @@ class VectorToNames(Step):
 class NamesToVector(Step):
     names: list[str] = field(default_factory=list)
     column: str = "action"
+    aliases: ClassVar[dict[str, str]] = {"motor_names": "names"}
 
     def __call__(self, df: DataFrame) -> DataFrame:
         return df.withColumn(self.column, F.array(*[c(n).cast("double") for n in self.names]))
@@ -343,15 +358,26 @@ class ConcatState(Step):
         return df.withColumn(self.to, F.concat(*[F.col(p).cast("array<double>") for p in self.parts]))
 
 
+#: Where models keep statistics; of several that fit a key the first counts. One is spelt as models were saved.
+STATS_PREFIXES = ("normalize_inputs.buffer_", "unnormalize_outputs.buffer_", "normalize_targets.buffer_", "normalize.", "unnormalize.", "input_normalizer.", "output_normalizer.", "normalalize_inputs.", "normalize_inputs.", "unnormalize_outputs.", "normalize_targets.", "unnormalize_targets.")
+
+
 def migrated_stats(state: dict[str, list[float]]) -> dict[str, dict[str, list[float]]]:
-    """Statistics inside a model's state, keys like ``normalize_inputs.buffer_observation_state.mean``, as feature -> stat; the first prefix that occurs counts, underscores become dots."""
+    """Statistics inside a model's state, keys like ``normalize_inputs.buffer_observation_state.mean``, as feature -> stat; underscores become dots, and of keys for one statistic the last counts.
+
+    A key that speaks of normalizing but has no known prefix or no feature's name is an error: statistics do not vanish. Other weights are passed over.
+    """
     out: dict[str, dict[str, list[float]]] = {}
-    prefixes = ("normalize_inputs.buffer_", "unnormalize_outputs.buffer_", "normalize_targets.buffer_", "normalize.", "unnormalize.", "input_normalizer.", "output_normalizer.")
-    for prefix in prefixes:
-        for key, v in state.items():
-            if key.startswith(prefix):
-                name, _, stat = key[len(prefix) :].rpartition(".")
-                out.setdefault(name.replace("_", "."), {}).setdefault(stat, v)
+    lost = []
+    for key, v in state.items():
+        tail = next((key.removeprefix(p) for p in STATS_PREFIXES if key.startswith(p)), "")
+        name, _, stat = tail.rpartition(".")
+        if name:
+            out.setdefault(name.replace("_", "."), {})[stat] = v
+        elif "normalize" in key.split(".")[0]:
+            lost.append(key)
+    if lost:
+        raise ValueError(f"statistics under unknown keys: {sorted(lost)}")
     return out
 
 
