@@ -24,9 +24,14 @@ def advantage_tag(task: Column, positive: Column) -> Column:
     return F.when(F.coalesce(task, F.lit("")) == "", tag).otherwise(F.concat(task, F.lit("\n"), tag))
 
 
+def hash_number(*keys: Column, seed: int) -> Column:
+    """A whole number below 2^52 that depends on the keys and the seed only: the first 13 hexadecimal digits of their MD5. SQL engines can repeat it."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[k.cast("string") for k in keys], F.lit(str(seed)))), 1, 13), 16, 10).cast("long")
+
+
 def hash_uniform(*keys: Column, seed: int) -> Column:
-    """A number in [0, 1) that depends on the keys and the seed only: what a random draw is here."""
-    return F.shiftrightunsigned(F.xxhash64(*keys, F.lit(seed)), 11).cast("double") / float(1 << 53)
+    """A number in [0, 1) by hash: what a random draw is here."""
+    return hash_number(*keys, seed=seed) / float(1 << 52)
 
 
 def tagged_or_dropped(task: Column, indicator: Column, key: Column, drop: float, seed: int) -> Column:
@@ -150,4 +155,4 @@ def action_token_ids(tokens: Column, vocabulary: int, skip: int, prefix: Sequenc
 
 def picked(words: Sequence[str], key: Column, seed: int) -> Column:
     """One of the words, by a hash of the key."""
-    return F.element_at(F.array(*[F.lit(w) for w in words]), (F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(len(words))) + 1).cast("int"))
+    return F.element_at(F.array(*[F.lit(w) for w in words]), (F.pmod(hash_number(key, seed=seed), F.lit(len(words))) + 1).cast("int"))

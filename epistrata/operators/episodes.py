@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from epistrata.functions import arrays
+from epistrata.functions import arrays, text
 from epistrata.runtime import c, lookup_join
 
 REQUIRED = ("timestamp", "frame_index", "episode_index", "index", "task_index")
@@ -203,13 +205,14 @@ def dense_episodes(episodes: DataFrame) -> DataFrame:
     return out.select("episode_index", (F.col("n0") + F.col("r")).cast("long").alias("new_index"), (F.col("l0") + F.col("s") - F.col("length")).alias("from_index"), (F.col("l0") + F.col("s")).alias("to_index"), "length")
 
 
-def reindex(frames: DataFrame, order: str = "frame_index") -> DataFrame:
+def reindex(frames: DataFrame, order: str = "frame_index", keys: DataFrame | None = None) -> DataFrame:
     """Frames under dense new keys: episode_index in the old order, frame order kept, ``index`` dense over the dataset.
 
-    Adds old_episode_index. Lengths are counted from the frames; offsets come from the episode table, never from a window over all frames.
+    Adds old_episode_index. Lengths are counted from the frames; offsets come from ``keys`` (dense_episodes of the episodes wanted, by default of all that have
+    frames), never from a window over all frames. Frames are ranked in stretches, so a long episode is many tasks' work.
     """
-    lengths = frames.groupBy("episode_index").agg(F.count(F.lit(1)).alias("length"))
-    keys = dense_episodes(lengths)
+    if keys is None:
+        keys = dense_episodes(frames.groupBy("episode_index").agg(F.count(F.lit(1)).alias("length")))
     w = Window.partitionBy("episode_index").orderBy(order, "index")
     ranked = frames.filter("episode_index is not null").withColumn("__r", F.row_number().over(w) - 1)
     out = lookup_join(ranked, keys.select("episode_index", "new_index", "from_index"), ["episode_index"])
@@ -217,11 +220,11 @@ def reindex(frames: DataFrame, order: str = "frame_index") -> DataFrame:
     return out.select(F.col("episode_index").alias("old_episode_index"), F.col("new_index").alias("episode_index"), (F.col("from_index") + F.col("__r")).alias("index"), *names)
 
 
-def video_spans(episodes: DataFrame, kept: Sequence[int], fps: str = "fps") -> DataFrame:
-    """New from and to of each kept episode in its video file: unchanged if all of a file's episodes stay, else restarted and accumulated by length / fps."""
-    keep = F.col("episode_index").isin(list(kept))
+def video_spans(episodes: DataFrame, kept: DataFrame, fps: str = "fps") -> DataFrame:
+    """New from and to of each kept episode (a table of episode_index) in its video file: unchanged if all of a file's episodes stay, else restarted and accumulated by length / fps."""
+    keep = F.col("__keep").isNotNull()
     per_file = Window.partitionBy("chunk_index", "file_index")
-    e = episodes.withColumn("whole", F.min(F.when(keep, 1).otherwise(0)).over(per_file) == 1).filter(keep)
+    e = episodes.join(kept.select("episode_index", F.lit(True).alias("__keep")).distinct(), ["episode_index"], "left").withColumn("whole", F.min(F.when(keep, 1).otherwise(0)).over(per_file) == 1).filter(keep)
     run = per_file.orderBy("episode_index").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seconds = F.col("length") / F.col(fps)
     upto = F.sum(seconds).over(run)
@@ -348,19 +351,19 @@ def even_sample_column(index: Column, n: int) -> Column:
 def hash_sample(df: DataFrame, group: str, key: Sequence[str], fraction: float, seed: int) -> DataFrame:
     """max(1, int(n * fraction)) rows of each group without replacement, in order of a seeded hash."""
     w = Window.partitionBy(group)
-    ranked = df.withColumn("__n", F.count(F.lit(1)).over(w)).withColumn("__r", F.row_number().over(w.orderBy(F.xxhash64(*[c(k) for k in key], F.lit(seed)), *[c(k) for k in key])))
+    ranked = df.withColumn("__n", F.count(F.lit(1)).over(w)).withColumn("__r", F.row_number().over(w.orderBy(text.hash_number(*[c(k) for k in key], seed=seed), *[c(k) for k in key])))
     return ranked.filter(F.col("__r") <= F.greatest(F.lit(1), F.floor(F.col("__n") * F.lit(fraction)))).drop("__n", "__r")
 
 
 def weighted_subset(df: DataFrame, weight: str, key: str, n: int, seed: int) -> DataFrame:
     """n rows without replacement with chances by weight: the least -ln(u) / w."""
-    u = (F.shiftrightunsigned(F.xxhash64(c(key), F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
+    u = (text.hash_number(c(key), seed=seed) + 0.5) / float(1 << 52)
     return df.filter(F.col(weight) > 0).withColumn("__k", -F.log(u) / F.col(weight)).orderBy("__k", key).limit(n).drop("__k")
 
 
 def replay_sample(df: DataFrame, n: int, batch: int, seed: int) -> DataFrame:
     """``batch`` draws with replacement from a dense index 0 .. n - 1, by hash."""
-    draws = df.sparkSession.range(min(batch, n)).select(F.col("id").alias("draw"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).alias("index"))
+    draws = df.sparkSession.range(min(batch, n)).select(F.col("id").alias("draw"), F.pmod(text.hash_number(F.col("id"), seed=seed), F.lit(n)).alias("index"))
     return df.join(draws, ["index"])
 
 
@@ -416,17 +419,28 @@ def missing_rows(frames: DataFrame, predictions: DataFrame) -> DataFrame:
     return frames.select("index").join(predictions.select("index"), ["index"], "left_anti")
 
 
-def destination_files(files: Sequence[tuple[int, int, float]], most_mb: float, per_chunk: int = 1000) -> list[tuple[int, int, int, int, float]]:
-    """(chunk, file, dst_chunk, dst_file, offset) of each source file of (chunk, file, size): appended while the sum stays below the limit, else a new file; offset is what is in it."""
-    out, chunk, file, used = [], 0, 0, 0.0
-    first = True
-    for c_, f, size in files:
-        if not first and used + size >= most_mb:
-            chunk, file, used = (chunk + 1, 0, 0.0) if file == per_chunk - 1 else (chunk, file + 1, 0.0)
-        out.append((c_, f, chunk, file, used))
-        used += size
-        first = False
-    return out
+def destination_files(files: DataFrame, most: float, per_chunk: int = 1000, dataset: str = "dataset") -> DataFrame:
+    """(dataset, file_no, dst_chunk, dst_file, offset) of each source file (dataset, file_no, size) in its dataset's order: appended while the sum stays below the limit, else a new file; offset is what is in it.
+
+    A file starts where the sizes since the last start reach the limit, so all starts follow from running sums: each place points to the next start after it, found
+    by binary search, and only starts are visited. One row a file of a dataset is one task's work: numbers, not data.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("file_no")
+        upto = np.concatenate([[0.0], np.cumsum(pdf["size"].to_numpy(float))])
+        starts = [0]
+        while True:
+            nxt = max(int(np.searchsorted(upto, upto[starts[-1]] + most, "left")) - 1, starts[-1] + 1)
+            if nxt >= len(pdf):
+                break
+            starts.append(nxt)
+        at = np.searchsorted(starts, np.arange(len(pdf)), "right") - 1
+        return pd.DataFrame({dataset: pdf[dataset], "file_no": pdf["file_no"], "dst_chunk": at // per_chunk, "dst_file": at % per_chunk, "offset": upto[:-1] - upto[np.array(starts)[at]]})
+
+    kind = files.schema[dataset].dataType.simpleString()
+    rows = files.select(c(dataset), F.col("file_no").cast("long").alias("file_no"), F.col("size").cast("double").alias("size"))
+    return rows.groupBy(dataset).applyInPandas(run, f"`{dataset}` {kind}, file_no long, dst_chunk long, dst_file long, offset double")
 
 
 def greedy_batches(sizes: Sequence[float], most: float, most_items: int) -> list[list[int]]:
@@ -443,17 +457,31 @@ def greedy_batches(sizes: Sequence[float], most: float, most_items: int) -> list
     return out
 
 
-def parse_episode_spec(spec: str, total: int) -> list[int]:
-    """Ids of "all", "3" or "0-5,8", sorted and once each; ids outside the dataset are an error."""
+def parse_episode_spec(spec: str, total: int | None = None) -> list[tuple[int, int]]:
+    """Ranges (first, last) of "all", "3" or "0-5,8", in order, joined where they touch; with a total, ids outside the dataset are an error. No list of ids is made."""
     if spec.strip().lower() == "all":
-        return list(range(total))
-    out = set()
+        return [(0, total - 1 if total is not None else (1 << 62))]
+    pairs = []
     for part in spec.split(","):
         a, _, b = part.strip().partition("-")
-        out.update(range(int(a), int(b or a) + 1))
-    if bad := sorted(i for i in out if not 0 <= i < total):
+        pairs.append((int(a), int(b or a)))
+    if total is not None and (bad := [f"{a}-{b}" for a, b in pairs if a < 0 or b >= total]):
         raise ValueError(f"outside 0..{total - 1}: {bad}")
-    return sorted(out)
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(p for p in pairs if p[0] <= p[1]):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def in_ranges(ranges: Sequence[tuple[int, int]], column: str = "episode_index") -> Column:
+    """Whether a number lies in one of the ranges; a filter that scans can use."""
+    out = F.lit(False)
+    for a, b in ranges:
+        out = out | F.col(column).between(a, b)
+    return out
 
 
 def pick_camera(cameras: dict[str, tuple[int, int]]) -> str:

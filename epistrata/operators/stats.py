@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from epistrata.operators.quantiles import exact_quantiles
 from epistrata.runtime import c, with_one_row
@@ -71,40 +70,20 @@ def stats_override(computed: DataFrame, copied: DataFrame) -> DataFrame:
     return computed.unionByName(copied.join(computed.select("feature").distinct(), ["feature"], "left_anti"))
 
 
-def sketch_quantiles(hist: np.ndarray, low: float, high: float, count: int, quantiles: Sequence[float] = QUANTILES) -> list[float]:
-    """Quantiles of a histogram of equal bins by interpolation; a target in the first bin gives its lower edge."""
-    edges = np.linspace(low - 1e-10, high + 1e-10, hist.size + 1)
-    upto = np.cumsum(hist)
-    out = []
-    for q in quantiles:
-        want = q * count
-        i = int(np.searchsorted(upto, want))
-        if i == 0:
-            out.append(float(edges[0]))
-        elif i >= hist.size:
-            out.append(float(edges[-1]))
-        elif hist[i] == 0:
-            out.append(float(edges[i]))
-        else:
-            out.append(float(edges[i] + (want - upto[i - 1]) / hist[i] * (edges[i + 1] - edges[i])))
-    return out
-
-
 def sketched_stats(df: DataFrame, features: Sequence[str], bins: int = BINS) -> DataFrame:
-    """Quantiles by a histogram of ``bins`` equal bins over each feature's range: bins are counted with map-side combine, so a group is at most ``bins`` rows."""
+    """Quantiles by a histogram of ``bins`` equal bins over each feature's range: bins are counted with map-side combine, so a group is at most ``bins`` rows. The quantile lies in the first bin whose running count reaches its rank, in proportion; in the lowest bin it is that bin's lower edge."""
     x = long_form(df, features)
     ends = x.groupBy("feature", "dim").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     near = x.join(F.broadcast(ends), ["feature", "dim"])  # one row a dimension of the schema
     low, width = F.col("lo") - 1e-10, (F.col("hi") - F.col("lo") + 2e-10) / bins
     counts = near.withColumn("bin", F.least(F.floor((F.col("x") - low) / width), F.lit(bins - 1)).cast("int")).groupBy("feature", "dim", "lo", "hi", "bin").agg(F.count(F.lit(1)).alias("n"))
 
-    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        hist = np.zeros(bins)
-        hist[pdf["bin"].to_numpy()] = pdf["n"].to_numpy()
-        lo, hi, total = float(pdf["lo"].iloc[0]), float(pdf["hi"].iloc[0]), int(pdf["n"].sum())
-        return pd.DataFrame([[pdf["feature"].iloc[0], int(pdf["dim"].iloc[0]), total, *sketch_quantiles(hist, lo, hi, total)]], columns=["feature", "dim", "count", *NAMES])
-
-    return counts.groupBy("feature", "dim").applyInPandas(finish, "feature string, dim int, count long, " + ", ".join(f"{n} double" for n in NAMES))
+    whole = Window.partitionBy("feature", "dim")  # at most ``bins`` rows
+    placed = counts.withColumn("upto", F.sum("n").over(whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("count", F.sum("n").over(whole))
+    into = lambda q: (F.col("count") * q - (F.col("upto") - F.col("n"))) / F.col("n")
+    value = lambda q: F.when(F.col("bin") == 0, low).otherwise(low + (F.col("bin") + into(q)) * width)
+    found = [F.min(F.when(F.col("upto") >= F.col("count") * q, F.struct("bin", value(q).alias("x"))))["x"].alias(n) for q, n in zip(QUANTILES, NAMES)]
+    return placed.groupBy("feature", "dim", "count").agg(*found).select("feature", "dim", "count", *NAMES)
 
 
 def as_arrays(stats: DataFrame, feature: str) -> dict[str, list[float]]:

@@ -298,33 +298,33 @@ def normalized_stage(x: Column, points: Sequence[float]) -> Column:
     return F.when(x < 0, 0.0).otherwise(F.least(F.lit(1.0), out))
 
 
-def smooth(values: np.ndarray, window: int) -> np.ndarray:
-    """Savitzky-Golay of order 3 with polynomial fits at the edges; the window is made odd and at least 5, and a series shorter than it stays as it is."""
-    if window <= 1:
-        return values
-    window = max(5, window | 1)
-    if values.size < window:
-        return values
+def smoothing_weights(window: int) -> np.ndarray:
+    """Rows of weights over ``window`` values: the cubic least-squares fit to them, at each of their places."""
     half = window // 2
-    x = np.arange(-half, half + 1, dtype=float)
-    fit = np.linalg.pinv(np.vander(x, 4, increasing=True))
-    out = np.convolve(values, fit[0][::-1], "same")
-    first, last = fit @ values[:window], fit @ values[-window:]
-    powers = np.vander(x, 4, increasing=True)
-    out[:half], out[-half:] = (powers @ first)[:half], (powers @ last)[-half:]
-    return out
+    powers = np.vander(np.arange(-half, half + 1, dtype=float), 4, increasing=True)
+    return powers @ np.linalg.pinv(powers)
 
 
 def smoothed(df: DataFrame, column: str, window: int) -> DataFrame:
-    """(episode_index, index, value): the column smoothed per episode; the fits at the edges are why this is Python."""
+    """(episode_index, index, value): Savitzky-Golay of order 3, with the fit to an episode's first and last window at its edges.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame_index", "index"])
-        pdf["value"] = smooth(pdf["value"].to_numpy(float), window)
-        return pdf[["episode_index", "index", "value"]]
-
-    rows = df.select("episode_index", "index", "frame_index", c(column).cast("double").alias("value")).filter("value is not null")
-    return rows.groupBy("episode_index").applyInPandas(run, "episode_index long, index long, value double")
+    The window is made odd and at least 5; one of at most 1 and series shorter than the window stay as they are. A row looks at most window - 1
+    rows to either side, so all of it is lags and leads, and stretches with such a halo give the same.
+    """
+    rows = df.filter(c(column).isNotNull()).withColumn("__v", c(column).cast("double"))
+    keys = ["episode_index", "index", *[n for n in ("stretch", "halo") if n in df.columns]]
+    if window <= 1:
+        return rows.select(*keys, F.col("__v").alias("value"))
+    window = max(5, window | 1)
+    half, weights = window // 2, smoothing_weights(window)
+    w = by_frame(rows)
+    row, n = F.row_number().over(w) - 1, F.count(F.lit(1)).over(_episode(rows))
+    near = rows.select("*", row.alias("__p"), n.alias("__n"), *[F.lead("__v", d).over(w).alias(f"__v{d + window}") for d in range(1 - window, window)])
+    fit = lambda k, first: sum((float(weights[k][j]) * F.col(f"__v{first + j + window}") for j in range(window)), F.lit(0.0))
+    out = F.when(F.col("__n") < window, F.col("__v"))
+    for k in range(half):
+        out = out.when(F.col("__p") == k, fit(k, -k)).when(F.col("__n") - 1 - F.col("__p") == k, fit(window - 1 - k, k + 1 - window))
+    return near.select(*keys, out.otherwise(fit(half, -half)).alias("value"))
 
 
 def ensemble(chunks: DataFrame, coefficient: float, size: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from epistrata.functions import arrays, text
 from epistrata.operators import episodes as ops
 from epistrata.operators import joins
-from epistrata.plans.register import query, r
+from epistrata.plans.register import query, r, sql_hash
 from epistrata.plans.views import EP, FR, episodes, frames, table, tasks, with_
 
 # --- filters and columns ---
@@ -175,8 +175,7 @@ def reindex_videos(spark: SparkSession, sf: str) -> DataFrame:
     e = episodes(spark, sf).select("episode_index", F.lit(0).alias("chunk_index"), F.floor(F.col("episode_index") / 10).alias("file_index"), "length", F.lit(30.0).alias("fps"))
     t1 = F.sum(F.col("length") / 30.0).over(Window.partitionBy("file_index").orderBy("episode_index"))
     e = e.withColumn("to_timestamp", t1).withColumn("from_timestamp", t1 - F.col("length") / 30.0)
-    kept = [x["episode_index"] for x in e.filter("episode_index % 4 <> 1 or file_index % 2 = 0").select("episode_index").collect()]
-    out = ops.video_spans(e, kept)
+    out = ops.video_spans(e, e.filter("episode_index % 4 <> 1 or file_index % 2 = 0"))
     return out.select("episode_index", r("from_timestamp", 4).alias("from_timestamp"), r("to_timestamp", 4).alias("to_timestamp"))
 
 
@@ -273,21 +272,24 @@ def sample_downsample(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("vec_id", (F.col("p") / 4).cast("bigint").alias("d"), r(F.col("x").cast("double")).alias("x"))
 
 
-@query("select 2::bigint as n, 2::bigint as different")
+@query(f"select task_index from tasks where task_index % 4 > 0 order by -ln(({sql_hash('task_index', 5)} + 0.5) / 4503599627370496.0) / (task_index % 4), task_index limit 10")
 def sample_random_subset(spark: SparkSession, sf: str) -> DataFrame:
-    t = spark.createDataFrame([(1, "blur", 1.0), (2, "crop", 2.0), (3, "tint", 0.0), (4, "flip", 1.0)], "id int, name string, w double")
-    return ops.weighted_subset(t, "w", "id", 2, 5).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("name").alias("different"))
+    """Ten of the tasks without replacement, by weights 0 to 3."""
+    t = tasks(spark, sf).withColumn("w", (F.col("task_index") % 4).cast("double"))
+    return ops.weighted_subset(t, "w", "task_index", 10, 5).select("task_index")
 
 
-@query(with_(FR) + "select ep as episode_index, greatest(1, cast(floor(count(*) * 0.25) as bigint)) as n from fr group by ep")
+@query(with_(FR, f"h as (select ep, i, row_number() over (partition by ep order by {sql_hash('i', 9)}, i) as k, count(*) over (partition by ep) as n from fr)") + "select ep as episode_index, i as \"index\" from h where k <= greatest(1, floor(n * 0.25))")
 def sample_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.hash_sample(frames(spark, sf), "episode_index", ["index"], 0.25, 9).groupBy("episode_index").agg(F.count(F.lit(1)).alias("n"))
+    return ops.hash_sample(frames(spark, sf), "episode_index", ["index"], 0.25, 9).select("episode_index", "index")
 
 
-@query("select 256::bigint as draws")
+@query(with_(FR, "m as (select max(i) + 1 as n from fr)", f"d as (select k as draw, {sql_hash('k', 3)} % n as i from m, (select unnest(range(0, 256)) as k))") + "select draw, d.i as \"index\", fi as frame_index from d join fr on fr.i = d.i")
 def sample_replay(spark: SparkSession, sf: str) -> DataFrame:
-    f = spark.range(5000).withColumnRenamed("id", "index")
-    return ops.replay_sample(f, 5000, 256, 3).agg(F.count(F.lit(1)).alias("draws"))
+    """A batch of 256 draws with replacement; a draw of a lost frame gives none."""
+    f = frames(spark, sf, "frame_index")
+    n = f.agg(F.max("index")).first()[0] + 1
+    return ops.replay_sample(f, n, 256, 3).select("draw", "index", "frame_index")
 
 
 @query(with_(FR, "m as (select i, ep, fi, sqrt(action[1]::double * action[1]::double + action[2]::double * action[2]::double) as n from fr where task = 3)", "t as (select i from m order by n desc, i limit 50)") + "select i as \"index\" from t")
@@ -304,13 +306,24 @@ def pick_camera(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(first, 1), (ops.pick_camera({k: v for k, v in cams.items() if k != first}), 2)], "camera string, rank int")
 
 
-@query("select unnest([0, 1, 2, 3, 8]) as episode_index")
+@query(with_(EP) + "select ep as episode_index from eps where ep between 0 and 3 or ep = 8 or ep between 20 and 90")
 def parse_episode_spec(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(i,) for i in ops.parse_episode_spec("0-2, 8,3,1", 10)], "episode_index int")
+    return episodes(spark, sf).filter(ops.in_ranges(ops.parse_episode_spec("0-2, 8,3,1, 20-70,60-90"))).select("episode_index")
 
 
 # --- set operations ---
 
+#: Greedy packing as a recursion over the files of each repo.
+PACKED = """with recursive o as (select repo_id, file_id, size_bytes::double as s, row_number() over (partition by repo_id order by file_id) as r from (select distinct repo_id, file_id, size_bytes from small_files where repo_id is not null)),
+g as (select repo_id, r, file_id, s, 0 as k, 0.0::double as used from o where r = 1 union all
+  select o.repo_id, o.r, o.file_id, o.s, case when g.used + g.s + o.s >= {most} then g.k + 1 else g.k end, case when g.used + g.s + o.s >= {most} then 0 else g.used + g.s end from g join o on o.repo_id = g.repo_id and o.r = g.r + 1)
+select repo_id as dataset, file_id as file_no, (k // {chunk})::bigint as dst_chunk, (k % {chunk})::bigint as dst_file, used as "offset" from g"""
+
+
+def packed(spark: SparkSession, sf: str, most: float, chunk: int) -> DataFrame:
+    files = table(spark, sf, "small_files").filter("repo_id is not null").select(F.col("repo_id").alias("dataset"), F.col("file_id").alias("file_no"), F.col("size_bytes").alias("size")).distinct()
+    return ops.destination_files(files, most, chunk)
+
 
 @query(with_(FR, "m as (select max(dataset_to_index) as x, max(episode_index) as e from episodes where episode_index % 2 = 0)", "u as (select i, ep, task from fr where ep % 2 = 0 union all select i + x, ep + e + 1, task from fr, m where ep % 2 = 1)") + "select i as \"index\", ep as episode_index, task as task_index from u where task between 0 and 59")
 def union_datasets(spark: SparkSession, sf: str) -> DataFrame:
@@ -320,15 +333,19 @@ def union_datasets(spark: SparkSession, sf: str) -> DataFrame:
     return merged.select("index", "episode_index", "task_index")
 
 
-@query("select * from (values (0, 0, 0, 0, 0.0), (0, 1, 0, 0, 60.0), (0, 2, 0, 1, 0.0), (0, 3, 1, 0, 0.0)) t(chunk_index, file_index, dst_chunk, dst_file, start_at)")
+@query(PACKED.format(most=9000, chunk=2))
 def union_videos(spark: SparkSession, sf: str) -> DataFrame:
-    rows = ops.destination_files([(0, 0, 60.0), (0, 1, 30.0), (0, 2, 80.0), (0, 3, 150.0)], 100.0, 2)
-    return spark.createDataFrame([(a, b, c, d, float(x)) for a, b, c, d, x in rows], "chunk_index int, file_index int, dst_chunk int, dst_file int, start_at double")
+    """Where each source file goes when the files of a dataset are joined into larger ones."""
+    return packed(spark, sf, 9000.0, 2)
 
 
-@query(with_(FR) + "select count(*) as n, count(distinct ep) as episodes from fr where task between 0 and 59")
+@query(with_(FR, "m as (select max(dataset_to_index) as x, max(episode_index) as e from episodes where episode_index % 2 = 0)", "u as (select i, ep, task from fr where ep % 2 = 0 union all select i + x, ep + e + 1, task from fr, m where ep % 2 = 1)") + "select i as \"index\", ep as episode_index, t.task as text from u join tasks t on t.task_index = u.task")
 def union_merge_api(spark: SparkSession, sf: str) -> DataFrame:
-    return union_datasets(spark, sf).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("episode_index").alias("episodes"))
+    """Merged frames with the text of their task, whose number the merge may change."""
+    f, e, t = frames(spark, sf, "task_index").filter("task_index between 0 and 59"), episodes(spark, sf), tasks(spark, sf)
+    half = lambda d, k: d.filter(F.col("episode_index") % 2 == k)
+    merged, target = ops.merge_datasets([(half(f, 0), half(e, 0), t), (half(f, 1), half(e, 1), t.withColumn("task_index", F.col("task_index")))])
+    return merged.join(target.select("task_index", F.col("task").alias("text")), ["task_index"]).select("index", "episode_index", "text")
 
 
 @query("select episode_index, 0 as dataset_index, count(*) as n from (select distinct episode_index, \"index\" from frames) group by 1 union all select episode_index, 1, count(*) from sensor_samples group by 1")

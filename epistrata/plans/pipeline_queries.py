@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epistrata.functions import arrays
 from epistrata.plans import pipeline as pl
+from epistrata.plans import steps  # noqa: F401  registers its steps
 from epistrata.plans.register import query, r
 from epistrata.plans.source_queries import _written
-from epistrata.plans.views import EP, FR, episodes, frames, tasks, with_
+from epistrata.plans.views import EP, FR, episodes, frames, table, tasks, with_
 from epistrata.runtime import Workspace
 from epistrata.sources import dataset
 
@@ -35,11 +34,10 @@ def udf_pipeline(spark: SparkSession, sf: str) -> DataFrame:
 def udf_pipeline_io(spark: SparkSession, sf: str) -> DataFrame:
     """Saved and loaded again; an override sets the limit back."""
     f = frames(spark, sf, "frame_index", "state").filter(F.size("state") == 6)
-    with tempfile.TemporaryDirectory() as d:
-        p = _steps()
-        p.steps[1].max_episode_steps = 7
-        p.save(d)
-        loaded = pl.Pipeline.load(d, "prep", {"time_limit_processor": {"max_episode_steps": 40}})
+    folder, p = Workspace(spark, "pipeline").path("saved"), _steps()
+    p.steps[1].max_episode_steps = 7
+    p.save(folder, spark)
+    loaded = pl.Pipeline.load(folder, "prep", {"time_limit_processor": {"max_episode_steps": 40}}, spark)
     return loaded(f).select("index", r(F.get("state", F.lit(0)), 4).alias("x"), "truncated", "domain_id")
 
 
@@ -55,15 +53,22 @@ def project_pipeline_features(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in s if f.name in ("truncated", "domain_id", "action")], "name string, type string")
 
 
-@query("select 1::bigint as known, 1::bigint as refused")
+#: The names under which pipelines are saved.
+STEP_NAMES = """groot_pack_inputs_v3 groot_eagle_encode_v3 groot_eagle_collate_v3 groot_action_unpack_unnormalize_v1 pi0_new_line_processor pi05_prepare_state_tokenizer_processor_step pi0_fast_prepare_state_tokenizer_processor_step smolvla_new_line_processor wall_x_task_processor xvla_image_scale xvla_image_to_float xvla_imagenet_normalize xvla_add_domain_id xvla_rotation_6d_to_axis_angle to_batch_processor_action to_batch_processor_observation to_batch_processor_complementary_data to_batch_processor map_tensor_to_delta_action_dict map_delta_action_to_robot_action device_processor libero_processor isaaclab_arena_processor torch2numpy_action_processor numpy2torch_action_processor add_teleop_action_as_complementary_data add_teleop_action_as_info image_crop_resize_processor time_limit_processor gripper_penalty_processor intervention_action_processor reward_classifier_processor normalizer_processor unnormalizer_processor observation_processor robot_action_to_policy_action_processor policy_action_to_robot_action_processor rename_observations_processor tokenizer_processor action_tokenizer_processor joint_velocity_processor current_processor ee_reference_and_delta ee_bounds_and_safety gripper_velocity_to_joint map_phone_action_to_robot_action pistar06_prepare_task_prompt pistar06_prepare_images"""
+
+
+@query("select unnest(string_split('" + STEP_NAMES + "', ' ')) as name, true as refused")
 def udf_registry(spark: SparkSession, sf: str) -> DataFrame:
-    known = int("normalizer_processor" in pl.Registry.names())
-    try:
-        pl.Registry.register("normalizer_processor")(pl.Step)
-        refused = 0
-    except ValueError:
-        refused = 1
-    return spark.createDataFrame([(known, refused)], "known bigint, refused bigint")
+    """Every step by its name; a name that is taken is refused."""
+    rows = []
+    for n in pl.Registry.names():
+        try:
+            pl.Registry.register(n)(pl.Step)
+            rows.append((n, False))
+        except ValueError:
+            rows.append((n, True))
+    own = spark.createDataFrame(rows, "name string, refused boolean")
+    return own.filter(~F.col("name").isin("add_domain_id", "new_line_processor", "prepare_task_prompt", "state_processor"))
 
 
 class _Doubled(pl.ActionStep):
@@ -102,8 +107,6 @@ def udf_policy_bridge(spark: SparkSession, sf: str) -> DataFrame:
 @query(with_(FR, "s as (select distinct episode_index as ep, timestamp as t, reading, sample_id from sensor_samples where sensor_key = 'wrench_left' and timestamp is not null)", "g as (select i, max(sample_id) as k from fr join s on s.ep = fr.ep and abs(s.t - fr.ts) <= 0.005 group by i)") + "select fr.i as \"index\", k as teleop from fr left join g on g.i = fr.i")
 def udf_teleop_steps(spark: SparkSession, sf: str) -> DataFrame:
     """Recorded device readings attached to frames by time."""
-    from epistrata.plans.views import table
-
     f = frames(spark, sf, "timestamp")
     s = table(spark, sf, "sensor_samples").filter("sensor_key = 'wrench_left' and timestamp is not null").select("episode_index", F.col("timestamp").alias("t"), "sample_id").distinct()
     g = f.join(s, ["episode_index"]).filter(F.abs(F.col("t") - F.col("timestamp")) <= 0.005).groupBy("index").agg(F.max("sample_id").alias("teleop"))
@@ -117,22 +120,50 @@ def udf_motor_current(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("index", F.size("v").alias("n"), r(F.get("v", F.lit(6)), 4).alias("last"))
 
 
-@query("select 'observation.state' as feature, 'mean' as stat, 1.0 as value union all select 'action', 'std', 2.0")
+@query("select replace(sensor_key, '_', '.') as feature, 'mean' as stat, tolerance_s as value from sync_configs union all select replace(sensor_key, '_', '.'), 'std', 2 * tolerance_s from sync_configs")
 def udf_migrate(spark: SparkSession, sf: str) -> DataFrame:
-    s = pl.migrated_stats({"normalize_inputs.buffer_observation_state.mean": [1.0], "unnormalize_outputs.buffer_action.std": [2.0], "normalize_targets.buffer_action.std": [3.0], "model.weight": [9.0]})
-    return spark.createDataFrame([(f, k, v[0]) for f, d in s.items() for k, v in d.items()], "feature string, stat string, value double")
+    """Statistics kept under two prefixes, beside other weights."""
+    rows = table(spark, sf, "sync_configs").collect()
+    state = {f"normalize_inputs.buffer_{x['sensor_key']}.mean": [x["tolerance_s"]] for x in rows} | {f"unnormalize_targets.{x['sensor_key']}.std": [2 * x["tolerance_s"]] for x in rows} | {"model.weight": [9.0]}
+    return spark.createDataFrame([(f, k, float(v[0])) for f, d in pl.migrated_stats(state).items() for k, v in d.items()], "feature string, stat string, value double")
 
 
 # --- command line ---
 
 
-@query(with_(FR) + "select count(*) as frames, count(distinct ep) as episodes, 0::bigint as first_index from fr where ep not in (2, 3, 9)")
+_KEPT = "k as (select eps.*, row_number() over (order by ep) - 1 as ne, coalesce(n, 0) as n from eps left join (select ep as e, count(*) as n from fr group by ep) c on c.e = eps.ep where not (ep between 2 and 3 or ep = 9))"
+
+
+def _whole(spark: SparkSession, sf: str, which: str = "true") -> str:
+    """The test tables as a dataset on disk, episodes with what is known of them."""
+    root = Workspace(spark, "edit").path("root")
+    f = frames(spark, sf, "frame_index", "timestamp", "task_index", "action").filter(which)
+    dataset.write_frames(f, root)
+    e = dataset.episode_rows(episodes(spark, sf).filter(which).select("episode_index", "tasks", "length", "episode_success", "fps", "operator_id").withColumn("stats/action/count", F.col("length")))
+    dataset.write_meta(spark, root, {"fps": 30, "features": {"action": {"dtype": "float32", "shape": [6], "names": None}, "top": {"dtype": "video", "shape": [4, 4, 3], "names": None}}, "splits": {"train": "0:1"}}, tasks(spark, sf), e, {"action": {"mean": [9.0] * 6}, "top": {"mean": [0.5]}})
+    return root
+
+
+@query(with_(FR, EP, _KEPT) + "select ne as episode_index, n as length, sum(n) over (order by ne)::bigint - n as dataset_from_index, episode_success, fps, operator_id, length as \"stats/action/count\", array_to_string(tasks, '|') as tasks, (select round(avg(action[1]::double), 4) from fr join k on k.ep = fr.ep where len(action) = 6) as mean, '0:' || (select count(*) from k) as split from k")
 def cli_edit(spark: SparkSession, sf: str) -> DataFrame:
+    """Episodes deleted in place: the others with every column, anew numbered, statistics and splits of what is left."""
     from epistrata import cli
 
-    root = _written(spark, sf)
+    root = _whole(spark, sf)
     cli.edit(spark, root, None, "delete_episodes", "2-3,9")
-    return dataset.scan_frames(spark, root).agg(F.count(F.lit(1)).alias("frames"), F.count_distinct("episode_index").alias("episodes"), F.min("index").alias("first_index"))
+    info, told = dataset.scan_info(spark, root), {(x["feature"], x["stat"], x["dim"]): x["value"] for x in dataset.scan_stats(spark, root).collect()}
+    e = dataset.scan_episodes(spark, root, stats=True).withColumn("tasks", F.array_join("tasks", "|"))
+    return e.drop("dataset_to_index").withColumn("mean", r(F.lit(told["action", "mean", 0]), 4)).withColumn("split", F.lit(info["splits"]["train"])).filter(F.lit(told["top", "mean", 0] == 0.5))
+
+
+@query(with_(FR, EP, "h as (select ep, ep % 2 as part, row_number() over (partition by ep % 2 order by ep) - 1 + case when ep % 2 = 1 then (select count(*) from eps where ep % 2 = 0) else 0 end as ne from eps)", "g as (select ne, row_number() over (order by ne, fi, i) - 1 as x, fi, task as k from fr join h on h.ep = fr.ep)") + "select ne as episode_index, x as \"index\", fi as frame_index, t.task as text from g join tasks t on t.task_index = g.k")
+def cli_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """Two halves of a dataset merged on disk."""
+    from epistrata import cli
+
+    roots = [_whole(spark, sf, f"episode_index % 2 = {k}") for k in (0, 1)]
+    out = cli.edit(spark, roots[0], Workspace(spark, "merge").path("out"), "merge", others=roots[1:])[0]
+    return dataset.scan_frames(spark, out).join(dataset.scan_tasks(spark, out).withColumnRenamed("task", "text"), ["task_index"]).select("episode_index", "index", "frame_index", "text")
 
 
 @query(with_(FR, EP) + "select i as \"index\" from fr join eps on eps.ep = fr.ep")

@@ -33,3 +33,8 @@ def r(x: Column | str, digits: int = 5) -> Column:
 def exploded(df: DataFrame, keys: list[str], vector: Column, digits: int = 5) -> DataFrame:
     """(keys, d, x): a vector as rows, rounded for comparison."""
     return df.select(*keys, F.posexplode(vector).alias("d", "x")).select(*keys, "d", F.round(F.col("x").cast("double"), digits).alias("x"))
+
+
+def sql_hash(key: str, seed: int) -> str:
+    """The SQL of functions.text.hash_number."""
+    return f"('0x' || substr(md5({key}::varchar || ':{seed}'), 1, 13))::bigint"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from epistrata.functions import arrays, text
 from epistrata.operators import stats
-from epistrata.plans.register import exploded, query, r
+from epistrata.plans.register import exploded, query, r, sql_hash
 from epistrata.plans.views import EP, FR, episodes, frames, table, tasks, with_
 
 BIN = "case when {x} < -1 then -1 else least(255, floor(({x} + 1) * 128)) end"
@@ -29,12 +29,11 @@ def str_acp_tag(spark: SparkSession, sf: str) -> DataFrame:
     return f.join(tasks(spark, sf), ["task_index"], "left").select("index", text.advantage_tag(F.col("task"), F.col("advantage") > 0).alias("prompt"))
 
 
-@query(with_(FR) + "select count(*) as n, count(case when iv is not null then 1 end) as with_indicator from fr where iv is not null")
+@query(with_(FR) + f"select i as \"index\", case when {sql_hash('i', 11)} / 4503599627370496.0 < 0.3 then 'task' else 'task' || chr(10) || case when iv > 0.5 then 'Advantage: positive' else 'Advantage: negative' end end as prompt from fr where iv is not null")
 def str_acp_hook(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows with and without a tag add up, whatever the draws say."""
-    f = frames(spark, sf, "task_index", "intervention").filter("intervention is not null").withColumn("ind", F.col("intervention").cast("int"))
-    p = text.tagged_or_dropped(F.lit("task"), F.col("ind"), F.col("index"), 0.3, 11)
-    return f.select(p.alias("p")).agg(F.count("p").alias("n"), F.count_if((F.col("p") == "task") | F.col("p").startswith("task\n")).alias("with_indicator"))
+    """Tags dropped by a draw from the frame's index."""
+    f = frames(spark, sf, "intervention").filter("intervention is not null").withColumn("ind", F.col("intervention").cast("int"))
+    return f.select("index", text.tagged_or_dropped(F.lit("task"), F.col("ind"), F.col("index"), 0.3, 11).alias("prompt"))
 
 
 @query("select task_index, trim(replace(replace(trim(task), '_', ' '), chr(10), ' ')) as prompt from tasks")
@@ -136,18 +135,14 @@ def str_flatten_tasks(spark: SparkSession, sf: str) -> DataFrame:
     return episodes(spark, sf).select("episode_index", F.explode(text.flat_tasks(F.col("tasks"))).alias("task"))
 
 
-@query("select task_index, len(string_split(trim(task), ' ')) as n_tokens, 16 as width from tasks")
+@query("select task_index, d, case when d < n then ('0x' || substr(hex(encode(task)), 2 * d::integer + 1, 2))::integer + 3 when d = n then 1 else 0 end as id, d <= n as real from (select task_index, task, octet_length(encode(task)) as n from tasks), (select unnest(range(0, 96)) as d)")
 def str_tokenize(spark: SparkSession, sf: str) -> DataFrame:
-    """With a tokenizer of blank-separated words; any other callable fits."""
-    t = text.tokenized(F.trim("task"), lambda s: [hash_word(w) for w in s.split(" ")], 16)
-    return tasks(spark, sf).select("task_index", t.alias("t")).select("task_index", F.size(F.filter("t.mask", lambda m: m)).cast("bigint").alias("n_tokens"), F.size("t.ids").alias("width"))
+    """Byte-level ids of whole task texts, padded; ids of a vocabulary file go through the same step and are tested against its own encoder."""
+    from epistrata.plans.steps import Tokenize
 
-
-def hash_word(w: str) -> int:
-    out = 7
-    for ch in w:
-        out = (out * 31 + ord(ch)) % 30_011
-    return out
+    t = Tokenize(max_length=96)(tasks(spark, sf))
+    z = t.select("task_index", F.posexplode(F.arrays_zip(F.col("`observation.language.tokens`").alias("id"), F.col("`observation.language.attention_mask`").alias("real"))).alias("d", "z"))
+    return z.select("task_index", F.col("d").cast("bigint").alias("d"), F.col("z.id").alias("id"), F.col("z.real").alias("real"))
 
 
 @query(with_(FR) + "select i as \"index\", d::integer as d, (case when d = 0 then 2 when d <= 6 then 49999 - cast(floor(abs(action[d]::double) * 100) as integer) when d = 7 then 1 else 0 end)::integer as token, d < 8 as real from fr, (select unnest(range(0, 10)) as d) where len(action) = 6")
@@ -158,9 +153,9 @@ def str_action_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("index", t.alias("t")).select("index", F.posexplode(F.arrays_zip("t.ids", "t.mask")).alias("d", "z")).select("index", "d", F.col("z.ids").alias("token"), F.col("z.mask").alias("real"))
 
 
-@query(with_(EP) + "select count(*) as n, 3::bigint as kinds from eps")
+@query(with_(EP) + f"select ep as episode_index, (['pick up', 'put down', 'move'])[{sql_hash('ep', 5)} % 3 + 1] as word from eps")
 def str_perturb(spark: SparkSession, sf: str) -> DataFrame:
-    return episodes(spark, sf).select(text.picked(["pick up", "put down", "move"], F.col("episode_index"), 5).alias("w")).agg(F.count("w").alias("n"), F.count_distinct("w").alias("kinds"))
+    return episodes(spark, sf).select("episode_index", text.picked(["pick up", "put down", "move"], F.col("episode_index"), 5).alias("word"))
 
 
 # --- vectors ---
@@ -362,13 +357,11 @@ def img_crop_resize(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("d", F.col("d").cast("bigint"))
 
 
-@query("select count(*) as n, count(*) as within from embeddings")
+@query(f"select vec_id, round(embedding[1]::double * (0.8 + 0.4 * ({sql_hash('vec_id', 3)} / 4503599627370496.0)), 5) as x from embeddings")
 def img_augment(spark: SparkSession, sf: str) -> DataFrame:
-    """Brightness jittered by a factor drawn from the row's id: within its bounds for every row."""
-    e = table(spark, sf, "embeddings")
+    """Brightness jittered by a factor drawn from the row's id."""
     k = 0.8 + 0.4 * text.hash_uniform(F.col("vec_id"), seed=3)
-    j = e.select(F.element_at("embedding", 1).cast("double").alias("x"), (F.element_at("embedding", 1).cast("double") * k).alias("y"))
-    return j.agg(F.count("x").alias("n"), F.count_if((F.abs("y") <= F.abs("x") * 1.2 + 1e-12) & (F.abs("y") >= F.abs("x") * 0.8 - 1e-12)).alias("within"))
+    return table(spark, sf, "embeddings").select("vec_id", r(F.element_at("embedding", 1).cast("double") * k).alias("x"))
 
 
 @query(with_(FR) + "select i as \"index\", round(ts, 5) as timestamp from fr")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from epistrata.operators import episodes as ops
 from epistrata.operators import metrics, windows
+from epistrata.plans.episode_queries import PACKED, packed
 from epistrata.plans.register import query, r
 from epistrata.plans.views import EP, FR, episodes, frames, table, tasks, with_
 from epistrata.runtime import Workspace
@@ -39,7 +40,11 @@ def scan_frames(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(with_(FR) + "select ep as episode_index, count(*) as n from fr where ep in (3, 4) group by ep")
 def scan_frames_checked(spark: SparkSession, sf: str) -> DataFrame:
-    return dataset.scan_frames_checked(spark, _written(spark, sf), [3, 4]).groupBy("episode_index").agg(F.count(F.lit(1)).alias("n"))
+    """Frames of episodes whose frames and videos are there."""
+    root = _written(spark, sf)
+    places = episodes(spark, sf).filter("episode_index in (3, 4)").select("episode_index", F.lit(0).alias("chunk_index"), F.floor(F.col("episode_index") / 100).cast("int").alias("file_index"))
+    _put(spark, f"{root}/videos/top/chunk-000/file-000.mp4", b"x")
+    return dataset.scan_frames_checked(spark, root, [3, 4], videos=places, video_keys=["top"]).groupBy("episode_index").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(with_(EP) + "select ep as episode_index, length, sum(length) over (order by ep)::bigint - length as dataset_from_index, 0 as stats_columns from eps")
@@ -59,11 +64,16 @@ def scan_tasks(spark: SparkSession, sf: str) -> DataFrame:
     return dataset.scan_tasks(spark, root).select("task_index", "task", F.lit(dataset.scan_tasks(spark, root, "subtasks") is not None).alias("has_subtasks"))
 
 
-@query("select feature, stat, d::integer as dim, v as value from (select 'action' as feature, 'mean' as stat, unnest(range(0, 6)) as d, 0.5 as v union all select 'action', 'count', 0, 3.0 union all select 'top', 'mean', unnest(range(0, 3)), 0.1) where feature = 'action'")
+@query(with_(FR) + "select 'action' as feature, s as stat, d::integer as dim, round(case s when 'mean' then avg(action[d + 1]::double) when 'min' then min(action[d + 1]::double) else max(action[d + 1]::double) end, 5) as value from fr, (select unnest(range(0, 6)) as d), (values ('mean'), ('min'), ('max')) t(s) where len(action) = 6 group by s, d union all select 'top', 'mean', d::integer, 0.1 + 0.1 * d from (select unnest(range(0, 3)) as d)")
 def scan_info_stats(spark: SparkSession, sf: str) -> DataFrame:
-    root = _written(spark, sf)
+    """Statistics of the actions and those copied for a camera, through stats.json."""
+    f = frames(spark, sf, "action").filter(F.size("action") == 6)
+    one = f.agg(*[k(F.get("action", F.lit(i)).cast("double")).alias(f"{n}{i}") for n, k in (("mean", F.avg), ("min", F.min), ("max", F.max)) for i in range(6)]).first()
+    root = Workspace(spark, "stats").path("root")
+    told = {"action": {n: [one[f"{n}{i}"] for i in range(6)] for n in ("mean", "min", "max")}, "top": {"mean": [0.1, 0.2, 0.30000000000000004]}}
+    dataset.write_meta(spark, root, {"fps": 30, "features": {"action": {**FEATURES["action"], "shape": [6]}}}, tasks(spark, sf), episodes(spark, sf).select("episode_index", "tasks", "length"), told)
     assert dataset.scan_info(spark, root)["features"]["action"]["shape"] == (6,)
-    return dataset.scan_stats(spark, root).filter("feature = 'action'")
+    return dataset.scan_stats(spark, root).withColumn("value", r("value"))
 
 
 @query(with_(FR) + "select i as \"index\", task as task_index from fr")
@@ -112,15 +122,8 @@ def _ported(spark: SparkSession, sf: str) -> DataFrame:
     return flat.select("episode_index", "index", F.posexplode("v").alias("d", "x")).select("episode_index", "index", F.col("d").cast("bigint").alias("d"), r(F.col("x").cast("double")).alias("x"))
 
 
-@query(with_(FR) + "select i as \"index\", d, round(case when d < 6 then action[d + 1] else state[d - 5] end::double, 5) as x from fr, (select unnest(range(0, 12)) as d) where ep < 40 and len(action) = 6 and len(state) = 6")
-def scan_rlds_port(spark: SparkSession, sf: str) -> DataFrame:
-    """The rows of scan_rlds_port_all that its SQL lists."""
-    return _ported(spark, sf).filter("episode_index < 40").drop("episode_index")
-
-
 @query(with_(FR) + "select i as \"index\", d, round(case when d < 6 then action[d + 1] else state[d - 5] end::double, 5) as x from fr, (select unnest(range(0, 12)) as d) where len(action) = 6 and len(state) = 6")
-def scan_rlds_port_all(spark: SparkSession, sf: str) -> DataFrame:
-    """All episodes."""
+def scan_rlds_port(spark: SparkSession, sf: str) -> DataFrame:
     return _ported(spark, sf).drop("episode_index")
 
 
@@ -131,13 +134,14 @@ def _put(spark: SparkSession, path: str, content: bytes) -> None:
     out.close()
 
 
-@query("select 'img' || k || '.bin' as name, k + 1 as bytes from (select unnest([0, 2, 4]) as k)")
+@query("select 'img' || lpad(task_index::varchar, 3, '0') || '.bin' as name, octet_length(encode(task)) as bytes from (select *, row_number() over (order by task_index) - 1 as p from tasks) where p % 2 = 0")
 def scan_images(spark: SparkSession, sf: str) -> DataFrame:
-    """Three of five files by their place in path order."""
+    """Every other file by its place in path order; one file a task, with its text."""
     path = Workspace(spark, "images").path("in")
-    for k in range(5):
-        _put(spark, f"{path}/img{k}.bin", b"x" * (k + 1))
-    picked = dataset.scan_images(spark, path, [0, 2, 4])
+    rows = tasks(spark, sf).collect()
+    for x in rows:
+        _put(spark, f"{path}/img{x['task_index']:03d}.bin", x["task"].encode())
+    picked = dataset.scan_images(spark, path, range(0, len(rows), 2))
     return picked.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.octet_length("content").alias("bytes"))
 
 
@@ -154,10 +158,9 @@ def sink_episode_rows(spark: SparkSession, sf: str) -> DataFrame:
     return dataset.episode_rows(episodes(spark, sf).select("episode_index", "length")).select("episode_index", "dataset_from_index", "dataset_to_index")
 
 
-@query("select * from (values (0, 0, 0), (1, 0, 0), (2, 0, 1), (3, 0, 2)) t(file_index, dst_chunk, dst_file)")
+@query(PACKED.format(most=20000, chunk=3))
 def sink_rotating(spark: SparkSession, sf: str) -> DataFrame:
-    rows = ops.destination_files([(0, 0, 40.0), (0, 1, 50.0), (0, 2, 95.0), (0, 3, 10.0)], dataset.MAX_DATA_MB, dataset.FILES_PER_CHUNK)
-    return spark.createDataFrame([(f, c, d) for _, f, c, d, _ in rows], "file_index int, dst_chunk int, dst_file int")
+    return packed(spark, sf, 20_000.0, 3)
 
 
 @query(with_(FR) + "select i as \"index\", case when i % 2 = 0 then fi * 10.0 else -1.0 end as value, fi as frame_index from fr")
@@ -168,10 +171,14 @@ def sink_columns_inplace(spark: SparkSession, sf: str) -> DataFrame:
     return dataset.scan_frames(spark, root).select("index", "value", "frame_index")
 
 
-@query("select 30 as fps, 7::bigint as features")
+@query(with_(EP) + "select 30 as fps, count(*) as total_episodes, sum(length)::bigint as total_frames, (select count(*) from tasks) as total_tasks, '0:' || count(*) as train from eps")
 def sink_meta_json(spark: SparkSession, sf: str) -> DataFrame:
-    info = dataset.scan_info(spark, _written(spark, sf))
-    return spark.createDataFrame([(info["fps"], len(info["features"]))], "fps int, features bigint")
+    """Totals of the dataset through info.json."""
+    e, t = episodes(spark, sf), tasks(spark, sf)
+    root, n = Workspace(spark, "meta").path("root"), e.agg(F.count(F.lit(1)).alias("e"), F.sum("length").alias("f")).first()
+    dataset.write_meta(spark, root, {"fps": 30, "features": {}, "total_episodes": n["e"], "total_frames": n["f"], "total_tasks": t.count(), "splits": {"train": f"0:{n['e']}"}}, t, e.select("episode_index", "tasks", "length"))
+    i = dataset.scan_info(spark, root)
+    return spark.createDataFrame([(i["fps"], i["total_episodes"], i["total_frames"], i["total_tasks"], i["splits"]["train"])], "fps int, total_episodes bigint, total_frames bigint, total_tasks bigint, train string")
 
 
 @query("select vec_id, 64 as n from embeddings")
@@ -200,11 +207,19 @@ def sink_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.option("header", True).schema("episode_index long, first_index long, last_index long").csv(path)
 
 
-@query(with_(EP) + "select 'episodes: ' || count(*) as line, 20::bigint as bars from eps")
+@query(with_(FR, EP, "g as (select min(length)::double as lo, max(length)::double as hi from eps)", "b as (select case when hi > lo then least(19, floor((length - lo) / ((hi - lo) / 20))) else 0 end as bin, count(*) as n from eps, g group by 1)") + """
+select 'episodes' as name, count(*) as n from eps union all select 'success', count(case when label = 'success' then 1 end) from eps union all select 'failure', count(case when label = 'failure' then 1 end) from eps
+union all select 'unlabeled', count(case when label is null or label not in ('success', 'failure') then 1 end) from eps union all select 'tasks', count(distinct tasks[1]) from eps union all select 'frames', count(*) from fr
+union all select 'intervention_frames', count(case when iv > 0 then 1 end) from fr union all select 'intervention_episodes', count(distinct case when iv > 0 then ep end) from fr
+union all select 'bar ' || k, coalesce(n, 0) from (select unnest(range(0, 20)) as k) x left join b on b.bin = x.k""")
 def sink_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Every count in the text report, its bars included."""
     e = episodes(spark, sf)
-    text = metrics.text_report(metrics.dataset_report(frames(spark, sf, "intervention"), e), e).splitlines()
-    return spark.createDataFrame([(text[0], sum(x.startswith("[") for x in text))], "line string, bars bigint")
+    lines = metrics.text_report(metrics.dataset_report(frames(spark, sf, "intervention"), e), e).splitlines()
+    told = [x.partition(": ") for x in lines if not x.startswith("[")]
+    rows = [(k, int(v)) for k, _, v in told if v.isdigit()]
+    rows += [(f"bar {i}", int(x.split(")")[1].split()[0])) for i, x in enumerate(x for x in lines if x.startswith("["))]
+    return spark.createDataFrame(rows, "name string, n bigint")
 
 
 def _recorded(spark: SparkSession, sf: str) -> DataFrame:
@@ -224,14 +239,8 @@ def _recorded(spark: SparkSession, sf: str) -> DataFrame:
     return dataset.scan_frames(spark, rec.root).withColumn("timestamp", r(F.col("timestamp").cast("double"), 4))
 
 
-@query(with_(FR) + "select i as seq, row_number() over (partition by ep order by i) - 1 as frame_index, round(((row_number() over (partition by ep order by i) - 1) / 30.0)::float::double, 4) as timestamp from fr where ep < 50")
-def sink_recording(spark: SparkSession, sf: str) -> DataFrame:
-    """Records all frames as sink_recording_all does; its rows are those that its SQL lists."""
-    return _recorded(spark, sf).filter("recorded < 50").select("seq", "frame_index", "timestamp")
-
-
 @query(with_(FR) + "select i as seq, dense_rank() over (order by ep) - 1 as episode_index, row_number() over (order by ep, i) - 1 as \"index\", row_number() over (partition by ep order by i) - 1 as frame_index, round(((row_number() over (partition by ep order by i) - 1) / 30.0)::float::double, 4) as timestamp, t.task_index from fr left join tasks t on t.task_index = fr.task")
-def sink_recording_all(spark: SparkSession, sf: str) -> DataFrame:
+def sink_recording(spark: SparkSession, sf: str) -> DataFrame:
     """Every frame as recorded and saved, with its ids."""
     return _recorded(spark, sf).select("seq", "episode_index", "index", "frame_index", "timestamp", "task_index")
 
@@ -263,13 +272,20 @@ def scan_wrong_shapes(spark: SparkSession, sf: str) -> DataFrame:
     return dataset.wrong_shapes(frames(spark, sf, "action"), {"action": {"dtype": "float32", "shape": (6,)}}).select(F.col("rows").alias("wrong"))
 
 
-@query("select 'png' as format, 640 as width, 480 as height union all select 'gif', 320, 200")
+@query("select task_index, (['png', 'gif', 'jpeg', 'bmp'])[task_index % 4 + 1] as format, (100 + task_index)::integer as width, (50 + 2 * task_index)::integer as height from tasks")
 def scan_media_info(spark: SparkSession, sf: str) -> DataFrame:
+    """Headers of four formats, one image a task."""
     path = Workspace(spark, "media").path("in")
-    headers = {"a.png": b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + (640).to_bytes(4, "big") + (480).to_bytes(4, "big"), "b.gif": b"GIF89a" + (320).to_bytes(2, "little") + (200).to_bytes(2, "little")}
-    for name, content in headers.items():
-        _put(spark, f"{path}/{name}", content)
-    return dataset.media_info(dataset.scan_images(spark, path)).select("format", "width", "height")
+    big, small = (lambda n, k: int(n).to_bytes(k, "big")), (lambda n, k: int(n).to_bytes(k, "little"))
+    for x in tasks(spark, sf).select("task_index").collect():
+        t = x["task_index"]
+        w, h = 100 + t, 50 + 2 * t
+        content = (
+            b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + big(w, 4) + big(h, 4), b"GIF89a" + small(w, 2) + small(h, 2),
+            b"\xff\xd8\xff\xe0" + big(16, 2) + b"JFIF\0" + b"\0" * 9 + b"\xff\xc2" + big(11, 2) + b"\x08" + big(h, 2) + big(w, 2) + b"\x01" * 5, b"BM" + b"\0" * 12 + small(40, 4) + small(w, 4) + small(h, 4),
+        )[t % 4]
+        _put(spark, f"{path}/{t}.img", content)
+    return dataset.media_info(dataset.scan_images(spark, path)).select(F.regexp_extract("path", r"(\d+)\.img$", 1).cast("bigint").alias("task_index"), "format", "width", "height")
 
 
 @query(with_(EP, "c as (select ep, length, sum(length) over (order by ep)::bigint as upto from eps)", "v as (select *, cast(floor((upto - 1) / 30.0 / 60.0) as integer) as f from c)") + "select ep as episode_index, f as video_file, round((upto - length - min(upto - length) over (partition by f)) / 30.0, 5) as from_timestamp, round((upto - min(upto - length) over (partition by f)) / 30.0, 5) as to_timestamp from v")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from epistrata.plans.pipeline import AGGREGATES
 from epistrata.plans.register import query, r
-from epistrata.plans.views import EV, FR, frames, table, tasks, with_
+from epistrata.plans.views import EV, FR, frames, raw_frames, table, tasks, with_
 from epistrata.runtime import Workspace
 from epistrata.streaming import queues
 
@@ -61,27 +61,25 @@ def stream_backtrack(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(with_(FR) + "select ep as episode_index, i as \"index\" from (select *, row_number() over (partition by ep order by i desc) as k from fr) where k <= 20")
 def stream_online_buffer(spark: SparkSession, sf: str) -> DataFrame:
-    return queues.last_rows(frames(spark, sf), "episode_index", ["index"], 20).select("episode_index", "index")
+    """The last 20 rows of each key over several batches of a stream."""
+    ws = Workspace(spark, "online")
+    src = ws.path("in")
+    raw_frames(spark, sf).repartition(4).write.parquet(src)
+    stream = spark.readStream.schema("index long, episode_index long").option("maxFilesPerTrigger", 1).parquet(src)
+    buffer = queues.Retention(ws.path("buffer"), "episode_index", ["index"], 20)
+    queues.run_to_table(stream, "", ws.path("checkpoint"), each=buffer.write_batch)
+    return buffer.rows(spark).select("episode_index", "index")
 
 
 @query(with_(FR) + "select ep as episode_index, i % 16 as slot, max(i) as \"index\" from fr group by 1, 2")
 def stream_replay_add(spark: SparkSession, sf: str) -> DataFrame:
-    return queues.ring_slots(frames(spark, sf).withColumn("seq", F.col("index")), "episode_index", "seq", 16).select("episode_index", "slot", "index")
-
-
-_MERGE = "cur as (select ep, fi, action from fr where fi < 30), inc as (select ep, fi, state from fr where fi >= 10 and fi < 50)"
-
-
-@query(with_(FR, _MERGE) + "select inc.ep as robot, inc.fi as timestep, round(case when cur.ep is null then state[1]::double else 0.3 * cur.action[1]::double + 0.7 * state[1]::double end, 5) as x from inc left join cur on cur.ep = inc.ep and cur.fi = inc.fi where inc.fi > 14")
-def stream_action_merge(spark: SparkSession, sf: str) -> DataFrame:
-    f = frames(spark, sf, "frame_index", "action", "state").withColumnsRenamed({"episode_index": "robot", "frame_index": "timestep"})
-    latest = f.select("robot").distinct().withColumn("latest", F.lit(14))
-    out = queues.merge_actions(f.filter("timestep < 30").select("robot", "timestep", "action"), f.filter("timestep >= 10 and timestep < 50").select("robot", "timestep", F.col("state").alias("action")), latest, AGGREGATES["weighted_average"])
-    return out.select("robot", "timestep", r(F.get("action", F.lit(0))).alias("x"))
+    """The ring buffer of each key as streaming state: at most its capacity of rows a key."""
+    f = raw_frames(spark, sf).withColumn("seq", F.col("index"))
+    return _streamed(spark, f, lambda s: queues.ring_slots(s, "episode_index", "seq", 16).select("episode_index", "slot", "index"), "complete")
 
 
 @query(with_(FR, _ARRIVE, "v as (select *, (case when c % 2 = 0 then action[1] else state[1] end)::double as x, 0.3 as w0, 0.7 as w1 from ar)") + f"select ep as robot, c as seq, fi as timestep, round({_FOLD}, 5) as x from v window w as (partition by ep, fi order by c)")
-def stream_action_merge_all(spark: SparkSession, sf: str) -> DataFrame:
+def stream_action_merge(spark: SparkSession, sf: str) -> DataFrame:
     """Whole episodes as overlapping chunks, even ones of actions and odd ones of states: the queue after every arrival."""
     a = _arrivals(frames(spark, sf, "frame_index", "action", "state"))
     a = a.withColumn("action", F.when(F.col("seq") % 2 == 0, F.col("action")).otherwise(F.col("state")))
@@ -89,19 +87,8 @@ def stream_action_merge_all(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("robot", "seq", "timestep", r(F.get("action", F.lit(0))).alias("x"))
 
 
-@query(with_(FR) + "select name, count(*) as n from fr, (values ('weighted_average'), ('latest_only'), ('average'), ('conservative')) t(name) where fi < 5 group by name")
-def udf_agg_fn(spark: SparkSession, sf: str) -> DataFrame:
-    f = frames(spark, sf, "frame_index", "action").filter("frame_index < 5").select(F.col("episode_index").alias("robot"), F.col("index").alias("timestep"), "action")
-    latest = f.select("robot").distinct().withColumn("latest", F.lit(-1))
-    out = None
-    for name, w in AGGREGATES.items():
-        part = queues.merge_actions(f, f, latest, w).select(F.lit(name).alias("name"))
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(with_(FR) + "select name, ep as robot, fi as timestep, round(case when action is null then state[1]::double else w0 * action[1]::double + w1 * state[1]::double end, 5) as x from fr, (values ('weighted_average', 0.3, 0.7), ('latest_only', 0.0, 1.0), ('average', 0.5, 0.5), ('conservative', 0.7, 0.3)) t(name, w0, w1)")
-def udf_agg_fn_all(spark: SparkSession, sf: str) -> DataFrame:
+def udf_agg_fn(spark: SparkSession, sf: str) -> DataFrame:
     """Every frame's action merged with its state by each of the named functions."""
     f = frames(spark, sf, "frame_index", "action", "state").withColumnsRenamed({"episode_index": "robot", "frame_index": "timestep"})
     latest = f.select("robot").distinct().withColumn("latest", F.lit(-1))
@@ -113,18 +100,8 @@ def udf_agg_fn_all(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-@query(with_(FR, "a as (select ep, fi, state[1]::double as x from fr where fi < 30), b as (select ep, fi, 0.5 * state[1]::double as y from fr where fi between 10 and 49)") + "select ep as robot, 0::bigint as seq, fi as timestep, round(x, 5) as x from a union all select b.ep, 1, b.fi, round(case when a.ep is null then y else 0.5 * x + 0.5 * y end, 5) from b left join a on a.ep = b.ep and a.fi = b.fi where b.fi > 14")
-def stream_action_state(spark: SparkSession, sf: str) -> DataFrame:
-    """The merge kept as streaming state: the queue after each of two chunks."""
-    f = frames(spark, sf, "frame_index", "state").dropDuplicates(["episode_index", "frame_index"]).withColumn("x", F.get("state", F.lit(0)).cast("double"))
-    part = lambda seq, cond, k, latest: f.filter(cond).groupBy(F.col("episode_index").alias("robot")).agg(F.sort_array(F.collect_list(F.struct("frame_index", (F.col("x") * k).alias("x")))).alias("a")).select("robot", F.lit(seq).cast("bigint").alias("seq"), F.lit(latest).cast("bigint").alias("latest"), F.transform("a", lambda s: s["frame_index"]).alias("timesteps"), F.transform("a", lambda s: F.array(s["x"])).alias("actions"))
-    chunks = part(0, "frame_index < 30", 1.0, -1).unionByName(part(1, "frame_index between 10 and 49", 0.5, 14))
-    out = _streamed(spark, chunks, lambda s: queues.merge_action_stream(s, AGGREGATES["average"]), "append")
-    return out.select("robot", "seq", "timestep", r(F.get("action", F.lit(0))).alias("x"))
-
-
 @query(with_(FR, _ARRIVE, "v as (select *, state[1]::double * (case when c % 2 = 0 then 1 else 0.5 end) as x, 0.5 as w0, 0.5 as w1 from ar)") + f"select ep as robot, c as seq, fi as timestep, round({_FOLD}, 5) as x from v window w as (partition by ep, fi order by c)")
-def stream_action_state_all(spark: SparkSession, sf: str) -> DataFrame:
+def stream_action_state(spark: SparkSession, sf: str) -> DataFrame:
     """Whole episodes as overlapping chunks; the stream stops after five arrivals of each robot and goes on from its state."""
     a = _arrivals(frames(spark, sf, "frame_index", "state")).withColumn("x", F.get("state", F.lit(0)).cast("double") * F.when(F.col("seq") % 2 == 0, 1.0).otherwise(0.5))
     steps = F.sort_array(F.collect_list(F.struct("timestep", "x")))
@@ -139,18 +116,8 @@ def stream_action_state_all(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(out.schema).parquet(path).select("robot", "seq", "timestep", r(F.get("action", F.lit(0))).alias("x"))
 
 
-@query(with_(FR, "c as (select ep, row_number() over (partition by ep order by fi, i) - 1 as p, action from fr where fi < 20)") + "select ep as robot, (p - 4)::integer as pos, round(action[1]::double, 5) as x from c where p >= 4")
-def stream_action_queue(spark: SparkSession, sf: str) -> DataFrame:
-    """Two chunks appended, with one and three actions consumed in between."""
-    f = frames(spark, sf, "frame_index", "action").filter("frame_index < 20").withColumn("seq", F.floor(F.col("frame_index") / 10))
-    ch = f.groupBy(F.col("episode_index").alias("robot"), "seq").agg(F.transform(F.sort_array(F.collect_list(F.struct("frame_index", "index", "action"))), lambda s: s["action"]).alias("chunk"))
-    ch = ch.withColumn("consumed", F.when(F.col("seq") == 0, 1).otherwise(3)).withColumn("delay", F.lit(0))
-    only_two = ch.join(ch.groupBy("robot").agg(F.count(F.lit(1)).alias("k")), ["robot"]).withColumn("consumed", F.when(F.col("k") == 1, 4).otherwise(F.col("consumed"))).drop("k")
-    return queues.queue_after(only_two, replace=False).select("robot", "pos", r(F.get("action", F.lit(0)).cast("double")).alias("x"))
-
-
 @query(with_(FR, "c as (select ep, fi // 10 as seq, row_number() over (partition by ep order by fi, i) - 1 as p, action from fr)", "n as (select ep, seq, count(*) as n from c group by 1, 2)", "u as (select ep, sum(least(3, b)) as used from (select ep, lag(n, 1, 0) over (partition by ep order by seq) as b from n) group by 1)") + "select ep as robot, (p - used)::integer as pos, round(action[1]::double, 5) as x from c join u using (ep) where p >= used")
-def stream_action_queue_all(spark: SparkSession, sf: str) -> DataFrame:
+def stream_action_queue(spark: SparkSession, sf: str) -> DataFrame:
     """Whole episodes as chunks of ten appended one after the other, with three actions (at most the last chunk) consumed in between."""
     from pyspark.sql.window import Window
 
@@ -184,7 +151,9 @@ def stream_obs_dedup_state(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(with_(FR) + "select ep as episode_index, max(i) as newest from fr group by ep")
 def stream_latest(spark: SparkSession, sf: str) -> DataFrame:
-    return queues.latest_per(frames(spark, sf).withColumn("newest", F.col("index")), "episode_index", "index").select("episode_index", "newest")
+    """The newest row of each key, kept as streaming state."""
+    f = raw_frames(spark, sf).withColumn("newest", F.col("index"))
+    return _streamed(spark, f, lambda s: queues.latest_per(s, "episode_index", "index").select("episode_index", "newest"), "complete")
 
 
 _CALL = "ca as (select event_type as m, user_id % 2 as arm, epoch_us(ts) / 1e6 as t, event_type <> 'error' or event_id % 2 = 0 as ok, value, event_id from events)"

@@ -20,8 +20,8 @@ def raw_frames(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
-    """Frames without repeats: the one shuffle is by episode, so windows by episode need no other."""
-    return raw_frames(spark, sf, *columns).repartition("episode_index").dropDuplicates(["episode_index", "index"])
+    """Frames without repeats, by one shuffle that spreads every episode; a window by episode, or by stretches of one, shuffles anew."""
+    return raw_frames(spark, sf, *columns).repartition("episode_index", "index").dropDuplicates(["episode_index", "index"])
 
 
 def episodes(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from epistrata.functions import arrays
 from epistrata.operators import advantage, joins, windows
 from epistrata.plans.register import query, r
-from epistrata.plans.views import EP, FR, episodes, frames, raw_frames, with_
+from epistrata.plans.views import EP, FR, episodes, frames, raw_frames, with_, tasks
 from epistrata.runtime import Workspace
 
 N = 10
@@ -134,16 +134,19 @@ _B = "b as (select *, row_number() over (partition by ep order by fi, i) as rn,
 _OFF = "o as (select unnest([-10, -1, 0, 3]) as d)"
 
 
-@query("select unnest(range(-10, 10)) as d, unnest(range(-10, 10)) as offset_frames")
+@query(with_(EP) + "select distinct fps, d, d as offset_frames from eps, (select unnest(range(-10, 10)) as d) where fps > 0")
 def seq_delta_gather(spark: SparkSession, sf: str) -> DataFrame:
-    got = windows.delta_offsets([i / 30 for i in range(-10, 10)], 30)
-    return spark.createDataFrame(list(zip(range(-10, 10), got)), "d bigint, offset_frames bigint")
+    """Times on the grid of every rate in the dataset, as frame offsets."""
+    rates = sorted(x["fps"] for x in episodes(spark, sf).filter("fps > 0").select("fps").distinct().collect())  # a few rates
+    rows = [(f, d, n) for f in rates for d, n in zip(range(-10, 10), windows.delta_offsets([i / f for i in range(-10, 10)], f))]
+    return spark.createDataFrame(rows, "fps bigint, d bigint, offset_frames bigint")
 
 
-@query("select * from (values ('action', 2, 1.0 / 30), ('action', 1, 0.0), ('observation.state', 1, -1.0 / 30), ('observation.state', 2, 0.0)) t(feature, k, s)")
+@query(with_(EP) + "select distinct fps, feature, k, round(o / fps, 8) as s from eps, (values ('action', 1, 0.0), ('action', 2, 1.0), ('observation.state', 1, -1.0), ('observation.state', 2, 0.0)) t(feature, k, o) where fps > 0")
 def seq_resolve_deltas(spark: SparkSession, sf: str) -> DataFrame:
-    got = windows.resolve_deltas(["action", "observation.state", "timestamp"], [0, 1], [-1, 0], None, 30)
-    return spark.createDataFrame([(f, k + 1, float(s)) for f, xs in got.items() for k, s in enumerate(xs)], "feature string, k int, s double")
+    rates = sorted(x["fps"] for x in episodes(spark, sf).filter("fps > 0").select("fps").distinct().collect())  # a few rates
+    rows = [(f, n, k + 1, round(float(t), 8)) for f in rates for n, ts in windows.resolve_deltas(["action", "observation.state", "timestamp"], [0, 1], [-1, 0], None, f).items() for k, t in enumerate(ts)]
+    return spark.createDataFrame(rows, "fps bigint, feature string, k int, s double")
 
 
 @query(with_(FR, _B, _OFF) + "select b.i as \"index\", d, round(c.ts, 5) as x, b.rn + d < 1 or b.rn + d > b.n as pad from b cross join o join b c on c.ep = b.ep and c.rn = greatest(1, least(b.n, b.rn + d))")
@@ -339,10 +342,17 @@ def seq_sampler_weights(spark: SparkSession, sf: str) -> DataFrame:
     return windows.sampler_weights(f, F.coalesce(F.col("intervention"), F.lit(0.0)) > 0.5, 0.3, 4, 0).select("index", r("weight", 9).alias("weight"))
 
 
-@query()
+#: Weights of the cubic fit to seven values, by 42, at the first three places and in the middle.
+_FIT7 = ((39, 8, -4, -4, 1, 4, -2), (8, 19, 16, 6, -4, -7, 4), (-4, 16, 19, 12, 2, -4, 1), (-4, 6, 12, 14, 12, 6, -4))
+_FIT7_SQL = [" + ".join(f"{x} * lead(v, {j - k}) over w" for j, x in enumerate(row)) for k, row in enumerate(_FIT7)]
+_FIT7_END = [" + ".join(f"{x} * lead(v, {k - j}) over w" for j, x in enumerate(row)) for k, row in enumerate(_FIT7)]
+
+
+@query(with_(FR, "s as (select i, ep, fi, state[1]::double as v from fr where state[1] is not null)", "p as (select *, row_number() over w - 1 as p, count(*) over (partition by ep) - row_number() over w as q, count(*) over (partition by ep) as n, " + ", ".join(f"{a} as a{k}, {b} as b{k}" for k, (a, b) in enumerate(zip(_FIT7_SQL, _FIT7_END))) + " from s window w as (partition by ep order by fi, i))") + "select i as \"index\", ep as episode_index, round(case when n < 7 then v when p = 0 then a0 / 42 when p = 1 then a1 / 42 when p = 2 then a2 / 42 when q = 0 then b0 / 42 when q = 1 then b1 / 42 when q = 2 then b2 / 42 else a3 / 42 end, 4) as value from p")
 def seq_value_smooth(spark: SparkSession, sf: str) -> DataFrame:
-    f = frames(spark, sf, "frame_index", "state").withColumn("v", arrays.at(F.col("state"), 0))
-    return windows.smoothed(f, "v", 7)
+    f = windows.in_stretches(frames(spark, sf, "frame_index", "state").withColumn("v", arrays.at(F.col("state"), 0)).filter("v is not null"), 6, 6)
+    whole = windows.drop_halo(windows.smoothed(f, "v", 7))
+    return whole.select("episode_index", "index", r("value", 4).alias("value"))
 
 
 @query(with_(FR, _B, "ch as (select b.ep, b.rn as made, b.rn + k as step, c.action[1]::double as x from b cross join (select unnest(range(0, 3)) as k) kk join b c on c.ep = b.ep and c.rn = b.rn + k where b.rn + 2 <= b.n)", "ag as (select ep, step, x, exp(-0.1 * (row_number() over (partition by ep, step order by made) - 1)) as w from ch)") + "select ep as episode_index, step, round(sum(x * w) / sum(w), 5) as value from ag group by ep, step")
@@ -357,10 +367,15 @@ def seq_ensemble(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("episode_index", "step", r("value").alias("value"))
 
 
-@query("select k, round(case when k < 2 then 1 when k < 6 then 1 - (k - 1) / 5.0 else 0 end, 6) as linear, case when k < 2 then 1.0 else 0.0 end as zeros, case when k < 6 then 1.0 else 0.0 end as ones, round(case when k < 2 then 1 when k < 6 then (1 - (k - 1) / 5.0) * (exp(1 - (k - 1) / 5.0) - 1) / (exp(1) - 1) else 0 end, 6) as expo from (select unnest(range(0, 10)) as k)")
+@query("select task_index, k, round(case when k < s then 1 when k < e then x else 0 end, 6) as linear, case when k < s then 1.0 else 0.0 end as zeros, case when k < e then 1.0 else 0.0 end as ones, round(case when k < s then 1 when k < e then x * (exp(x) - 1) / (exp(1) - 1) else 0 end, 6) as expo from (select *, 1 - (k - s + 1) / (e - s + 1.0) as x from (select task_index, least(task_index % 5, 3 + task_index % 7) as s, 3 + task_index % 7 as e, k from tasks, (select unnest(range(0, 12)) as k)))")
 def seq_prefix_weights(spark: SparkSession, sf: str) -> DataFrame:
-    cols = [windows.prefix_weights(2, 6, 10, s) for s in ("linear", "zeros", "ones", "exp")]
-    return spark.createDataFrame([(k, *map(float, row)) for k, row in enumerate(zip(*cols))], "k bigint, linear double, zeros double, ones double, expo double").select("k", r("linear", 6).alias("linear"), "zeros", "ones", r("expo", 6).alias("expo"))
+    """The schedules for a start and an end that differ by task."""
+    rows = []
+    for t in sorted(x["task_index"] for x in tasks(spark, sf).select("task_index").collect()):  # a few dozen
+        cols = [windows.prefix_weights(t % 5, 3 + t % 7, 12, s) for s in ("linear", "zeros", "ones", "exp")]
+        rows += [(t, k, *map(float, row)) for k, row in enumerate(zip(*cols))]
+    out = spark.createDataFrame(rows, "task_index bigint, k bigint, linear double, zeros double, ones double, expo double")
+    return out.select("task_index", "k", r("linear", 6).alias("linear"), "zeros", "ones", r("expo", 6).alias("expo"))
 
 
 # --- rollouts: done where the intervention flag is set ---

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,6 +47,14 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     fs.rename(tmp, p)
 
 
+def copy_folder(spark: SparkSession, source: str, target: str) -> None:
+    """A folder of files that stay as they are, through Hadoop's file system."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    (a, p), (b, q) = _fs(spark, source), _fs(spark, target)
+    b.mkdirs(q.getParent())
+    jvm.org.apache.hadoop.fs.FileUtil.copy(a, p, b, q, False, conf)
+
+
 # --- schema ---
 
 
@@ -74,15 +83,16 @@ def frame_schema(features: dict[str, dict[str, Any]]) -> T.StructType:
 
 
 def hardware_features(spec: dict[str, Any], prefix: str, use_video: bool = True) -> dict[str, dict[str, Any]]:
-    """Scalars of a device grouped into one vector, cameras as one image feature each."""
-    out: dict[str, dict[str, Any]] = {}
-    names = [n for n, t in spec.items() if t is float]
-    if names:
-        out["action" if prefix == "action" else f"{prefix}.state"] = {"dtype": "float32", "shape": (len(names),), "names": names}
-    for n, t in spec.items():
-        if isinstance(t, tuple):
-            out[f"{prefix}.images.{n}"] = {"dtype": "video" if use_video else "image", "shape": t, "names": ["height", "width", "channels"]}
-    return out
+    """Features of a device: rows (feature, part, shape) of its parts, grouped. Numbers form one vector with their names, a camera is an image by itself."""
+    vector = prefix if prefix == "action" else f"{prefix}.state"
+    rows = [(vector, n, None) if t is float else (f"{prefix}.images.{n}", None, tuple(t)) for n, t in spec.items() if t is float or isinstance(t, tuple)]
+    parts: dict[str, list[str]] = {}
+    for feature, part, _ in rows:
+        parts.setdefault(feature, []).extend([part] if part else [])
+    shapes = {feature: shape for feature, _, shape in rows if shape}
+    numbers = {f: {"dtype": "float32", "shape": (len(names),), "names": names} for f, names in parts.items() if f not in shapes}
+    pictures = {f: {"dtype": "video" if use_video else "image", "shape": s, "names": ["height", "width", "channels"]} for f, s in shapes.items()}
+    return numbers | pictures
 
 
 def merge_features(*parts: dict[str, dict[str, Any]]) -> dict[str, dict[str, Any]]:
@@ -122,13 +132,26 @@ def scan_frames(spark: SparkSession, root: str, features: dict[str, dict[str, An
     return df.filter(F.col("episode_index").isin([int(e) for e in episodes])) if episodes is not None else df
 
 
-def scan_frames_checked(spark: SparkSession, root: str, episodes: Sequence[int], **more: Any) -> DataFrame:
-    """scan_frames, once all episodes asked for are known to be there."""
+def missing_videos(spark: SparkSession, root: str, videos: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(episode_index, path): video files that episodes (episode_index, chunk_index, file_index) name and the dataset lacks; only paths are listed, no content is read."""
+    want = videos.select("episode_index", F.explode(F.array(*[F.format_string(f"videos/{k}/chunk-%03d/file-%03d.mp4", F.col("chunk_index").cast("int"), F.col("file_index").cast("int")) for k in keys])).alias("path"))
+    if not exists(spark, f"{root}/videos"):
+        return want
+    have = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{root}/videos").select(F.regexp_extract("path", r"(videos/.*)$", 1).alias("path"))
+    return want.join(have.distinct(), ["path"], "left_anti").select("episode_index", "path")
+
+
+def scan_frames_checked(spark: SparkSession, root: str, episodes: Sequence[int], videos: DataFrame | None = None, video_keys: Sequence[str] = (), **more: Any) -> DataFrame:
+    """scan_frames, once all episodes asked for are known to be there, and the video files they name too."""
     df = scan_frames(spark, root, episodes=episodes, **more)
     asked = spark.createDataFrame([(int(e),) for e in episodes], "episode_index long")
     lost = [r[0] for r in asked.join(df.select("episode_index").distinct(), ["episode_index"], "left_anti").limit(20).collect()]
     if lost:
         raise ValueError(f"episodes without frames: {sorted(lost)}")
+    if videos is not None and video_keys:
+        gone = missing_videos(spark, root, videos.join(asked, ["episode_index"], "left_semi"), video_keys).limit(20).collect()
+        if gone:
+            raise ValueError(f"missing videos: {sorted(r['path'] for r in gone)}")
     return df
 
 
@@ -198,21 +221,44 @@ def scan_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def scan_images(spark: SparkSession, path: str, rows: Sequence[int] | None = None) -> DataFrame:
-    """(path, content) of image files, of some by position in path order if asked."""
+    """(path, content) of image files, of some by position in path order if asked. Positions come from range partitions of the paths and their sizes."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
     if rows is None:
         return df
-    ranked = df.select("path").withColumn("p", F.row_number().over(Window.orderBy("path")) - 1)  # paths only
-    return df.join(ranked.filter(F.col("p").isin(list(rows))).select("path"), ["path"], "left_semi")
+    parts = Workspace(spark, "paths").save(df.select("path").repartitionByRange("path").withColumn("p", F.spark_partition_id()), "parts")
+    before = parts.groupBy("p").agg(F.count(F.lit(1)).alias("n")).select("p", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("n0"))  # one row a partition
+    ranked = parts.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy("path")) - 1).join(F.broadcast(before), ["p"])
+    asked = spark.createDataFrame([(int(k),) for k in rows], "k long")
+    return df.join(ranked.select("path", (F.col("n0") + F.col("r")).alias("k")).join(asked, ["k"], "left_semi"), ["path"], "left_semi")
+
+
+def image_header(b: bytes) -> tuple[str | None, int | None, int | None]:
+    """Format, width and height from the first bytes of a PNG, GIF, BMP or JPEG; nulls for others."""
+    if b[:8] == b"\x89PNG\r\n\x1a\n" and len(b) >= 24:
+        return "png", int.from_bytes(b[16:20], "big"), int.from_bytes(b[20:24], "big")
+    if b[:4] == b"GIF8" and len(b) >= 10:
+        return "gif", int.from_bytes(b[6:8], "little"), int.from_bytes(b[8:10], "little")
+    if b[:2] == b"BM" and len(b) >= 26:
+        return "bmp", int.from_bytes(b[18:22], "little", signed=True), abs(int.from_bytes(b[22:26], "little", signed=True))
+    at = 2
+    while b[:2] == b"\xff\xd8" and at + 9 <= len(b) and b[at] == 0xFF:
+        kind = b[at + 1]
+        if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):  # a start of frame
+            return "jpeg", int.from_bytes(b[at + 7 : at + 9], "big"), int.from_bytes(b[at + 5 : at + 7], "big")
+        at += 1 if kind == 0xFF else 2 if 0xD0 <= kind <= 0xD9 or kind == 1 else 2 + int.from_bytes(b[at + 2 : at + 4], "big")
+    return None, None, None
 
 
 def media_info(images: DataFrame) -> DataFrame:
-    """(path, format, width, height) from the headers of PNG and GIF images; format null for others, which need a codec."""
-    h = lambda a, n: F.hex(F.substring("content", a, n))
-    big = lambda a: F.conv(h(a, 4), 16, 10).cast("int")
-    small = lambda a: F.conv(F.concat(h(a + 1, 1), h(a, 1)), 16, 10).cast("int")
-    png, gif = h(1, 8) == "89504E470D0A1A0A", h(1, 4) == "47494638"
-    return images.select("path", F.when(png, "png").when(gif, "gif").alias("format"), F.when(png, big(17)).when(gif, small(7)).alias("width"), F.when(png, big(21)).when(gif, small(9)).alias("height"))
+    """(path, format, width, height) from the headers of PNG, GIF, BMP and JPEG images; nulls for others, which need a codec. 64 KB of each file go to Python."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            told = [image_header(x or b"") for x in b.column(1).to_pylist()]
+            cols = [pa.array([t[k] for t in told], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["path", "format", "width", "height"])
+
+    return images.select("path", F.substring("content", 1, 65536).alias("head")).mapInArrow(run, "path string, format string, width int, height int")
 
 
 def stream_frames(spark: SparkSession, root: str, features: dict[str, dict[str, Any]], files_per_batch: int = 16) -> DataFrame:

@@ -7,12 +7,12 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
-from epistrata.runtime import c
+from epistrata.runtime import c, delete_path
 
 
 def merge_actions(current: DataFrame, incoming: DataFrame, latest: DataFrame, weights: tuple[float, float] = (0.0, 1.0)) -> DataFrame:
@@ -79,6 +79,30 @@ def last_rows(df: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
     return df.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= n).drop("__r")
 
 
+class Retention:
+    """The last rows of each key of a stream: ``write_batch`` is a foreachBatch function. The buffer after batch N is a folder of that number, made from the one
+    before and the batch, so a retry replaces it and nothing grows with the stream. Repeated rows count once."""
+
+    def __init__(self, root: str, key: str, order: list[str], n: int):
+        self.root, self.key, self.order, self.n = root, key, order, n
+
+    def _numbers(self, spark: SparkSession, below: int) -> list[int]:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(k for k in (int(x.split("=")[1]) for x in names if x.startswith("batch_id=")) if k < below)
+
+    def write_batch(self, batch: DataFrame, number: int) -> None:
+        spark, before = batch.sparkSession, self._numbers(batch.sparkSession, number)
+        both = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{self.root}/batch_id={before[-1]}")) if before else batch
+        last_rows(both.distinct(), self.key, self.order, self.n).write.mode("overwrite").parquet(f"{self.root}/batch_id={number}")
+        for old in before[:-1]:
+            delete_path(spark, f"{self.root}/batch_id={old}")
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(f"{self.root}/batch_id={self._numbers(spark, 1 << 62)[-1]}")
+
+
 def queue_window(df: DataFrame, key: str, order: list[str], column: str, n: int) -> DataFrame:
     """Adds ``queue``: the last n values, the first one standing in before there are so many."""
     w = Window.partitionBy(key).orderBy(*order)

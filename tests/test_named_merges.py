@@ -5,7 +5,7 @@ from tests import sqlcheck
 
 
 def test_every_function_is_evaluated_on_every_frame(spark):
-    rows = register.QUERIES["udf_agg_fn_all"](spark, sqlcheck.SF).toPandas()
+    rows = register.QUERIES["udf_agg_fn"](spark, sqlcheck.SF).toPandas()
     n = rows.groupby("name").size()
     frames = spark.read.parquet(f"{sqlcheck.SF}/frames.parquet").select("episode_index", "index").distinct().count()
     assert n.to_dict() == dict.fromkeys(("weighted_average", "latest_only", "average", "conservative"), frames)
