@@ -29,6 +29,14 @@ def p1_forest(spark: SparkSession, sf: str) -> DataFrame:
     return splits.spanning_forest(_t(spark, sf, "episodes")).edges
 
 
+def p1_forest_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """Episodes and forest edges of each group: a tree has one edge fewer than records, and its edges stay inside."""
+    f = splits.spanning_forest(_t(spark, sf, "episodes"))
+    inside = f.edges.join(f.groups.select(F.col("episode_index").alias("u"), F.col("group").alias("gu")), ["u"]).join(f.groups.select(F.col("episode_index").alias("v"), F.col("group").alias("gv")), ["v"])
+    edges = inside.filter("gu = gv").groupBy(F.col("gu").alias("group")).agg(F.count(F.lit(1)).alias("edges"))
+    return f.groups.groupBy("group").agg(F.count(F.lit(1)).alias("episodes")).join(edges, ["group"], "left").na.fill(0, ["edges"])
+
+
 def p1_report(spark: SparkSession, sf: str) -> DataFrame:
     return splits.split_report(p1_splits(spark, sf), _t(spark, sf, "frames"), _t(spark, sf, "split_targets"))
 
@@ -87,4 +95,4 @@ def p8_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.split_oversized(_t(spark, sf, "documents"), _t(spark, sf, "chunk_limits"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_splits, p1_forest, p1_report, p1_frames, p2_found, p2_all, p3_found, p3_cutoffs, p6_found, p6_tiles, p6_items, p7_mixed, p7_shares, p8_pieces)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_splits, p1_forest, p1_forest_sizes, p1_report, p1_frames, p2_found, p2_all, p3_found, p3_cutoffs, p6_found, p6_tiles, p6_items, p7_mixed, p7_shares, p8_pieces)}
