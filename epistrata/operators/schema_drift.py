@@ -376,7 +376,7 @@ def unified_records(files: DataFrame, records: DataFrame, changes: DataFrame | N
     w = Window.partitionBy("file_id", "field")  # the keys of one file
     named = named.withColumn("clash", F.count(F.lit(1)).over(w) > 1).select("file_id", "key", F.when(F.col("clash"), F.col("key")).otherwise(F.col("field")).alias("field"))
     projections = ws.save(named, "projections")
-    per_file = kinds.join(projections, ["file_id", "key"]).groupBy("field", "file_id").agg(F.sort_array(F.collect_set("kind")).alias("kinds"), F.count_if(F.col("key") != F.col("field")).alias("renamed_in"))
+    per_file = kinds.join(projections, ["file_id", "key"]).groupBy("field", "file_id").agg(F.sort_array(F.collect_set("kind")).alias("kinds"), F.max((F.col("key") != F.col("field")).cast("long")).alias("renamed_in"))
     fields = per_file.groupBy("field").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set("kinds")))).alias("kinds"), F.count("file_id").alias("files"), F.sum("renamed_in").alias("renamed_in"))
     fields = ws.save(fields, "fields")
     catalog, seen = [], Counter()

@@ -131,7 +131,7 @@ class Compactor:
             fresh = one.join(known, KEY, "left_anti")
         files = max(1, math.ceil((sizes["b"] or 0) / self.target))
         fresh.select(*KEY, "file_id", "line_no", "record").repartitionByRange(files, *KEY).sortWithinPartitions(*KEY).write.mode("overwrite").parquet(f"{self.root}/data/batch_id={number}")
-        again.coalesce(files).write.mode("overwrite").parquet(f"{self.root}/duplicates/batch_id={number}")
+        again.repartition(files).write.mode("overwrite").parquet(f"{self.root}/duplicates/batch_id={number}")
         delete_path(spark, staged)
 
     def run(self, stream: DataFrame) -> Compacted:
