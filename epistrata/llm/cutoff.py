@@ -14,7 +14,7 @@ from epistrata.runtime import Workspace, c, lookup_join
 
 #: Scores tried for a source in one pass over the data.
 PIVOTS = 3
-STATE = "s long, n long, k long, lo double, hi double, ge_lo long, ge_hi long, f_lo double, f_hi double, g_lo double, g_hi double, p0 double, p1 double, p2 double, cutoff double, kept long"
+STATE = "s long, n long, k long, lo double, hi double, ge_lo long, ge_hi long, f_lo double, f_hi double, g_lo double, g_hi double, p0 double, p1 double, p2 double, cutoff double, kept long, by long"
 
 
 def _ordinal(x: np.ndarray) -> np.ndarray:
@@ -58,6 +58,7 @@ def _first(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         top = s["n_most"] >= s["k"]
         s["cutoff"] = np.where(top, hi, np.where(s["k"] >= s["n"], lo, np.nan))
         s["kept"] = np.where(top, s["n_most"], np.where(s["k"] >= s["n"], s["n"], 0)).astype(np.int64)
+        s["by"] = -1
         s = _pivots(s)
         yield s[[x.split()[0] for x in STATE.split(", ")]]
 
@@ -73,6 +74,7 @@ def _next(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tau = (n - k + 0.5) / n
         state = {x: s[x].to_numpy(float).copy() for x in ("f_lo", "f_hi", "g_lo", "g_hi", "ge_lo", "ge_hi")}
         cutoff, kept = s["cutoff"].to_numpy(float).copy(), s["kept"].to_numpy(np.int64).copy()
+        by = s["by"].to_numpy(np.int64).copy()
         for j in range(PIVOTS):
             # counts relative to pivot p: ge (>= p), up (least score >= p), n_up, sum_ge; dn (largest score < p), n_dn, sum_lt
             ge, up, n_up, dn, n_dn, sum_ge, sum_lt = (s[f"{x}{j}"].to_numpy(float) for x in ("ge", "up", "nu", "dn", "nd", "sg", "sl"))
@@ -80,6 +82,7 @@ def _next(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 enough = ge >= k
                 # the cutoff is at or above up: if fewer lie beyond up, it is up itself
                 hit = enough & (ge - n_up < k)
+                by[hit & np.isnan(cutoff)] = j
                 cutoff[hit], kept[hit] = up[hit], ge[hit].astype(np.int64)
                 rise = enough & ~hit & (up > lo)
                 lo[rise] = up[rise]
@@ -88,13 +91,14 @@ def _next(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 state["g_lo"][rise] = ((1 - tau) * (n - ge + n_up) - tau * (ge - n_up))[rise]
                 # the cutoff is below p: if enough lie at or above dn, it is dn itself
                 low = ~enough & (ge + n_dn >= k)
+                by[low & np.isnan(cutoff)] = j
                 cutoff[low], kept[low] = dn[low], (ge + n_dn)[low].astype(np.int64)
                 fall = ~enough & ~low & (dn < hi)
                 hi[fall] = dn[fall]
                 state["ge_hi"][fall] = (ge + n_dn)[fall]
                 state["f_hi"][fall] = (tau * (sum_ge - ge * dn) + (1 - tau) * ((n - ge) * dn - sum_lt))[fall]
                 state["g_hi"][fall] = ((1 - tau) * (n - ge - n_dn) - tau * (ge + n_dn))[fall]
-        s["lo"], s["hi"], s["cutoff"], s["kept"] = lo, hi, cutoff, kept
+        s["lo"], s["hi"], s["cutoff"], s["kept"], s["by"] = lo, hi, cutoff, kept, by
         for x, v in state.items():
             s[x] = v.astype(np.int64) if x.startswith("ge") else v
         s = _pivots(s)
@@ -103,10 +107,12 @@ def _next(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 @dataclass
 class Cutoffs:
-    """cutoffs: source, keep_pct, n_counted, cutoff, n_kept. counted: source, id, score, as written once."""
+    """cutoffs: source, keep_pct, n_counted, cutoff, n_kept. counted: source, id, score, as written once. passes: the pass and pivot that decided each source
+    (0 cutting plane, 1 by count, 2 the middle, -1 the ends)."""
 
     cutoffs: DataFrame
     counted: DataFrame
+    passes: DataFrame
 
     def kept(self) -> DataFrame:
         """(source, id) of all records at or above their source's cutoff."""
@@ -137,8 +143,7 @@ def fraction_cutoffs(records: DataFrame, targets: DataFrame, source: str = "task
     # scores with their multiplicity: fewer rows where scores repeat, and the ties at any score in the same pass
     values = ws.save(counted.groupBy("s", "x").agg(F.count(F.lit(1)).alias("m")), "values")
     finite = F.when(F.abs("x") < float("inf"), F.col("x") * F.col("m"))
-    ends = values.groupBy("s").agg(F.sum("m").alias("n"), F.min(F.struct("x", "m")).alias("a"), F.max(F.struct("x", "m")).alias("z"), F.coalesce(F.sum(finite), F.lit(0.0)).alias("total"))
-    ends = ends.select("s", "n", "total", F.col("a.x").alias("least"), F.col("a.m").alias("n_least"), F.col("z.x").alias("most"), F.col("z.m").alias("n_most"))
+    ends = values.groupBy("s").agg(F.sum("m").alias("n"), F.min("x").alias("least"), F.min_by("m", "x").alias("n_least"), F.max("x").alias("most"), F.max_by("m", "x").alias("n_most"), F.coalesce(F.sum(finite), F.lit(0.0)).alias("total"))
     sizes = ends.join(t, ["s"]).filter("pct <= 100")
     sizes = sizes.withColumn("k", F.greatest(F.lit(1), F.ceil(F.col("n") * F.col("pct") / 100)).cast("long"))
     # ceil() of a rounded product can be one off: the smallest k with 100 k >= pct n
@@ -151,16 +156,16 @@ def fraction_cutoffs(records: DataFrame, targets: DataFrame, source: str = "task
         aggs, cols = [], ["s"]
         for j in range(PIVOTS):
             above, below = F.col("x") >= F.col(f"p{j}"), F.col("x") < F.col(f"p{j}")
-            aggs += [F.sum(F.when(above, F.col("m"))).alias(f"ge{j}"), F.min(F.when(above, F.struct("x", "m"))).alias(f"u{j}"), F.max(F.when(below, F.struct("x", "m"))).alias(f"d{j}"), F.sum(F.when(above, finite)).alias(f"sg{j}"), F.sum(F.when(below, finite)).alias(f"sl{j}")]
-            cols += [F.coalesce(f"ge{j}", F.lit(0)).alias(f"ge{j}"), F.col(f"u{j}.x").alias(f"up{j}"), F.col(f"u{j}.m").alias(f"nu{j}"), F.col(f"d{j}.x").alias(f"dn{j}"), F.col(f"d{j}.m").alias(f"nd{j}")]
+            aggs += [F.sum(F.when(above, F.col("m"))).alias(f"ge{j}"), F.min(F.when(above, F.col("x"))).alias(f"up{j}"), F.min_by("m", F.when(above, F.col("x"))).alias(f"nu{j}"), F.max(F.when(below, F.col("x"))).alias(f"dn{j}"), F.max_by("m", F.when(below, F.col("x"))).alias(f"nd{j}"), F.sum(F.when(above, finite)).alias(f"sg{j}"), F.sum(F.when(below, finite)).alias(f"sl{j}")]
+            cols += [F.coalesce(f"ge{j}", F.lit(0)).alias(f"ge{j}"), f"up{j}", f"nu{j}", f"dn{j}", f"nd{j}"]
             cols += [F.coalesce(f"sg{j}", F.lit(0.0)).alias(f"sg{j}"), F.coalesce(f"sl{j}", F.lit(0.0)).alias(f"sl{j}")]
         sides = near.groupBy("s").agg(*aggs).select(*cols)
         nxt = ws.save(state.join(sides, ["s"]).mapInPandas(_next, STATE), "state")
         done.append(nxt.filter("cutoff is not null"))
         state = nxt.filter("cutoff is null")
-    found = done[0].select("s", "cutoff", "kept")
-    for d in done[1:]:
-        found = found.unionByName(d.select("s", "cutoff", "kept"))
+    found = done[0].select("s", "cutoff", "kept", "by", F.lit(0).alias("pass"))
+    for k, d in enumerate(done[1:], start=1):
+        found = found.unionByName(d.select("s", "cutoff", "kept", "by", F.lit(k).alias("pass")))
     out = t.join(counted.groupBy("s").agg(F.count(F.lit(1)).alias("n_counted")), ["s"], "left").join(found, ["s"], "left")
     out = ws.save(out.select(F.col("s").alias(source), F.col("pct").alias("keep_pct"), F.coalesce("n_counted", F.lit(0)).alias("n_counted"), "cutoff", F.coalesce("kept", F.lit(0)).alias("n_kept")), "cutoffs")
-    return Cutoffs(out, counted.select(F.col("s").alias(source), F.col("i").alias(ident), F.col("x").alias("__score")))
+    return Cutoffs(out, counted.select(F.col("s").alias(source), F.col("i").alias(ident), F.col("x").alias("__score")), found.select(F.col("s").alias(source), "pass", "by"))
