@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from epistrata.operators.quantiles import exact_quantiles
-from epistrata.runtime import Workspace, lookup_join, with_one_row
+from epistrata.runtime import Workspace, c, lookup_join, settled, with_one_row
 
 
 #: Frames of an episode that are one window's work; longer episodes are split.
@@ -110,14 +110,15 @@ def indicator_summary(df: DataFrame, indicator: str = "indicator") -> DataFrame:
 def progress_deltas(df: DataFrame, ahead: int, progress: str = "progress") -> DataFrame:
     """Adds ``delta``: progress ``ahead`` indices on (at most the last of the episode) less progress now; null where either is not known.
 
-    Works on ``index`` values: a window over a range of the index, so gaps give null and not a neighbour.
+    Works on ``index`` values by a join with the index ahead, so gaps give null and not a neighbour, and no episode is gathered anywhere. Rows without an
+    episode have no delta.
     """
-    p = F.when(~F.isnan(progress), F.col(progress))
-    w = Window.partitionBy("episode_index")
-    last = F.max("index").over(w)
-    at_last = F.max_by(F.struct(p.alias("p")), "index").over(w)["p"]
-    there = F.max(p).over(w.orderBy("index").rangeBetween(ahead, ahead))
-    return df.withColumn("delta", F.when(F.col("index") + ahead > last, at_last).otherwise(there) - p)
+    rows = settled(df.withColumn("__p", F.when(~F.isnan(progress), F.col(progress))), "progress")
+    there = rows.groupBy("episode_index", (F.col("index") - ahead).alias("index")).agg(F.max("__p").alias("__there"))
+    ends = rows.groupBy("episode_index").agg(F.max("index").alias("__last"), F.max_by(F.struct(F.col("__p").alias("p")), "index").alias("__end"))
+    near = lookup_join(rows.join(there, ["episode_index", "index"], "left"), ends, ["episode_index"], "left")
+    delta = F.when(F.col("index") + ahead > F.col("__last"), F.col("__end.p")).otherwise(F.col("__there")) - F.col("__p")
+    return near.withColumn("delta", delta).select(*[c(n) for n in df.columns], "delta")
 
 
 def delta_moments(df: DataFrame, eps: float = 1e-6) -> DataFrame:
@@ -127,6 +128,7 @@ def delta_moments(df: DataFrame, eps: float = 1e-6) -> DataFrame:
 
 def progress_weights(df: DataFrame, kappa: float = 0.01, eps: float = 1e-6, fallback: float = 1.0) -> DataFrame:
     """Adds ``weight``: 1 above kappa, a soft share between 0 and kappa, 0 below 0, the fallback where the delta is not known."""
+    df = settled(df, "weights")
     near = with_one_row(df, delta_moments(df, eps))
     d = F.col("delta")
     soft = (d - (F.col("mean") - 2 * F.col("std"))) / (4 * F.col("std") + eps)

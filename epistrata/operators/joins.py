@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from epistrata.functions import text
+from epistrata.operators.carry import known_around
 from epistrata.runtime import c, hot_join, lookup_join
 
 
@@ -38,24 +39,36 @@ def file_destinations(episodes: DataFrame, files: DataFrame, current: tuple[int,
     return out.withColumn("dst_chunk", F.coalesce("dst_chunk", F.lit(current[0]))).withColumn("dst_file", F.coalesce("dst_file", F.lit(current[1])))
 
 
-def nearest_in_time(queries: DataFrame, frames: DataFrame, tolerance: float) -> DataFrame:
+def nearest_in_time(queries: DataFrame, frames: DataFrame, tolerance: float, cell_s: float = 60.0) -> DataFrame:
     """(query_id, index, dt, is_pad): the frame of the episode nearest to each query time; farther than the tolerance it is padding.
 
-    One sorted pass per episode: the last frame at or before the query and the first one after, by windows. On a tie the earlier frame. Queries of episodes without
+    The last frame at or before the query and the first one after, by windows over cells of ``cell_s`` seconds and edges carried from cell to cell. On a tie the earlier frame. Queries of episodes without
     frames have index null and are padding.
     """
     q = queries.select("episode_index", F.col("ts").cast("double").alias("ts"), F.lit(1).alias("k"), "query_id", F.lit(None).cast("struct<t:double,i:bigint>").alias("f"))
     f = frames.select("episode_index", F.col("timestamp").cast("double").alias("ts"), F.lit(0).alias("k"), F.lit(None).cast("bigint").alias("query_id"), F.struct(F.col("timestamp").cast("double").alias("t"), F.col("index").alias("i")).alias("f")).filter("ts is not null")
     both = q.unionByName(f)
-    w = Window.partitionBy("episode_index").orderBy("ts", "k", "query_id", F.col("f.i").desc())
-    v = Window.partitionBy("episode_index").orderBy("ts", "k", "query_id", "f.i")
-    near = both.select("*", F.last("f", True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("a"), F.first("f", True).over(v.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("b")).filter("k = 1")
+    place = [F.col("ts"), F.col("k"), F.col("query_id")]
+    near = known_around(both, ["episode_index"], F.floor(F.col("ts") / cell_s), [*place, -F.col("f.i")], F.col("f"), "a", "b", [*place, F.col("f.i")]).filter("k = 1")
     da, db = F.col("ts") - F.col("a.t"), F.col("b.t") - F.col("ts")
     take_b = F.col("a").isNull() | (db < da)
     dt = F.when(take_b, db).otherwise(da)
     return near.select("query_id", F.when(take_b, F.col("b.i")).otherwise(F.col("a.i")).alias("index"), dt.alias("dt"), F.coalesce(dt > tolerance, F.lit(True)).alias("is_pad"))
 
 
+def within_time(frames: DataFrame, samples: DataFrame, tolerance: float) -> DataFrame:
+    """(index, sensor_key, sample_id): for each frame and sensor the largest id of the samples of its episode at most ``tolerance`` seconds away.
+
+    An equi-join by episode and cell of four tolerances, so a frame meets the samples about it and not all of its episode.
+    """
+    width = 4 * tolerance
+    cell = lambda t: F.floor(t / width)
+    f = frames.filter("timestamp is not null").select("index", "episode_index", F.col("timestamp").alias("__t"), cell(F.col("timestamp")).alias("__c"))
+    s = samples.filter("timestamp is not null").select("episode_index", "sensor_key", "sample_id", F.col("timestamp").alias("__s"))
+    s = s.withColumn("__c", F.explode(F.array_distinct(F.array(cell(F.col("__s") - tolerance), cell(F.col("__s") + tolerance)))))
+    return f.join(s, ["episode_index", "__c"]).filter(F.abs(F.col("__s") - F.col("__t")) <= tolerance).groupBy("index", "sensor_key").agg(F.max("sample_id").alias("sample_id"))
+
+
 def out_of_tolerance(matches: DataFrame, queries: DataFrame, frames: DataFrame) -> DataFrame:
     """Queries inside their episode's time span whose nearest frame is too far: an error in the data, not padding."""
     span = frames.groupBy("episode_index").agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"))
@@ -65,7 +78,7 @@ def out_of_tolerance(matches: DataFrame, queries: DataFrame, frames: DataFrame)
 def in_segments(frames: DataFrame, segments: DataFrame) -> DataFrame:
     """Frames with each segment of their episode whose [start, end] holds their timestamp, both ends included; overlaps repeat frames."""
     s = segments.select("episode_index", "segment", "start", "end")
-    return frames.join(s, ["episode_index"]).filter((F.col("timestamp") >= F.col("start")) & (F.col("timestamp") <= F.col("end")))
+    return hot_join(frames, s, ["episode_index"]).filter((F.col("timestamp") >= F.col("start")) & (F.col("timestamp") <= F.col("end")))
 
 
 def episode_of_index(rows: DataFrame, episodes: DataFrame, key: str = "index", width: int = 1 << 16) -> DataFrame:

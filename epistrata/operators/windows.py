@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from epistrata.functions import arrays
+from epistrata.operators.carry import known_around
 from epistrata.operators.quantiles import exact_quantiles
 from epistrata.runtime import Workspace, c, hot_join, with_one_row
 
@@ -253,13 +254,13 @@ def cut_segments(df: DataFrame, splits: DataFrame, fps: float) -> DataFrame:
 # --- interpolation, stages, smoothing ---
 
 
-def interpolate(df: DataFrame, column: str, order: str = "frame_index") -> DataFrame:
-    """Adds ``<column>_filled``: linear between known values of the episode, constant beyond them; null and NaN are not known."""
+def interpolate(df: DataFrame, column: str, order: str = "frame_index", cell: int = 8192) -> DataFrame:
+    """Adds ``<column>_filled``: linear between known values of the episode, constant beyond them; null and NaN are not known.
+
+    Windows run over cells of ``cell`` numbers of the order; known values are carried from cell to cell, so an episode of any length is split.
+    """
     known = F.when(c(column).isNotNull() & ~F.isnan(c(column)), F.struct(c(order).alias("i"), c(column).cast("double").alias("p")))
-    w = Window.partitionBy("episode_index").orderBy(order, "index")
-    lo = F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    hi = F.first(known, True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    out = df.select("*", lo.alias("__lo"), hi.alias("__hi"))
+    out = known_around(df, ["episode_index"], F.floor(c(order) / cell), [c(order), F.col("index")], known, "__lo", "__hi")
     a, b = F.col("__lo"), F.col("__hi")
     x = F.when(a.isNull(), b["p"]).when(b.isNull() | (a["i"] == b["i"]), a["p"]).otherwise(a["p"] + (b["p"] - a["p"]) * (c(order) - a["i"]) / F.when(b["i"] != a["i"], b["i"] - a["i"]))
     return out.withColumn(f"{column}_filled", x).drop("__lo", "__hi")

@@ -104,20 +104,20 @@ def udf_policy_bridge(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("index", r("lift").alias("lift"), r(F.get("again", F.lit(5))).alias("last"))
 
 
-@query(with_(FR, "s as (select distinct episode_index as ep, timestamp as t, reading, sample_id from sensor_samples where sensor_key = 'wrench_left' and timestamp is not null)", "g as (select i, max(sample_id) as k from fr join s on s.ep = fr.ep and abs(s.t - fr.ts) <= 0.005 group by i)") + "select fr.i as \"index\", k as teleop from fr left join g on g.i = fr.i")
+@query(with_(FR, "s as (select distinct episode_index as ep, timestamp as t, sensor_key, sample_id from sensor_samples where timestamp is not null)") + "select i as \"index\", sensor_key, max(sample_id) as sample_id from fr join s on s.ep = fr.ep and abs(s.t - fr.ts) <= 0.005 group by 1, 2")
 def udf_teleop_steps(spark: SparkSession, sf: str) -> DataFrame:
-    """Recorded device readings attached to frames by time."""
-    f = frames(spark, sf, "timestamp")
-    s = table(spark, sf, "sensor_samples").filter("sensor_key = 'wrench_left' and timestamp is not null").select("episode_index", F.col("timestamp").alias("t"), "sample_id").distinct()
-    g = f.join(s, ["episode_index"]).filter(F.abs(F.col("t") - F.col("timestamp")) <= 0.005).groupBy("index").agg(F.max("sample_id").alias("teleop"))
-    return f.select("index").join(g, ["index"], "left")
+    """Recorded readings of every device attached to frames by time."""
+    from epistrata.operators.joins import within_time
 
+    return within_time(frames(spark, sf, "timestamp"), table(spark, sf, "sensor_samples"), 0.005)
 
-@query(with_(FR) + "select i as \"index\", 7 as n, round(iv, 4) as last from fr where len(state) = 6 and iv is not null")
+
+@query(with_(FR) + "select i as \"index\", 12 as n, round(action[6]::double, 4) as last from fr where len(state) = 6 and len(action) = 6")
 def udf_motor_current(spark: SparkSession, sf: str) -> DataFrame:
-    f = frames(spark, sf, "state", "intervention").filter((F.size("state") == 6) & F.col("intervention").isNotNull())
-    out = f.select("index", F.concat(F.col("state").cast("array<double>"), F.array("intervention")).alias("v"))
-    return out.select("index", F.size("v").alias("n"), r(F.get("v", F.lit(6)), 4).alias("last"))
+    """The registered step, with the commands as the recorded readings."""
+    f = frames(spark, sf, "state", "action").filter((F.size("state") == 6) & (F.size("action") == 6)).withColumnsRenamed({"state": "observation.state", "action": "observation.motor_currents"})
+    out = steps.MotorCurrents()(f)
+    return out.select("index", F.size("`observation.state`").alias("n"), r(F.get("`observation.state`", F.lit(11)), 4).alias("last"))
 
 
 @query("select replace(sensor_key, '_', '.') as feature, 'mean' as stat, tolerance_s as value from sync_configs union all select replace(sensor_key, '_', '.'), 'std', 2 * tolerance_s from sync_configs")
